@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import minhash, quality
 
 QUERIES = {
+    "op5_minhash": minhash.query,
     "op8_line_quality": quality.query,
 }
 
 ORACLES = {
+    "op5_minhash": minhash.ORACLE,
     "op8_line_quality": quality.ORACLE,
 }

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import minhash, quality
+from . import bpe, minhash, mixing, quality
 
 QUERIES = {
+    "op1_bpe": bpe.query,
+    "op3_mixing": mixing.query,
     "op5_minhash": minhash.query,
     "op8_line_quality": quality.query,
 }

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from veldra.llm import quality
+from veldra.llm import bpe, minhash, mixing, quality, secrets
 from veldra.llm.common import Workspace
 
 STAGES = [
     ("quality", quality.stage),
+    ("near_duplicates", minhash.stage),
+    ("secrets", secrets.stage),
+    ("mixing", mixing.stage),
+    ("bpe", bpe.stage),
 ]
 
 #: The last stage's ids can't be expressed in SQL; tests hold the stages against brute force.

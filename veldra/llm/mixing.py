@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,3 +180,56 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def query(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _taken(columns: list[str], text_at: int):
+    """Rows (epoch, ranges, document): the words of a document that an epoch takes. A document taken whole keeps its text."""
+
+    def run(batches):
+        for batch in batches:
+            col = batch.column(text_at)
+            out = []
+            for text, size, ranges in zip(col, batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist(), strict=True):
+                t = text.as_py()
+                parts: list[list[int]] = []
+                for lo, hi in sorted((r["lo"], r["hi"]) for r in ranges):
+                    if parts and parts[-1][1] == lo:
+                        parts[-1][1] = hi
+                    else:
+                        parts.append([lo, hi])
+                if parts == [[0, size]]:
+                    out.append(t)
+                    continue
+                at = [m.span() for m in re.finditer(WORD, t)]
+                out.append("\n".join(t[at[lo][0] : at[hi - 1][1]] for lo, hi in parts))
+            arrays = [batch.column(i) for i in range(len(columns))]
+            arrays[text_at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    return run
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the mix as documents. For each pass, a document is a row with the words taken of it.
+
+    A document taken whole keeps its text and columns; one taken in part keeps the ranges of words in its blocks, joined by a
+    line break, with n_chars of what is left. Documents without words are never taken. Rows that repeat an id are taken apart.
+    """
+    work = Workspace(spark, "mix-stage")
+    laid, slot, _ = plan(work, docs, "doc_id", "text", "source", WEIGHTS, SHARE, SEED)
+    columns = docs.columns
+    took = spans(laid, slot).groupBy("k", "start", "id", "size", "epoch").agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))
+    took = work.put(took.select(F.col("id").alias("_id"), F.col("size").alias("_size"), "k", "start", "epoch", "_ranges"), "taken")
+    held = [F.col(f"`{c}`") for c in columns]
+    if laid.where("size > 0").groupBy("id").count().where("count > 1").isEmpty():
+        joined = docs.join(took, F.col("doc_id").eqNullSafe(F.col("_id")))
+    else:  # rows that share an id and a size are told apart by their number
+        place = F.row_number()
+        number = laid.where("size > 0").select(F.col("id").alias("_id"), F.col("size").alias("_size"), "k", "start", place.over(W.partitionBy("id", "size").orderBy("k", "start")).alias("_r"))
+        took = took.join(number, took["_id"].eqNullSafe(number["_id"]) & (took["_size"] == number["_size"]) & (took["k"] == number["k"]) & (took["start"] == number["start"])).select(took["_id"], took["_size"], "_ranges", "_r")
+        count = F.regexp_count("text", F.lit(WORD)).cast("long")
+        mine = docs.withColumn("_n", count).withColumn("_q", place.over(W.partitionBy("doc_id", "_n").orderBy("source", F.xxhash64("text"))))
+        joined = mine.join(took, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")) & (F.col("_q") == F.col("_r")))
+    joined = joined.select(*held, "_size", "_ranges")
+    out = joined.mapInArrow(_taken(columns, columns.index("text")), docs.schema)
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, mixing, quality
+from . import bpe, minhash, mixing, quality, secrets
 
 QUERIES = {
+    "op9_secrets": secrets.query,
     "op1_bpe": bpe.query,
     "op3_mixing": mixing.query,
     "op5_minhash": minhash.query,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, mixing, quality, secrets
+from . import bpe, embeddings, idstore, minhash, mixing, quality, secrets
 
 QUERIES = {
+    "op2_idstore": idstore.query,
+    "op7_embeddings": embeddings.query,
     "op9_secrets": secrets.query,
     "op1_bpe": bpe.query,
     "op3_mixing": mixing.query,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op7_embeddings": embeddings.ORACLE,
     "op5_minhash": minhash.ORACLE,
     "op8_line_quality": quality.ORACLE,
 }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -43,6 +46,8 @@ class Workspace:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        gc.collect()
+        self.spark._jvm.System.gc()  # Spark deletes the shuffle files of plans that nothing refers to any more
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
@@ -83,8 +88,13 @@ def texts(column: pa.Array) -> Iterator[str]:
         yield x.as_py() or ""
 
 
-def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def kept(key: tuple, make: Callable):
+    """make()'s value, kept in this Python worker between its tasks; for caches that hold no result of their own."""
+    home = sys.modules.setdefault("_veldra_kept", types.ModuleType("_veldra_kept"))
+    held = vars(home)
+    if repr(key) not in held:
+        held[repr(key)] = make()
+    return held[repr(key)]
 
 
 def components(work: Workspace, edges: DataFrame, most: int = 60) -> DataFrame:

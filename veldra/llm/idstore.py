@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions, session, texts
+from .common import Workspace, kept, partitions, session, texts
 
 MAGIC = b"VIDS"
 HEAD = "<4sII32sQ"
@@ -122,7 +122,7 @@ def _packed(path: str, end: int, dictionary: bytes):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, shard = Encoder(path), TaskContext.get().partitionId()
+        encoder, shard = kept(("ids", path), lambda: Encoder(path)), TaskContext.get().partitionId()
         compressor = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, **_dictionary(dictionary))
         last = struct.pack("<I", end)
         held: list[tuple[int, bytes]] = []

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, idstore, minhash, mixing, quality, secrets
+from . import bpe, embeddings, idstore, minhash, mixing, quality, secrets, substrings
 
 QUERIES = {
+    "op6_substrings": substrings.query,
     "op2_idstore": idstore.query,
     "op7_embeddings": embeddings.query,
     "op9_secrets": secrets.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_substrings": substrings.ORACLE,
     "op7_embeddings": embeddings.ORACLE,
     "op5_minhash": minhash.ORACLE,
     "op8_line_quality": quality.ORACLE,

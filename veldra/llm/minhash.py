@@ -17,6 +17,8 @@ from .shingles import WordHashes, shingle_set
 BANDS, ROWS = 28, 4
 #: Rows of a bucket that meet in one block; larger buckets are compared block by block.
 BLOCK = 256
+#: Rows of a family that meet in one block, with their sets.
+FAMILY_BLOCK = 512
 #: Share of equal minima below which a pair isn't confirmed on full sets: over six deviations under 0.8.
 LEAST_SHARE = 0.55
 SALTS = 1024
@@ -70,7 +72,7 @@ def _signed(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         for r in range(ROWS):
             key = (key ^ keys[:, :, r]) * np.uint64(0xD6E8FEB86659FD93)
             key ^= key >> np.uint64(31)
-        short = m.astype("<u2")
+        short = m.astype(np.uint8)
         for j, i in enumerate(full):
             d = xxhash.xxh3_128_digest(sets[i].tobytes())
             h1[i], h2[i] = int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
@@ -107,39 +109,99 @@ def _confirm(percent: int):
                 own = np.frombuffer(s.as_buffer(), np.uint64)
                 if b is None:
                     lead, mine = a, own.copy()
-                elif lead == a and percent * max(len(own), len(mine)) <= 100 * min(len(own), len(mine)):
-                    small, large = (own, mine) if len(own) < len(mine) else (mine, own)
-                    at = np.searchsorted(large, small)
-                    at[at == len(large)] = 0
-                    both = int((large[at] == small).sum())
-                    if 100 * both >= percent * (len(own) + len(mine) - both):
-                        found_a.append(a)
-                        found_b.append(b)
+                elif lead == a and _linked(own, mine, percent):
+                    found_a.append(a)
+                    found_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _across(percent: int):
-    """Rows of one bucket block: pairs of different components whose sizes and signatures allow a link."""
+def _root(parent: dict[int, int], x: int) -> int:
+    while (up := parent.get(x, x)) != x:
+        parent[x] = x = parent.get(up, up)
+    return x
+
+
+def _possible(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row x of block i the rows at of block j in other components whose sizes and signatures allow a link, and
+    their shares of equal minima."""
+    ids, n, comp, block = (t[c].to_numpy() for c in ("id", "n", "component", "block"))
+    low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(len(ids), -1)
+    i, j = t["i"][0].as_py(), t["j"][0].as_py()
+    for x in np.flatnonzero(block == i):
+        ok = (comp != comp[x]) & (percent * np.maximum(n, n[x]) <= 100 * np.minimum(n, n[x]))
+        ok &= (block == j) & (ids > ids[x]) if i == j else block == j
+        at = np.flatnonzero(ok)
+        if len(at):
+            share = (low[at] == low[x]).mean(axis=1)
+            near = share >= LEAST_SHARE
+            if near.any():
+                yield x, at[near], share[near]
+
+
+def _families(percent: int):
+    """Rows of one bucket block: a spanning forest of the possible pairs across components, no more rows than members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["code", "i", "j"]):
-            ids, n, comp, block = (t[c].to_numpy() for c in ("id", "n", "component", "block"))
-            low = np.frombuffer(b"".join(t["low"].to_pylist()), "<u2").reshape(len(ids), -1)
-            i, j = t["i"][0].as_py(), t["j"][0].as_py()
-            for x in np.flatnonzero(block == i):
-                ok = (comp != comp[x]) & (percent * np.maximum(n, n[x]) <= 100 * np.minimum(n, n[x]))
-                ok &= (block == j) & (ids > ids[x]) if i == j else block == j
-                at = np.flatnonzero(ok)
-                if len(at):
-                    at = at[(low[at] == low[x]).mean(axis=1) >= LEAST_SHARE]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[at], ids[x])), pa.array(np.maximum(ids[at], ids[x]))], names=["a", "b"])
+            ids, parent = t["id"].to_numpy(), {}
+            out: list[tuple[int, int]] = []
+            for x, at, _ in _possible(t, percent):
+                for y in at.tolist():
+                    p, q = _root(parent, int(x)), _root(parent, y)
+                    if p != q:
+                        parent[q] = p
+                        out.append((int(ids[x]), int(ids[y])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([min(r) for r in out], pa.int64()), pa.array([max(r) for r in out], pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _settle(percent: int):
+    """Rows of one family block, with their sets: links between components, confirmed on full sets from the likeliest pair on;
+    pairs of components that are linked by then are skipped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ["code", "i", "j"]):
+            ids, comp = t["id"].to_numpy(), t["component"].to_numpy().tolist()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]]
+            parent: dict[int, int] = {}
+            out: list[tuple[int, int]] = []
+            held = [(np.full(len(at), x), at, share) for x, at, share in _possible(t, percent)]
+            if not held:
+                continue
+            xs, ys, shares = (np.concatenate(c) for c in zip(*held, strict=True))
+            for k in np.argsort(-shares, kind="stable").tolist():
+                x, y = int(xs[k]), int(ys[k])
+                p, q = _root(parent, comp[x]), _root(parent, comp[y])
+                if p != q and _linked(sets[x], sets[y], percent):
+                    parent[q] = p
+                    out.append((int(ids[x]), int(ids[y])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([min(r) for r in out], pa.int64()), pa.array([max(r) for r in out], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if percent * len(large) > 100 * len(small):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _blocks(rows: DataFrame, size: str, block: int) -> DataFrame:
+    """Rows (code, id, ..) dealt to pairs of blocks (i, j) of about block rows of their code, so that any two meet once."""
+    many = F.ceil(F.col(size) / block).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), many).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), many - 1)))
+    return rows.withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k")).drop("k", size)
+
+
 def _links(work: Workspace, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the similarity on full sets. The set of a goes once to each salt of its partners."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
@@ -153,9 +215,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Near-duplicate groups: documents whose sets of word shingles have a Jaccard similarity of percent/100 or more.
 
     Equal sets are one node. Minima are banded; in a bucket every node is compared with the smallest one first, on full
-    sets. Components of these links leave few buckets with nodes of more than one component; there the pairs
-    across components are compared too, in blocks, after a check of their signatures. So components are exact but for
-    the bands' chance to miss a pair (4e-7 at 0.8), and no bucket is expanded into all its pairs.
+    sets. In the buckets that then still hold nodes of more than one component, pairs across components whose signatures allow a
+    link join nodes to families (as spanning forests, never as all pairs); in a family such pairs are confirmed on full sets, in
+    blocks, until their components are linked or shown apart. So components are exact but for the bands' chance to miss a pair
+    (4e-7 at 0.8) and the signatures' (LEAST_SHARE), and no bucket is expanded into all its pairs.
 
     Nulls: a null or wordless text has the empty set and links with nothing; a null id gets a null component and is kept.
     Fewer words than width: the whole sequence is one shingle. Repeated rows: equal ids each get a row; rows of one id are
@@ -168,28 +231,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     sig = work.put(src.mapInArrow(_signatures(width), "id long, n long, h1 long, h2 long, bands array<long>, low binary"), "signatures")
     node = sig.where("h1 IS NOT NULL AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("id"))
-    node = work.put(node.join(sig, ["h1", "h2", "id"]).dropDuplicates(["id"]), "nodes")
-    member = node.select("id", F.explode("bands").alias("code"))
+    node = work.put(node.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.h1", "h.h2"), "nodes")
+    member = sig.join(node, ["id", "h1", "h2"], "left_semi").select("id", F.explode("bands").alias("code"))
     bucket = member.groupBy("code").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1")
     in_bucket = work.put(member.join(bucket, "code").select("code", "id", "a", "size"), "buckets")
     pairs = work.put(in_bucket.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
     wanted = in_bucket.select("id").distinct().join(node.select("id", "h1"), "id")
     sets = work.put(src.join(wanted, "id").select("id", "t", "h1").mapInArrow(_sets(width), "id long, shingles binary").dropDuplicates(["id"]), "sets")
     links = work.put(_links(work, pairs, sets, percent), "links")
-    comp = work.put(components(Workspace(spark, "minhash-cc"), links), "components")
+    comp = work.put(components(Workspace(spark, "minhash-cc"), links), "components").withColumnRenamed("node", "id")
 
-    seen = in_bucket.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    seen = in_bucket.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = seen.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("code")
-    rest = seen.join(mixed, "code").join(node.select("id", "n", "low"), "id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("code", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "id", "n", "component", "block", "low")
-    rest = rest.repartition(partitions(spark), "code", "i", "j").sortWithinPartitions("code", "i", "j", "id")
-    more = work.put(rest.mapInArrow(_across(percent), "a long, b long").distinct(), "more")
-    if not more.isEmpty():
-        links = work.put(links.union(_links(work, more, sets, percent)), "all-links")
-        comp = work.put(components(Workspace(spark, "minhash-cc2"), links), "all-components")
-    label = node.select("id", "h1", "h2").join(comp.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
+    rest = work.put(seen.join(mixed, "code").select("code", "id", "component", "size"), "mixed")
+    traits = work.put(sig.join(node, ["id", "h1", "h2"], "left_semi").join(rest.select("id").distinct(), "id", "left_semi").select("id", "n", "low").dropDuplicates(["id"]), "traits")
+    keys = ["code", "i", "j"]
+    dealt = _blocks(rest.join(traits, "id"), "size", BLOCK).repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "id")
+    near = work.put(dealt.select(*keys, "id", "n", "component", "block", "low").mapInArrow(_families(percent), "a long, b long").distinct(), "families")
+    if not near.isEmpty():
+        family = work.put(components(Workspace(spark, "minhash-families"), near).select(F.col("node").alias("id"), F.col("component").alias("code")), "family")
+        sizes = family.groupBy("code").agg(F.count("*").alias("size"))
+        full = family.join(sizes, "code").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        full = _blocks(full.join(traits, "id"), "size", FAMILY_BLOCK).join(sets, "id").repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "id")
+        more = full.select(*keys, "id", "n", "component", "block", "low", "shingles").mapInArrow(_settle(percent), "a long, b long")
+        comp = work.put(components(Workspace(spark, "minhash-cc2"), work.put(links.union(more), "all-links")), "all-components").withColumnRenamed("node", "id")
+    label = node.join(comp, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
     out = sig.select("id", "n", "h1", "h2").join(label, ["h1", "h2"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, idstore, minhash, mixing, quality, secrets, substrings
+from . import bpe, embeddings, idstore, minhash, mixing, quality, secrets, substrings, toxicity
 
 QUERIES = {
+    "op10_toxicity": toxicity.query,
     "op6_substrings": substrings.query,
     "op2_idstore": idstore.query,
     "op7_embeddings": embeddings.query,

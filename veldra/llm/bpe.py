@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from array import array
 from collections.abc import Iterator
 
@@ -13,9 +14,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import kept, texts
 
-PRETOKEN_CACHE = 300_000
+PRETOKEN_CACHE = 600_000
+#: Bytes of a pre-token up to which the rank queue is written out in place.
+SHORT = 64
+PAIR_CACHE = 2_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -86,7 +90,7 @@ class Merger:
         key = left << 32 | right
         r = self.pairs.get(key)
         if r is None:
-            if len(self.pairs) >= 2_000_000:
+            if len(self.pairs) >= PAIR_CACHE:
                 self.pairs.clear()
             r = self.pairs[key] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
         return r
@@ -96,6 +100,81 @@ class Merger:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
+        return self.merge_short(piece) if len(piece) <= SHORT else self.merge_long(piece)
+
+    def merge_short(self, piece: bytes) -> list[int]:
+        """merge_long with the queue written out in place, in two levels, as calls would take most of the time of a short piece."""
+        single, known, pair = self.single, self.pairs.get, self.pair
+        ids = [single[b] for b in piece]
+        n = len(ids)
+        after = list(range(1, n + 1))
+        before = list(range(-1, n - 1))
+        bucket: dict[int, list[int]] = {}
+        low: dict[int, int] = {}
+        top = i = 0
+        left = ids[0]
+        for right in ids[1:]:
+            r = known(left << 32 | right)
+            if r is None:
+                r = pair(left, right)
+            if r >= 0:
+                if r in bucket:
+                    bucket[r].append(i)
+                else:
+                    bucket[r] = [i]
+                    h = r >> 9
+                    low[h] = low.get(h, 0) | 1 << (r & 511)
+                    top |= 1 << h
+            left = right
+            i += 1
+        while top:
+            h = (top & -top).bit_length() - 1
+            w = low[h]
+            rank = h << 9 | (w & -w).bit_length() - 1
+            w &= w - 1
+            low[h] = w
+            if not w:
+                top &= top - 1
+            places = bucket.pop(rank)
+            if len(places) > 1:
+                places.sort()
+            for i in places:
+                left = ids[i]
+                j = after[i]
+                if left < 0 or j >= n or known(left << 32 | ids[j]) != rank:
+                    continue  # stale
+                ids[i] = rank
+                ids[j] = -1
+                k = after[i] = after[j]
+                g = before[i]
+                if k < n:
+                    before[k] = i
+                    r = known(rank << 32 | ids[k])
+                    if r is None:
+                        r = pair(rank, ids[k])
+                    if r >= 0:
+                        if r in bucket:
+                            bucket[r].append(i)
+                        else:
+                            bucket[r] = [i]
+                            h = r >> 9
+                            low[h] = low.get(h, 0) | 1 << (r & 511)
+                            top |= 1 << h
+                if g >= 0:
+                    r = known(ids[g] << 32 | rank)
+                    if r is None:
+                        r = pair(ids[g], rank)
+                    if r >= 0:
+                        if r in bucket:
+                            bucket[r].append(g)
+                        else:
+                            bucket[r] = [g]
+                            h = r >> 9
+                            low[h] = low.get(h, 0) | 1 << (r & 511)
+                            top |= 1 << h
+        return [x for x in ids if x >= 0]
+
+    def merge_long(self, piece: bytes) -> list[int]:
         n = len(piece)
         ids = [self.single[b] for b in piece]
         if n == 1:
@@ -140,7 +219,8 @@ class Merger:
         for p in self.find(text):
             ids = pieces.get(p)
             if ids is None:
-                ids = np.array(self.merge(p.encode("utf-8", "replace")), "<u4").tobytes()
+                found = self.merge(p.encode("utf-8", "replace"))
+                ids = struct.pack(f"<{len(found)}I", *found)
                 if len(p) <= 64:
                     if len(pieces) >= PRETOKEN_CACHE:
                         pieces.clear()
@@ -154,7 +234,7 @@ class Merger:
 
 def _run(path: str, pattern: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Merger(load_ranks(path), pattern)
+        m = kept(("bpe", path, pattern), lambda: Merger(load_ranks(path), pattern))
         for batch in batches:
             ids = batch.column(0)
             rows: list[tuple] = []

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddings, idstore, minhash, mixing, quality, secrets, substrings, toxicity
+from . import bpe, chat, embeddings, idstore, minhash, mixing, quality, secrets, substrings, toxicity
 
 QUERIES = {
+    "op4_chat": chat.query,
     "op10_toxicity": toxicity.query,
     "op6_substrings": substrings.query,
     "op2_idstore": idstore.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_chat": chat.ORACLE,
     "op6_substrings": substrings.ORACLE,
     "op7_embeddings": embeddings.ORACLE,
     "op5_minhash": minhash.ORACLE,

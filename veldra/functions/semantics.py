@@ -15,6 +15,11 @@ def ieee_div(a: Column, b: Column) -> Column:
     return F.when(b == 0.0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
 
 
+def ieee_pow(a: Column, b: Column) -> Column:
+    """C's pow: 1 to any power is 1, also to NaN, and so is -1 to an infinite one, where Java gives NaN."""
+    return F.when((a == 1.0) | (a == -1.0) & (F.abs(b) == INF), F.lit(1.0)).otherwise(F.pow(a, b))
+
+
 def ieee_ln(a: Column) -> Column:
     return F.when(a == 0.0, F.lit(-INF)).when(a < 0.0, F.lit(NAN)).otherwise(F.ln(a))
 

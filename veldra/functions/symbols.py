@@ -58,7 +58,7 @@ def _table() -> dict[str, Symbol]:
         ("-", "op", ADDITIVE, "{} - {}", lambda a, b: a - b, np.subtract, "({} - {})"),
         ("*", "op", MULTIPLICATIVE, r"{} \cdot {}", lambda a, b: a * b, np.multiply, "({} * {})"),
         ("/", "op", MULTIPLICATIVE, r"\frac{{{}}}{{{}}}", S.ieee_div, np.divide, "({} / {})"),
-        ("^", "op", POWER, "{}^{{{}}}", F.pow, np.power, "pow({}, {})"),
+        ("^", "op", POWER, "{}^{{{}}}", S.ieee_pow, np.power, "pow({}, {})"),
         ("u-", "fn", PREFIX, "- {}", lambda a: -a, np.negative, "(-{})"),
         ("sqrt", "fn", PREFIX, r"\sqrt {{{}}}", F.sqrt, np.sqrt, "CASE WHEN {0} < 0 THEN 'NaN'::DOUBLE ELSE sqrt({0}) END"),
         ("sin", "fn", PREFIX, r"\sin {}", F.sin, np.sin, "sin({})"),

@@ -1,0 +1,48 @@
+"""The queries that SQL can express, against DuckDB on whole tables."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+from veldra.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_oracle(spark, name):
+    con = duckdb.connect()
+    for p in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM read_parquet('{p}')")
+    got = queries.QUERIES[name](spark, SF)
+    want = con.execute(queries.ORACLES[name])
+    names = [d[0] for d in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(repr, map(tuple, got.select(names).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_ten_operators_are_registered():
+    assert [sum(n.startswith(f"op{k}_") for n in queries.QUERIES) for k in range(1, 11)] == [1] * 10
+
+
+def test_quality_edge_cases(spark):
+    from veldra.llm import quality
+
+    common = "Read the terms of use before you go on."
+    rows = [(i, common + "\n" + " ".join(f"w{i}x{k}" for k in range(60)), "h") for i in range(40)]
+    rows += [(100 + i, common + "\n" + " ".join(f"v{i}y{k}" for k in range(2)), "h") for i in range(3)]
+    rows += [(200, None, "h"), (201, "", None), (202, "a b c " * 40, "h"), (None, "x", "h"), (0, rows[0][1], "h"), (203, " ".join(f"z{k}" for k in range(70)), None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, kept int")
+    got = quality.line_quality(df).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    assert by[5].kept and by[5].n_words == 69 and by[5].kept_words == 60 and by[203].kept
+    assert by[200].n_words == 0 and by[200].base_failed and not by[201].kept
+    assert by[202].n_repeat_words == 120 and by[202].base_failed
+    assert quality.line_quality(df.limit(0)).count() == 0
+    # depleted: long enough, but nearly all of it is what other documents say too
+    lines = [" ".join(f"l{k}q{j}" for j in range(12)) for k in range(6)]
+    many = [(i, "\n".join([*lines, f"own {i}"]), "h") for i in range(30)]
+    assert not any(r.kept for r in quality.line_quality(spark.createDataFrame(many, "doc_id long, text string, source string")).collect())

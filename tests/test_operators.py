@@ -157,6 +157,7 @@ def test_grid(spark, tmp_path):
     g.save(spark)
     h = Grid.open(spark, g.root)
     assert h.run(spark) == 1 and h.run(spark) == 0
+    assert g.commands(spark) == [] and g.adapt(spark) == 0
     row = h.progress(spark).first()
     assert row.done_grammar_sampling == row.total == 2
     assert sorted(r.seed for r in h.results(spark).collect()) == [5, 6]
@@ -164,6 +165,31 @@ def test_grid(spark, tmp_path):
         Grid("x", [dataset(), dataset()], [])
 
 
+def test_results_are_saved(four, tmp_path):
+    from veldra.operators.evaluator import load_results, results_frame, save_results
+
+    e = Evaluator(four, ["x0", "x1"], "y", LIB, seed=1, metadata={"dataset_name": "four"})
+    e.evaluate([["X_0"], "C * X_1 - X_0".split()])
+    r = e.results("a")
+    save_results([r], str(tmp_path))
+    again = load_results(str(tmp_path))
+    assert again[0].best_expr == r.best_expr and again[0].top_models == r.top_models and "four" in r.show("all")
+    assert results_frame(four.sparkSession, again).first().success
+    with pytest.raises(ValueError):
+        save_results([r], str(tmp_path / "x.txt"))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from veldra.__main__ import main
+
+    g = Grid(str(tmp_path / "g"), [dataset(5)], [GrammarSampling(batch=5)], 2, 1)
+    g.save(spark)
+    main(["commands", "--grid", g.root])
+    assert capsys.readouterr().out.count("--seed") == 2
+    main(["run", "--grid", g.root, "--seed", "1"])
+    assert g.pending(spark).count() == 1
+
+
 def test_result_tables(spark):
     nan = math.nan
     ev = spark.createDataFrame([("a", 1, "x", nan), ("a", 2, "y", 3.0), ("a", 3, "x", 5.0), ("a", 4, "z", 1.0), ("b", 1, "x", nan)], "experiment_id string, eval_no long, expr_key string, error double")

@@ -68,3 +68,26 @@ def test_datasets_store_and_archives(spark, tmp_path):
     assert b.frame(spark).count() == 1 and "plane" in str(d)
     with pytest.raises(ValueError):
         Dataset("x", ["X_0"]).sample(spark)
+
+
+def test_archives_of_arrays(spark, tmp_path):
+    import zipfile
+
+    from veldra.sources.archives import import_archive, in_memory, members, read_npz
+
+    x, y = np.arange(6.0).reshape(3, 2), np.array([1.0, 2, 3])
+    np.savez(tmp_path / "d1.npz", X=x, y=y)
+    np.savez(tmp_path / "d2.npz", X=x)
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.write(tmp_path / "d1.npz", "data/d1.npz")
+        z.write(tmp_path / "d2.npz", "data/d2.npz")
+    store = TableStore(str(tmp_path / "store"))
+    assert import_archive(spark, store, (tmp_path / "a.zip").as_uri(), "b", "1") == ["d1", "d2"]
+    assert store.resolve(spark, "b", "1", "d1", None).columns == ["row_id", "x0", "x1", "y"]
+    assert read_npz(spark, str(tmp_path / "d2.npz")).count() == 3
+    d, df = in_memory(spark, "mine", x, y, str(tmp_path / "mine"))
+    assert d.load(spark).count() == df.count() == 3 and d.num_variables == 2
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("../d.npz", b"")
+    with pytest.raises(ValueError):
+        members(str(tmp_path / "bad.zip"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import warnings
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
@@ -50,6 +52,38 @@ class Result:
     def row(self) -> tuple:
         return (self.metadata.get("dataset_name"), self.approach, self.metadata.get("seed"), self.min_error, self.best_expr, self.num_evaluated, self.evaluation_calls, self.success)
 
+    def to_dict(self) -> dict:
+        return {"format_version": 1, **vars(self)}
+
+    @classmethod
+    def from_dict(cls, d: dict) -> Result:
+        return cls(**{k: v for k, v in d.items() if k != "format_version"})
+
+    def show(self, scope: str = "best") -> str:
+        """A readable account: of the best model, the top ones, or all in order of evaluation."""
+        models = {"best": self.top_models[:1], "top": self.top_models, "all": self.all_models}[scope]
+        head = f"{self.metadata.get('dataset_name')} by {self.approach}, seed {self.metadata.get('seed')}: {self.num_evaluated} expressions in {self.evaluation_calls} calls, {'success' if self.success else 'no success'}"
+        return "\n".join([head, *(f"  {m['error']:.6g}  {m['expr_key']}  {m['parameters']}" for m in models)])
+
+
+def save_results(results: list[Result], path: str) -> None:
+    """Results as JSON; a folder gets results.json."""
+    if os.path.isdir(path):
+        path = os.path.join(path, "results.json")
+    if not path.endswith(".json"):
+        raise ValueError("results are saved as .json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump([r.to_dict() for r in results], f)
+
+
+def load_results(path: str) -> list[Result]:
+    with open(os.path.join(path, "results.json") if os.path.isdir(path) else path, encoding="utf-8") as f:
+        return [Result.from_dict(d) for d in json.load(f)]
+
+
+def results_frame(spark, results: list[Result]) -> DataFrame:
+    return spark.createDataFrame([r.row() for r in results], RESULT)
+
 
 RESULT = "dataset string, approach string, seed int, min_error double, best_expr string, num_evaluated long, evaluation_calls long, success boolean"
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import shlex
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.catalogue import Dataset
+from ..sources.tables import slug
 from .evaluator import RESULT
-from .search import Approach, run
+from .search import Approach
+from .search import run as search
 
 KEYS = ["dataset", "approach", "seed"]
 
@@ -67,16 +70,42 @@ class Grid:
     def pending(self, spark: SparkSession) -> DataFrame:
         return pending(self.jobs(spark), self.done(spark))
 
-    def run(self, spark: SparkSession, most: int = -1) -> int:
-        """Runs what is pending; each job's batches run in parallel tasks, so jobs go one after another."""
+    def run(self, spark: SparkSession, most: int = -1, dataset: str | None = None, approach: str | None = None, seed: int | None = None) -> int:
+        """Runs what is pending, or of that the named jobs; each job's batches run in parallel tasks, so jobs go one after another."""
         datasets, approaches = {d.name: d for d in self.datasets}, {a.name: a for a in self.approaches}
         todo = self.pending(spark).orderBy(*KEYS).collect()
+        todo = [j for j in todo if dataset in (None, j["dataset"]) and approach in (None, j["approach"]) and seed in (None, j["seed"])]
         todo = todo[:most] if most >= 0 else todo
         for j in todo:
-            r = run(datasets[j["dataset"]], spark, approaches[j["approach"]], 1, j["seed"] - 1, self.top_k, self.callbacks)[0]
+            if approaches[j["approach"]].scope == "once" and (state := self.state(spark, j["dataset"], j["approach"])) is not None:
+                approaches[j["approach"]].restore(state)
+            r = search(datasets[j["dataset"]], spark, approaches[j["approach"]], 1, j["seed"] - 1, self.top_k, self.callbacks)[0]
             spark.createDataFrame([r.row()], RESULT).coalesce(1).write.mode("append").partitionBy("dataset", "approach").parquet(f"{self.root}/results")
         return len(todo)
 
+    def adapt(self, spark: SparkSession) -> int:
+        """Adapts approaches that do so once, for each dataset without a stored state; the states are JSON beside the results."""
+        n = 0
+        for d in self.datasets:
+            for a in self.approaches:
+                if a.scope == "once" and self.state(spark, d.name, a.name) is None:
+                    a.adapt(d.load(spark), d.library)
+                    spark.createDataFrame([(json.dumps(a.state()),)], "value string").coalesce(1).write.mode("overwrite").text(self._state_path(d.name, a.name))
+                    n += 1
+        return n
+
+    def _state_path(self, dataset: str, approach: str) -> str:
+        return f"{self.root}/states/{slug(dataset)}/{slug(approach)}"
+
+    def state(self, spark: SparkSession, dataset: str, approach: str) -> dict | None:
+        path = self._state_path(dataset, approach)
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return json.loads(spark.read.text(path).first()[0]) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+
+    def commands(self, spark: SparkSession, launcher: str = "spark-submit") -> list[str]:
+        """A shell line for each pending job, to be run anywhere that sees root."""
+        return [f"{launcher} -m veldra run --grid {shlex.quote(self.root)} --dataset {shlex.quote(j['dataset'])} --approach {shlex.quote(j['approach'])} --seed {j['seed']}" for j in self.pending(spark).orderBy(*KEYS).collect()]
+
     def progress(self, spark: SparkSession) -> DataFrame:
         return progress(self.jobs(spark), self.done(spark), [a.name for a in self.approaches])
 

@@ -126,7 +126,7 @@ APPROACHES = {c.__name__: c for c in (GrammarSampling, Evolution)}
 def run(dataset, spark, approach: Approach, experiments: int = 1, seed: int = 0, top_k: int = 20, callbacks=(), store=None, **settings) -> list[Result]:
     """Experiments with seeds seed + 1, seed + 2, ..; the approach adapts as its scope says."""
     out = []
-    if approach.scope == "once":
+    if approach.scope == "once" and not approach.state():
         approach.adapt(dataset.load(spark, store), dataset.library)
     for k in range(experiments):
         own = seed + 1 + k

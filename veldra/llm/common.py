@@ -50,11 +50,27 @@ class Workspace:
         self.spark._jvm.System.gc()  # Spark deletes the shuffle files of plans that nothing refers to any more
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def part(self, name: str) -> Workspace:
+        """A workspace inside this one."""
+        out = Workspace.__new__(Workspace)
+        out.spark, out.root = self.spark, self.path(name)
+        return out
+
+    def _place(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, name: str) -> None:
         """Deletes a table that no later plan reads."""
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        at, fs = self._place(self.path(name))
+        fs.delete(at, True)
+
+    def drop_all_but(self, *names: str) -> None:
+        """Deletes what no later plan reads: everything but the named tables."""
+        root, fs = self._place(self.root)
+        for status in fs.listStatus(root):
+            if status.getPath().getName() not in names:
+                fs.delete(status.getPath(), True)
 
 
 def partitions(spark: SparkSession) -> int:

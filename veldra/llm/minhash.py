@@ -16,7 +16,7 @@ from .shingles import WordHashes, shingle_set
 #: 28 bands of 4 minima: a pair at similarity 0.8 is missed with probability (1 - 0.8^4)^28 = 4e-7.
 BANDS, ROWS = 28, 4
 #: Rows of a bucket that meet in one block; larger buckets are compared block by block.
-BLOCK = 256
+BLOCK = 1024
 #: Rows of a family that meet in one block, with their sets.
 FAMILY_BLOCK = 512
 #: Share of equal minima below which a pair isn't confirmed on full sets: over six deviations under 0.8.
@@ -237,27 +237,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in_bucket = work.put(member.join(bucket, "code").select("code", "id", "a", "size"), "buckets")
     pairs = work.put(in_bucket.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
     wanted = in_bucket.select("id").distinct().join(node.select("id", "h1"), "id")
-    sets = work.put(src.join(wanted, "id").select("id", "t", "h1").mapInArrow(_sets(width), "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    sets = work.put(src.join(wanted.hint("merge"), "id").select("id", "t", "h1").mapInArrow(_sets(width), "id long, shingles binary").dropDuplicates(["id"]), "sets")
     links = work.put(_links(work, pairs, sets, percent), "links")
-    comp = work.put(components(Workspace(spark, "minhash-cc"), links), "components").withColumnRenamed("node", "id")
+    comp = work.put(components(work.part("cc"), links), "components").withColumnRenamed("node", "id")
+    work.drop("pairs")
 
     seen = in_bucket.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = seen.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("code")
     rest = work.put(seen.join(mixed, "code").select("code", "id", "component", "size"), "mixed")
+    work.drop("buckets")
     traits = work.put(sig.join(node, ["id", "h1", "h2"], "left_semi").join(rest.select("id").distinct(), "id", "left_semi").select("id", "n", "low").dropDuplicates(["id"]), "traits")
     keys = ["code", "i", "j"]
     dealt = _blocks(rest.join(traits, "id"), "size", BLOCK).repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "id")
     near = work.put(dealt.select(*keys, "id", "n", "component", "block", "low").mapInArrow(_families(percent), "a long, b long").distinct(), "families")
     if not near.isEmpty():
-        family = work.put(components(Workspace(spark, "minhash-families"), near).select(F.col("node").alias("id"), F.col("component").alias("code")), "family")
+        family = work.put(components(work.part("cc-families"), near).select(F.col("node").alias("id"), F.col("component").alias("code")), "family")
         sizes = family.groupBy("code").agg(F.count("*").alias("size"))
         full = family.join(sizes, "code").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
         full = _blocks(full.join(traits, "id"), "size", FAMILY_BLOCK).join(sets, "id").repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "id")
         more = full.select(*keys, "id", "n", "component", "block", "low", "shingles").mapInArrow(_settle(percent), "a long, b long")
-        comp = work.put(components(Workspace(spark, "minhash-cc2"), work.put(links.union(more), "all-links")), "all-components").withColumnRenamed("node", "id")
+        comp = work.put(components(work.part("cc-all"), work.put(links.union(more), "all-links")), "all-components").withColumnRenamed("node", "id")
     label = node.join(comp, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
     out = sig.select("id", "n", "h1", "h2").join(label, ["h1", "h2"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+    out = work.put(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")), "result")
+    work.drop_all_but("result")
+    return out
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -267,7 +271,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     work = Workspace(spark, "minhash-stage")
     kept = work.put(near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    out = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi")
     repeated = kept.where("rows > 1").select("doc_id")
     if not repeated.isEmpty():
         out = out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

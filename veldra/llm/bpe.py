@@ -16,10 +16,15 @@ from pyspark.sql import functions as F
 
 from .common import kept, texts
 
-PRETOKEN_CACHE = 600_000
+#: Pre-tokens of at most 64 characters kept in a worker, about 200 bytes each.
+PRETOKEN_CACHE = 1_000_000
 #: Bytes of a pre-token up to which the rank queue is written out in place.
 SHORT = 64
 PAIR_CACHE = 2_000_000
+#: Single bits, and the first neighbours of short pieces.
+BIT = [1 << k for k in range(512)]
+ROWS = [list(range(1, n + 1)) for n in range(SHORT + 1)]
+BACK = list(range(-1, SHORT))
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -84,6 +89,15 @@ class Merger:
         self.pairs: dict[int, int] = {}
         self.find = regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
+        self.byte_pairs = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
+        self.reset()
+
+    def reset(self) -> None:
+        """The pair cache with nothing but the pairs of single bytes."""
+        self.pairs.clear()
+        for a in range(256):
+            for b in range(256):
+                self.pairs[self.single[a] << 32 | self.single[b]] = self.byte_pairs[a << 8 | b]
 
     def pair(self, left: int, right: int) -> int:
         """Rank of the two tokens joined, -1 if they don't join."""
@@ -91,7 +105,7 @@ class Merger:
         r = self.pairs.get(key)
         if r is None:
             if len(self.pairs) >= PAIR_CACHE:
-                self.pairs.clear()
+                self.reset()
             r = self.pairs[key] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
         return r
 
@@ -104,27 +118,29 @@ class Merger:
 
     def merge_short(self, piece: bytes) -> list[int]:
         """merge_long with the queue written out in place, in two levels, as calls would take most of the time of a short piece."""
-        single, known, pair = self.single, self.pairs.get, self.pair
+        single, known, pair, bit = self.single, self.pairs.get, self.pair, BIT
         ids = [single[b] for b in piece]
         n = len(ids)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
+        after = ROWS[n][:]
+        before = BACK[:n]
         bucket: dict[int, list[int]] = {}
         low: dict[int, int] = {}
         top = i = 0
-        left = ids[0]
-        for right in ids[1:]:
-            r = known(left << 32 | right)
-            if r is None:
-                r = pair(left, right)
+        joins = self.byte_pairs
+        left = piece[0]
+        for right in piece[1:]:
+            r = joins[left << 8 | right]
             if r >= 0:
                 if r in bucket:
                     bucket[r].append(i)
                 else:
                     bucket[r] = [i]
                     h = r >> 9
-                    low[h] = low.get(h, 0) | 1 << (r & 511)
-                    top |= 1 << h
+                    if h in low:
+                        low[h] |= bit[r & 511]
+                    else:
+                        low[h] = bit[r & 511]
+                        top |= bit[h]
             left = right
             i += 1
         while top:
@@ -132,16 +148,23 @@ class Merger:
             w = low[h]
             rank = h << 9 | (w & -w).bit_length() - 1
             w &= w - 1
-            low[h] = w
-            if not w:
+            if w:
+                low[h] = w
+            else:
+                del low[h]
                 top &= top - 1
             places = bucket.pop(rank)
             if len(places) > 1:
                 places.sort()
             for i in places:
                 left = ids[i]
+                if left < 0:
+                    continue
                 j = after[i]
-                if left < 0 or j >= n or known(left << 32 | ids[j]) != rank:
+                if j >= n:
+                    continue
+                r = known(left << 32 | ids[j])
+                if (pair(left, ids[j]) if r is None else r) != rank:
                     continue  # stale
                 ids[i] = rank
                 ids[j] = -1
@@ -149,29 +172,37 @@ class Merger:
                 g = before[i]
                 if k < n:
                     before[k] = i
-                    r = known(rank << 32 | ids[k])
+                    right = ids[k]
+                    r = known(rank << 32 | right)
                     if r is None:
-                        r = pair(rank, ids[k])
+                        r = pair(rank, right)
                     if r >= 0:
                         if r in bucket:
                             bucket[r].append(i)
                         else:
                             bucket[r] = [i]
                             h = r >> 9
-                            low[h] = low.get(h, 0) | 1 << (r & 511)
-                            top |= 1 << h
+                            if h in low:
+                                low[h] |= bit[r & 511]
+                            else:
+                                low[h] = bit[r & 511]
+                                top |= bit[h]
                 if g >= 0:
-                    r = known(ids[g] << 32 | rank)
+                    left = ids[g]
+                    r = known(left << 32 | rank)
                     if r is None:
-                        r = pair(ids[g], rank)
+                        r = pair(left, rank)
                     if r >= 0:
                         if r in bucket:
                             bucket[r].append(g)
                         else:
                             bucket[r] = [g]
                             h = r >> 9
-                            low[h] = low.get(h, 0) | 1 << (r & 511)
-                            top |= 1 << h
+                            if h in low:
+                                low[h] |= bit[r & 511]
+                            else:
+                                low[h] = bit[r & 511]
+                                top |= bit[h]
         return [x for x in ids if x >= 0]
 
     def merge_long(self, piece: bytes) -> list[int]:

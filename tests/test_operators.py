@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -11,7 +12,7 @@ from veldra.operators import score as S
 from veldra.operators.callbacks import Callback, EarlyStop, Log, Progress, Several
 from veldra.operators.evaluator import Evaluator, behaviour_gap
 from veldra.operators.grid import Grid
-from veldra.operators.search import Evolution, GrammarSampling, run
+from veldra.operators.search import Evolution, GrammarSampling, LatentEvolution, run
 from veldra.sources.catalogue import Dataset
 from veldra.sources.samplers import uniform
 
@@ -146,6 +147,12 @@ def test_searches(spark, tmp_path):
     assert again.best_expr == r[0].best_expr and again.num_evaluated == r[0].num_evaluated
     e = run(dataset(90), spark, Evolution(population=20, generations=3), 1, 2, max_iter=5)[0]
     assert e.num_evaluated > 0 and e.min_error < 10
+    lat = LatentEvolution(population=15, generations=2, samples=60)
+    z = run(dataset(60), spark, lat, 1, 2, max_iter=5)[0]
+    assert z.num_evaluated > 0 and z.evaluation_calls <= 60 and lat.state()["start"]
+    other = LatentEvolution(population=15, generations=2, samples=60)
+    other.restore(lat.state())
+    assert run(dataset(60), spark, other, 1, 2, max_iter=5)[0].best_expr == z.best_expr
     stop = EarlyStop(1e6)
     stop.on_start({"max_evaluations": 5})
     assert stop.max_evaluations == 5
@@ -174,6 +181,8 @@ def test_results_are_saved(four, tmp_path):
     save_results([r], str(tmp_path))
     again = load_results(str(tmp_path))
     assert again[0].best_expr == r.best_expr and again[0].top_models == r.top_models and "four" in r.show("all")
+    f = Evaluator.from_dict(json.loads(json.dumps(e.to_dict())), four)
+    assert f.evaluate(["X_0".split()]) == e.evaluate([["X_0"]])[:1] or e.stopped
     assert results_frame(four.sparkSession, again).first().success
     with pytest.raises(ValueError):
         save_results([r], str(tmp_path / "x.txt"))

@@ -6,7 +6,7 @@ import json
 import os
 import warnings
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -225,6 +225,18 @@ class Evaluator:
                 stop |= c.on_best(event) is False
         self.stopped |= stop
 
+    # storing
+
+    def to_dict(self) -> dict:
+        """Everything but the data and the memory of models."""
+        return {"format_version": 1, "columns": self.columns, "target": self.target, "library": self.library.to_dict(), "max_evaluations": self.max_evaluations, "threshold": self.threshold, "ranking": self.ranking, "ground_truth": self.ground_truth, "seed": self.seed, "settings": asdict(self.settings), "metadata": self.metadata}
+
+    @classmethod
+    def from_dict(cls, d: dict, data: DataFrame) -> Evaluator:
+        d = {k: v for k, v in d.items() if k != "format_version"}
+        settings = {k: tuple(v) if isinstance(v, list) else v for k, v in d.pop("settings").items()}
+        return cls(data, d.pop("columns"), d.pop("target"), SymbolLibrary.from_dict(d.pop("library")), settings=Settings(**settings), **d)
+
     # results
 
     def frame(self, spark=None) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict, dataclass
 
 import numpy as np
 
-from ..functions.grammar import Grammar, generate, generate_one
+from ..functions.grammar import Derivation, Grammar, generate, generate_one
 from ..functions.symbols import SymbolLibrary
 from ..functions.tree import Node, parse
 from .evaluator import Evaluator, Result
@@ -120,7 +121,94 @@ class Evolution(Approach):
         return a._fold(lambda n, x, y: new if n is nodes[at] else Node(n.symbol, y, x))
 
 
-APPROACHES = {c.__name__: c for c in (GrammarSampling, Evolution)}
+@dataclass
+class LatentEvolution(Approach):
+    """Evolves real vectors that a grammar decodes: convex crossover, mutation scaled by the spread of the population.
+
+    The i-th choice of a derivation is the rule at which the cumulated chances pass the i-th coordinate, taken as a normal
+    quantile. adapt() samples expressions and keeps the vectors of the readable ones as the start of every search.
+    """
+
+    name: str = "latent_evolution"
+    scope: str = "once"
+    latent_size: int = 32
+    population: int = 40
+    generations: int = 50
+    mutation: float = 0.5
+    max_length: int = 30
+    samples: int = 400
+
+    def __post_init__(self):
+        self.start: list[list[float]] = []
+
+    def decode(self, grammar: Grammar, z: np.ndarray) -> list[str] | None:
+        """Tokens of a vector; None if its coordinates are used up before the derivation is complete."""
+        d = Derivation(grammar)
+        for x in z:
+            if d.complete:
+                break
+            options = d.options()
+            if not options:
+                return None
+            u = 0.5 * (1 + math.erf(float(x) / math.sqrt(2)))
+            at = int(np.searchsorted(np.cumsum([w for _, w in options]), u))
+            d.apply(options[min(at, len(options) - 1)][0])
+        if not d.complete or len(d.tokens()) > self.max_length:
+            return None
+        return d.tokens()
+
+    def adapt(self, data, library: SymbolLibrary) -> None:
+        grammar = Grammar.of_library(library)
+        spark, own = data.sparkSession, self
+
+        def run(frames):
+            import pandas as pd
+
+            for pdf in frames:
+                found = []
+                for i in pdf["id"]:
+                    z = np.random.default_rng([own.latent_size, int(i)]).standard_normal(own.latent_size)
+                    if own.decode(grammar, z) is not None:
+                        found.append((int(i), z.tolist()))
+                yield pd.DataFrame(found, columns=["id", "z"])
+
+        rows = spark.range(self.samples).mapInPandas(run, "id long, z array<double>").orderBy("id").collect()
+        self.start = [list(r["z"]) for r in rows]
+
+    def state(self) -> dict:
+        return {"start": self.start} if self.start else {}
+
+    def restore(self, state: dict) -> None:
+        self.start = state.get("start", [])
+
+    def search(self, evaluator: Evaluator, seed: int | None = None) -> None:
+        if not self.start:
+            self.adapt(evaluator.data, evaluator.library)
+        rng = np.random.default_rng(seed)
+        grammar = Grammar.of_library(evaluator.library)
+        pool = np.array(self.start)
+        crowd = pool[rng.choice(len(pool), self.population, replace=len(pool) < self.population)]
+        fitness = self._fitness(evaluator, grammar, crowd)
+        for _ in range(self.generations):
+            if evaluator.stopped:
+                return
+            at = np.array([[min(rng.integers(0, len(crowd), 3), key=lambda i: fitness[i]) for _ in range(2)] for _ in range(self.population)])
+            share = rng.random((self.population, 1))
+            children = share * crowd[at[:, 0]] + (1 - share) * crowd[at[:, 1]]
+            children += (rng.random((self.population, 1)) < self.mutation) * rng.standard_normal(children.shape) * (crowd.std(axis=0) + 0.1)
+            scores = self._fitness(evaluator, grammar, children)
+            both, all_scores = np.concatenate([crowd, children]), np.concatenate([fitness, scores])
+            best = np.argsort(all_scores, kind="stable")[: self.population]
+            crowd, fitness = both[best], all_scores[best]
+
+    def _fitness(self, evaluator: Evaluator, grammar: Grammar, crowd: np.ndarray) -> np.ndarray:
+        decoded = [self.decode(grammar, z) for z in crowd]
+        errors = iter(evaluator.evaluate([t for t in decoded if t is not None]))
+        scores = np.array([np.inf if t is None else next(errors) for t in decoded])
+        return np.where(np.isnan(scores), np.inf, scores)
+
+
+APPROACHES = {c.__name__: c for c in (GrammarSampling, Evolution, LatentEvolution)}
 
 
 def run(dataset, spark, approach: Approach, experiments: int = 1, seed: int = 0, top_k: int = 20, callbacks=(), store=None, **settings) -> list[Result]:

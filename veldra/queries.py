@@ -21,7 +21,7 @@ from .operators import fit as FIT
 from .operators import grid as GRID
 from .operators import results as R
 from .operators import score as S
-from .operators.evaluator import Evaluator
+from .operators.evaluator import Evaluator, results_frame
 from .plans.compile import hoisted, to_column, to_sql
 from .sources import catalogue, sample_source, samplers
 
@@ -515,10 +515,50 @@ def search_sampling(spark, sf):
     d = catalogue.catalogue()["Nguyen"].datasets["NG-8"]
     d.max_evaluations, d.rows = 60, 200
     r = run(d, spark, GrammarSampling(batch=30), 1, 5, max_iter=20)[0]
-    return spark.createDataFrame([r.row()], "dataset string, approach string, seed int, min_error double, best_expr string, num_evaluated long, evaluation_calls long, success boolean")
+    return results_frame(spark, [r])
 
 
-@query(RUNNING.replace("SELECT experiment_id, eval_no, error, min(error) OVER w AS best_before,", "SELECT experiment_id, eval_no, error, min(error) OVER w AS best_before,"))
+@query()
+def search_evolution(spark, sf):
+    """Evolution of trees with a budget."""
+    from .operators.search import Evolution, run
+
+    d = catalogue.catalogue()["Nguyen"].datasets["NG-8"]
+    d.max_evaluations, d.rows = 60, 200
+    r = run(d, spark, Evolution(population=20, generations=3), 1, 5, max_iter=10)[0]
+    return results_frame(spark, [r])
+
+
+@query()
+def search_latent(spark, sf):
+    """Evolution of vectors that the grammar decodes."""
+    from .operators.search import LatentEvolution, run
+
+    d = catalogue.catalogue()["Nguyen"].datasets["NG-8"]
+    d.max_evaluations, d.rows = 40, 200
+    r = run(d, spark, LatentEvolution(population=20, generations=2, samples=60), 1, 5, max_iter=10)[0]
+    return results_frame(spark, [r])
+
+
+@query()
+def grammar_statistics(spark, sf):
+    return G.statistics(spark, LIB, 500, 3)
+
+
+@query()
+def behaviour_sampled_constants(spark, sf):
+    """Behaviour distance with constants from a Latin hypercube."""
+    c = S.latin_hypercube(16, [(-5, 5)], 3).tolist()
+    return S.behaviour_distance_of(points(spark, sf), BEHAVES, OTHER, COLUMNS, c, None, LIB)
+
+
+@query(values([("X_0", "var", 1000), ("+", "op", 100), ("*", "op", 200), ("^", "op", 300), ("sin", "fn", 1000), ("^2", "fn", -1000), ("pi", "lit", 1000), ("C", "const", 1000)], "symbol, type, precedence"))
+def symbol_table(spark, sf):
+    """Symbols by type and precedence, as a table."""
+    return LIB.frame(spark).where(F.col("symbol").isin("X_0", "+", "*", "^", "sin", "^2", "pi", "C")).select("symbol", "type", "precedence")
+
+
+@query(RUNNING)
 def stream_running_best(spark, sf):
     """The running best as a stream with state: the batch answer."""
     import uuid

@@ -19,8 +19,8 @@ KEYS = ["dataset", "approach", "seed"]
 
 
 def jobs(datasets: DataFrame, approaches: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Every dataset with every approach and seed; the three tables are one column each."""
-    return datasets.crossJoin(F.broadcast(approaches)).crossJoin(F.broadcast(seeds))
+    """Every dataset with every approach and seed; the three tables are one column each, and the result is this product by definition."""
+    return datasets.crossJoin(approaches).crossJoin(seeds)
 
 
 def pending(all_jobs: DataFrame, done: DataFrame, keys: list[str] = KEYS) -> DataFrame:

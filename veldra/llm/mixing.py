@@ -18,7 +18,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 EPOCHS = 2
 #: Words of a block, slots of an output shard, documents of a layout bucket.
-BLOCK_WORDS, SHARD_SLOTS, BUCKET_DOCS = 2048, 16384, 512
+BLOCK_WORDS, SHARD_SLOTS, BUCKET_DOCS = 2048, 65536, 512
 SEED = 7
 
 
@@ -218,18 +218,19 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "mix-stage")
     laid, slot, _ = plan(work, docs, "doc_id", "text", "source", WEIGHTS, SHARE, SEED)
     columns = docs.columns
-    took = spans(laid, slot).groupBy("k", "start", "id", "size", "epoch").agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))
-    took = work.put(took.select(F.col("id").alias("_id"), F.col("size").alias("_size"), "k", "start", "epoch", "_ranges"), "taken")
+    took = spans(laid, slot).groupBy("k", "start", "id", "size", "epoch").agg(F.collect_list(F.struct("lo", "hi")).alias("_mix_ranges"))
+    took = work.put(took.select(F.col("id").alias("_mix_id"), F.col("size").alias("_mix_size"), "k", "start", "_mix_ranges"), "taken")
     held = [F.col(f"`{c}`") for c in columns]
     if laid.where("size > 0").groupBy("id").count().where("count > 1").isEmpty():
-        joined = docs.join(took, F.col("doc_id").eqNullSafe(F.col("_id")))
+        took = took.drop("k", "start")
+        joined = docs.join(took, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
     else:  # rows that share an id and a size are told apart by their number
         place = F.row_number()
-        number = laid.where("size > 0").select(F.col("id").alias("_id"), F.col("size").alias("_size"), "k", "start", place.over(W.partitionBy("id", "size").orderBy("k", "start")).alias("_r"))
-        took = took.join(number, took["_id"].eqNullSafe(number["_id"]) & (took["_size"] == number["_size"]) & (took["k"] == number["k"]) & (took["start"] == number["start"])).select(took["_id"], took["_size"], "_ranges", "_r")
-        count = F.regexp_count("text", F.lit(WORD)).cast("long")
-        mine = docs.withColumn("_n", count).withColumn("_q", place.over(W.partitionBy("doc_id", "_n").orderBy("source", F.xxhash64("text"))))
-        joined = mine.join(took, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")) & (F.col("_q") == F.col("_r")))
-    joined = joined.select(*held, "_size", "_ranges")
+        number = laid.where("size > 0").select(F.col("id").alias("_i"), F.col("size").alias("_s"), F.col("k").alias("_k"), F.col("start").alias("_a"), place.over(W.partitionBy("id", "size").orderBy("k", "start")).alias("_mix_r"))
+        took = took.join(number, F.expr("_mix_id <=> _i AND _mix_size = _s AND k = _k AND start = _a")).select("_mix_id", "_mix_size", "_mix_ranges", "_mix_r")
+        mine = docs.withColumn("_mix_n", F.regexp_count(F.col("text"), F.lit(WORD)).cast("long"))
+        mine = mine.withColumn("_mix_q", place.over(W.partitionBy("doc_id", "_mix_n").orderBy("source", F.xxhash64("text"))))
+        joined = mine.join(took, F.expr("doc_id <=> _mix_id AND _mix_n = _mix_size AND _mix_q = _mix_r"))
+    joined = joined.select(*held, "_mix_size", "_mix_ranges")
     out = joined.mapInArrow(_taken(columns, columns.index("text")), docs.schema)
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))

@@ -15,7 +15,7 @@ from .shingles import MIX, WordHashes, mixed, rolled, split_words
 
 WINDOW, MINIMISER = 35, 8
 #: Distinct super-k-mers up to which a bucket is sorted in one piece; larger ones are counted window by window.
-BUCKET = 512
+BUCKET = 4096
 INVERSE = np.uint64(pow(int(MIX), -1, 2**64))
 
 
@@ -87,7 +87,8 @@ SURE, MIXED, SHOWN = 0, 1, 2
 
 
 def _cut(window: int, width: int):
-    """Rows (k, h, text, places): the text's super-k-mers that are told of. Of those that are shown the words go along.
+    """Rows (k, h, text, places): the text's super-k-mers that are told of. Of those that are shown the words go along; sure
+    ones that follow each other become one row.
 
     They are told apart by the hash of the run, so rows that share an id may look at each other's without harm.
     """
@@ -102,16 +103,32 @@ def _cut(window: int, width: int):
                 found = super_kmers(cache.of(words), window, width, powers)
                 if not found:
                     continue
-                kinds: dict[int, list[tuple[int, int]]] = {}
-                for p in places.as_py():
-                    kinds.setdefault(p["run"], []).append((p["kind"], p["n"]))
+                runs, kinds, ns = (places.values.field(i).to_numpy() for i in range(3))
                 first, last, _, mini, whole = found
-                for f, e, m, w in zip(first.tolist(), last.tolist(), mini.view(np.int64).tolist(), whole.view(np.int64).tolist(), strict=True):
-                    for kind, n in kinds.get(w, ()):
-                        packed = b" ".join(words[f : e + window]) if kind == SHOWN else None
-                        out.append((k, h, f, e - f + 1, kind, m, w, n, packed))
-                        size += len(packed or b"")
-                if size > 8_000_000 or len(out) > 50_000:
+                whole = whole.view(np.int64)
+                mini = mini.view(np.int64)
+                for kind in (SURE, MIXED, SHOWN):
+                    wanted = kinds == kind
+                    at = np.flatnonzero(np.isin(whole, runs[wanted]))
+                    if not len(at):
+                        continue
+                    if kind == SURE:
+                        starts = np.flatnonzero(np.diff(at, prepend=at[0] - 2) > 1)
+                        ends = np.append(starts[1:], len(at)) - 1
+                        f, e = first[at[starts]], last[at[ends]]
+                        m = w = n = np.zeros(len(f), np.int64)
+                        packed: list = [None] * len(f)
+                    else:
+                        f, e, m, w = first[at], last[at], mini[at], whole[at]
+                        n, packed = np.ones(len(f), np.int64), [None] * len(f)
+                        if kind == SHOWN:
+                            number = dict(zip(runs[wanted].tolist(), ns[wanted].tolist(), strict=True))
+                            n = np.array([number[x] for x in w.tolist()])
+                            packed = [b" ".join(words[i : j + window]) for i, j in zip(f.tolist(), e.tolist(), strict=True)]
+                            size += sum(map(len, packed))
+                    same = len(f)
+                    out.append((np.full(same, k), np.full(same, h), f, e - f + 1, np.full(same, kind), m, w, n, packed))
+                if size > 8_000_000 or len(out) > 2000:
                     yield _batch(out)
                     out, size = [], 0
             if out:
@@ -124,9 +141,10 @@ CUT = "k long, h long, start int, windows int, kind int, mini long, run long, n
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    names = ["k", "h", "start", "windows", "kind", "mini", "run", "n", "packed"]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    cols = list(zip(*rows, strict=True))
+    arrays = [pa.array(np.concatenate(c), t, safe=False) for c, t in zip(cols, kinds, strict=False)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array([x for c in cols[8] for x in c], pa.binary())], names=["k", "h", "start", "windows", "kind", "mini", "run", "n", "packed"])
 
 
 def _windows(packed: bytes, window: int) -> list[bytes]:
@@ -223,6 +241,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = src.schema["id"].dataType.simpleString()
     mini = work.put(src.select("k", "t").mapInArrow(_minimisers(window, width), "k long, mini long, run long"), "minimisers")
     often = mini.groupBy("mini").agg(F.count("*").alias("c"), F.min("run").alias("lo"), F.max("run").alias("hi")).where("c > 1").select("mini", (F.col("lo") < F.col("hi")).alias("mixed"))
+    often = work.put(often, "often")  # written, so that Spark can split a skewed side of the join
     found = work.put(mini.join(often, "mini").select("k", "mini", "run", "mixed"), "repeated")
     work.drop("minimisers")
     shown = found.where("mixed").groupBy("mini", "run").agg(F.count("*").alias("n"), F.min("k").alias("k")).select("k", "run", F.lit(SHOWN).alias("kind"), "n")

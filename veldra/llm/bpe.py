@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import kept, texts
 
 #: Pre-tokens of at most 64 characters kept in a worker, about 200 bytes each.
-PRETOKEN_CACHE = 1_000_000
+PRETOKEN_CACHE = 400_000
 #: Bytes of a pre-token up to which the rank queue is written out in place.
 SHORT = 64
 PAIR_CACHE = 2_000_000

@@ -12,7 +12,7 @@ STEP = np.uint64(0xD6E8FEB86659FD93)
 class WordHashes(dict):
     """Word bytes to a 64-bit hash, kept between texts; bounded, as it starts afresh when it is full."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 

@@ -256,7 +256,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     single = work.put(single.dropDuplicates(["mini", "run", "at"]), "single")
     common = single.groupBy("w1", "w2").agg(F.sum("n").alias("c")).where("c > 1").select("w1", "w2")
     twice = work.put(twice.union(single.join(common, ["w1", "w2"], "left_semi").select("mini", "run", "at")), "twice")
-    marks = twice.groupBy("mini", "run").agg(F.collect_list("at").alias("ats"))
+    marks = work.put(twice.groupBy("mini", "run").agg(F.collect_list("at").alias("ats")), "marks")  # written for the same reason
     span = lambda lo, windows: F.struct(lo.cast("int").alias("lo"), (lo + windows + window - 1).cast("int").alias("hi"))
     sure = cut.where(F.col("kind") == SURE).select("k", "h", span(F.col("start"), F.col("windows")).alias("s"))
     rest = cut.where(F.col("kind") == MIXED).select("k", "h", "start", "mini", "run").join(marks, ["mini", "run"]).select("k", "h", F.explode(F.transform("ats", lambda a: span(F.col("start") + a, F.lit(1)))).alias("s"))

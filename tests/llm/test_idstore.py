@@ -21,6 +21,10 @@ def test_words_give_the_ids_of_whole_texts():
     bits = ["a", "É", "é", "́", " ", "\n", "\t", " ", " ", "'s", "don't", "12", "<|endoftext|>", "漢", "🙂", ".", "ΑΣ", "\x1c", "İ", "ﬁ"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 30))) for _ in range(3000)]
     assert idstore.Encoder(PATH).encode(texts) == whole(texts)
+    words = ["".join(rng.choice("abcXYZéßΣσİΩﬁ漢あकि'1.,!?;-_") for _ in range(rng.randrange(1, 12))) for _ in range(6000)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(400)]
+    encoder = idstore.Encoder(PATH)
+    assert encoder.encode(texts) == whole(texts) == encoder.encode(texts)
 
 
 def test_blocks_round_trip():

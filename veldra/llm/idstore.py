@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,42 +36,80 @@ HEAD = "<4sII32sQ"
 HEAD_SIZE = struct.calcsize(HEAD)
 #: A block is closed when it has so many bytes of frames or so many documents.
 BLOCK_BYTES, BLOCK_DOCS = 4_000_000, 4096
-#: The dictionary: its size, and its bounded sample (documents of smallest hash among those of at most so many characters).
+#: The dictionary: its size, and its bounded sample (documents of smallest id hash, of them those of at most so many characters).
 DICT_BYTES, DICT_DOCS, DICT_CHARS = 32_768, 400, 20_000
-WORD_CACHE = 400_000
+#: Words kept in a worker, about 200 bytes each; words of letters that are encoded together.
+WORD_CACHE, TOGETHER = 1_200_000, 64
+#: Marks behind a word that are pieces of their own, and the end of tokens that end a piece.
+MARKS, WORD_END = ".,;:!?", "</w>"
 LEVEL = 1
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library; words seen before come from a bounded cache.
+    """Ids of texts by the tokenizers library; words seen before come from bounded caches.
 
     Texts are cut at single spaces and line breaks, where this kind of tokenizer (white space dropped) always parts: the ids of a text
-    are those of its words in order.
+    are those of its words in order. It parts letters from marks too, so a word of letters with marks behind is the word's ids
+    and the marks', and as every piece ends in a token of the vocabulary's word ends, many words of letters are encoded as
+    one text and told apart by those tokens.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        ends = [0] * self.tokenizer.get_vocab_size()
+        for token, i in self.tokenizer.get_vocab().items():
+            ends[i] = token.endswith(WORD_END)
+        self.ends = np.array(ends, bool)
         self.cache: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {"": b""}
 
     def library(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        out = []
+        for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
+            ids = array("I", e.ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            out.append(ids.tobytes())
+        return out
+
+    def _letters(self, words: list[str]) -> None:
+        """Caches words of letters, TOGETHER of them as one text; where their word ends don't tell them apart, one by one."""
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for group, raw in zip(groups, self.library([" ".join(g) for g in groups]), strict=True):
+            at = (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1) * 4
+            if len(at) == len(group) and (not len(at) or at[-1] == len(raw)):
+                cuts = [0, *at.tolist()]
+                self.cores.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+            else:
+                self.cores.update(zip(group, self.library(group), strict=True))
 
     def encode(self, found: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in found]
         if len(self.cache) > WORD_CACHE:
             self.cache = {"": b""}
-        cache = self.cache
-        new = list({w for words in cut for w in words if w not in cache})
-        fresh: dict[str, bytes] = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            fresh.update(zip(part, self.library(part), strict=True))
-        both = cache | fresh if len(fresh) > 50_000 else cache
-        if both is cache:
-            cache.update(fresh)
-        return [b"".join(map(both.__getitem__, words)) for words in cut]
+        if len(self.cores) > WORD_CACHE:
+            self.cores = {"": b""}
+        cache, cores = self.cache, self.cores
+        parts, whole = [], []
+        for w in set().union(*cut).difference(cache):
+            core, tail = w, ""
+            if not w.isalpha():
+                core = w.rstrip(MARKS)
+                tail = w[len(core) :]
+            if core.isascii() and core.isalpha():
+                parts.append((w, core.lower(), tail))
+            elif core.isalpha() and core.lower().isalpha():  # some capitals have a mark in lower case
+                parts.append((w, core, tail))
+            else:
+                whole.append(w)
+        self._letters(list({c for _, c, _ in parts}.difference(cores)))
+        tails = list({t for _, _, t in parts}.difference(cores))
+        cores.update(zip(tails, self.library(tails), strict=True))
+        cache.update((w, cores[c] + cores[t] if t else cores[c]) for w, c, t in parts)
+        cache.update(zip(whole, self.library(whole), strict=True))
+        return [b"".join(map(cache.__getitem__, words)) for words in cut]
 
 
 def train(samples: list[bytes]) -> bytes:
@@ -179,7 +219,7 @@ def write(docs: DataFrame, tokenizer_path: str, end: int = 2, id_col: str = "doc
     spark = session(docs)
     work = Workspace(spark, "ids")
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).where("id IS NOT NULL")
-    chosen = [r["id"] for r in src.where(F.length("t") <= DICT_CHARS).select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(DICT_DOCS).collect()]
+    chosen = [r["id"] for r in src.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(DICT_DOCS).collect()]
     sample = [r["t"] for r in src.where(F.col("id").isin(chosen) & (F.length("t") <= DICT_CHARS)).orderBy("id", F.xxhash64("t")).limit(DICT_DOCS).collect()] if chosen else []
     dictionary = train(Encoder(tokenizer_path).encode([t or "" for t in sample]))
     ordered = src.withColumn("h", F.xxhash64("t")).repartitionByRange(partitions(spark), "id", "h").sortWithinPartitions("id", "h").select("id", "t")

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import kept, texts
 
-#: Pre-tokens of at most 64 characters kept in a worker, about 200 bytes each.
-PRETOKEN_CACHE = 400_000
+#: Pre-tokens of at most 64 characters kept in a worker, about 200 bytes each: by the operator, and in a pipeline, whose other
+#: stages use the same workers.
+PRETOKEN_CACHE, STAGE_CACHE = 1_000_000, 300_000
 #: Bytes of a pre-token up to which the rank queue is written out in place.
 SHORT = 64
 PAIR_CACHE = 2_000_000
@@ -82,7 +83,8 @@ class RankQueue:
 class Merger:
     """Merges of one rank file. A pair of ids that joins into a token is looked up by the joined bytes once and then by id."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = PRETOKEN_CACHE):
+        self.most = most
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
@@ -253,7 +255,7 @@ class Merger:
                 found = self.merge(p.encode("utf-8", "replace"))
                 ids = struct.pack(f"<{len(found)}I", *found)
                 if len(p) <= 64:
-                    if len(pieces) >= PRETOKEN_CACHE:
+                    if len(pieces) >= self.most:
                         pieces.clear()
                     pieces[p] = ids
             out.append(ids)
@@ -263,9 +265,9 @@ class Merger:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _run(path: str, pattern: str, digest: bool):
+def _run(path: str, pattern: str, digest: bool, most: int = PRETOKEN_CACHE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = kept(("bpe", path, pattern), lambda: Merger(load_ranks(path), pattern))
+        m = kept(("bpe", path, pattern, most), lambda: Merger(load_ranks(path), pattern, most))
         for batch in batches:
             ids = batch.column(0)
             rows: list[tuple] = []
@@ -301,11 +303,11 @@ def encode_column(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     return src.mapInArrow(_run(ranks_path, pattern, False), f"id {kind}, n long, a binary, b binary").toDF(id_col, "n_tokens", "ids", "decoded")
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = PRETOKEN_CACHE) -> DataFrame:
     """encode_column with SHA-256 of both outputs in their place, taken where the text is, so that no ids travel."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(_run(ranks_path, pattern, True), f"id {kind}, n long, a string, b string").toDF(id_col, "n_tokens", "ids_sha256", "decoded_sha256")
+    return src.mapInArrow(_run(ranks_path, pattern, True, most), f"id {kind}, n long, a string, b string").toDF(id_col, "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def _public() -> tuple[str, str]:
@@ -320,4 +322,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: ids of every document, as digests."""
-    return digests(docs, *_public())
+    return digests(docs, *_public(), most=STAGE_CACHE)

@@ -58,6 +58,25 @@ def test_fits(four, spark):
         FIT.fit_many(spark.createDataFrame([], "expr_key string, tokens array<string>"), np.zeros((10**7, 1)), np.zeros(10**7))
 
 
+def test_registered_fits_and_behaviours_take_every_row(spark, tmp_path):
+    from veldra import queries as Q
+
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(1, 50, 30).astype(float), rng.uniform(900, 9000, 30), rng.uniform(0, 0.1, 30), rng.uniform(0, 0.08, 30)])
+    keys = [k for k in range(2, 60) if k % 7 and k % 50 != 1][:30]  # none of the orders that were used before
+    spark.createDataFrame([(k, 1, *map(float, r)) for k, r in zip(keys, x, strict=True)], "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    y = 2 * x[:, 0] + 3 * (x[:, 2] + 0.5) ** 2
+    got = {r.expr_key: r for r in Q.fit_nonlinear(spark, str(tmp_path)).collect()}
+    c = x[:, 0] @ y / (x[:, 0] @ x[:, 0])
+    assert abs(got["C*X_0"].error - math.sqrt(np.mean((c * x[:, 0] - y) ** 2))) < 1e-6 and got["C*X_0"].constants == 1
+    for e in ("sin ( C * X_0 )", "exp ( C * X_2 ) + C"):
+        assert abs(got[e.replace(" ", "")].error - FIT.fit_rows(e.split(), x, y, FIT.Settings(), 1, Q.LIB)[0]) < 1e-3
+    samples = S.latin_hypercube(16, [(-5, 5)], 3)[:, 0]
+    u, v = x[:, 2:3] * samples + np.sin(x[:, :1]), x[:, 2:3] * samples + np.cos(x[:, :1])
+    want = np.mean(np.abs(np.sort(u) - np.sort(v)))
+    assert abs(Q.behaviour_sampled_constants(spark, str(tmp_path)).first().bed - want) < 1e-9
+
+
 def test_minimise_never_ends_above_its_start():
     rng = np.random.default_rng(1)
     for _ in range(30):

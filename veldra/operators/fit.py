@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.symbols import SymbolLibrary
 from ..functions.tree import Node, as_tree, constants as count_constants
 from ..plans.compile import Hoisted, bindings, to_column
-from .score import score_constants
+from .score import score_many
 
 #: Bytes of data that may be sent to every task; beyond it the data stay distributed.
 MOST_SENT = 64_000_000
@@ -204,12 +204,10 @@ def fit_distributed(df: DataFrame, expr: Node | list[str], columns: Sequence[str
     if linear_parts(tree, library) and count_constants(tree, library):
         return fit_linear(df, tree, columns, target, settings, library)
     k = count_constants(tree, library)
-    spark = df.sparkSession
 
     def errors(points: np.ndarray) -> np.ndarray:
-        table = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "sample_id long, c array<double>")
-        got = {r["sample_id"]: r["error"] for r in score_constants(df, tree, columns, target, table, library).collect()}
-        return np.array([got.get(i, np.nan) for i in range(len(points))], float) ** 2
+        got = {r["expr_key"]: r["error"] for r in score_many(df, [(str(i), tree, p.tolist()) for i, p in enumerate(points)], columns, target, library).collect()}
+        return np.array([got.get(str(i), np.nan) for i in range(len(points))], float) ** 2
 
     lo, hi = settings.constant_bounds
     value, c = minimise(errors, start_of("".join(tree.to_list(library)), k, settings, seed), lo, hi, settings.max_iter, settings.tol * 1e-3, settings.gtol * 1e-3)

@@ -46,3 +46,15 @@ def test_quality_edge_cases(spark):
     lines = [" ".join(f"l{k}q{j}" for j in range(12)) for k in range(6)]
     many = [(i, "\n".join([*lines, f"own {i}"]), "h") for i in range(30)]
     assert not any(r.kept for r in quality.line_quality(spark.createDataFrame(many, "doc_id long, text string, source string")).collect())
+
+
+def test_frequent_lines_leave_the_text(spark):
+    from veldra.llm import quality
+
+    own = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(15)]
+    rows = [(i, f"Terms of  Use {i}\n\n{own[i]}\nterms of use 7\n", "en", "h", 9) for i in range(15)]
+    rows += [(20, f"Terms of use 1\n{own[0]}", "en", "other", 9), (21, "\n" + own[1] + "\n", "en", None, None), (0, *rows[0][1:]), (22, None, "en", "h", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = [(i, f"\n{own[i]}\n", "en", "h", len(own[i]) + 2) for i in range(15)]
+    want += [rows[15], rows[16], want[0]]
+    assert sorted(map(repr, map(tuple, quality.stage(spark, docs, "").collect()))) == sorted(map(repr, want))

@@ -50,6 +50,12 @@ def repeat_words(words: Column) -> Column:
     return let(hashed, lambda h: F.when(F.size(h) < 4, F.lit(0).cast("long")).otherwise(let(windows(h), covered)))
 
 
+def without(text: Column, gone: Column) -> Column:
+    """The text without the lines whose normalised hash is in gone; null or empty gone leaves it as it is."""
+    left = F.filter(F.split(text, "\n"), lambda y: ~F.array_contains(gone, F.xxhash64(normalised(y))))
+    return F.when(F.size(gone) > 0, F.array_join(left, "\n")).otherwise(text)
+
+
 def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, line_words: int = LINE_WORDS, keep_percent: int = KEEP_PERCENT, keyed: bool = False) -> DataFrame:
     """Base counts, and the verdict by the frequency of lines over the documents of a host.
 
@@ -59,7 +65,8 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Nulls: a null text is the empty text (no words, so base_failed); a null host is one host of its own; a null id is
     carried as it is. Repeated rows each get a result. An empty table gives an empty result. Extra columns are ignored,
-    whatever their names; keyed=True adds host and key, a hash of the text, by which rows can be found again. Very long texts: sorting within the row,
+    whatever their names; keyed=True adds host and key, a hash of the text, by which rows can be found again,
+    and gone, the hashes of the document's frequent lines (null without any), which without() takes out of the text; cleaned() does both. Very long texts: sorting within the row,
     no windows are shuffled.
 
     Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept_words, kept.
@@ -80,22 +87,30 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hosts = base.select("host", "key").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     often = each.where(F.col("k") <= line_words).select("host", "h", "key").distinct().groupBy("host", "h").agg(F.count("*").alias("found")).where(F.col("found") > line_docs)
     often = often.alias("o").join(hosts.alias("s"), F.expr("o.host <=> s.host")).where(F.col("found") > F.col("docs") * F.lit(line_share)).select("o.host", "o.h")
-    gone = each.where(F.col("k") <= line_words).alias("e").join(often.alias("o"), F.expr("e.h = o.h AND e.host <=> o.host"), "left_semi").groupBy("n").agg(F.sum("k").alias("gone"))
+    gone = each.where(F.col("k") <= line_words).alias("e").join(often.alias("o"), F.expr("e.h = o.h AND e.host <=> o.host"), "left_semi").groupBy("n").agg(F.sum("k").alias("gone"), F.array_sort(F.collect_set("h")).alias("gone_lines"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    out = base.join(gone, "n", "left").select("id", "host", "key", "w.n_words", "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), "w.n_repeat_words", (F.col("w.n_words") - F.coalesce("gone", F.lit(0))).alias("kept_words"))
+    out = base.join(gone, "n", "left").select("id", "host", "key", "w.n_words", "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), "w.n_repeat_words", (F.col("w.n_words") - F.coalesce("gone", F.lit(0))).alias("kept_words"), F.col("gone_lines").alias("gone"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (100 * F.col("kept_words") >= keep_percent * F.col("n_words")))
-    return out.select(F.col("id").alias(id_col), *(["host", "key"] if keyed else []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept_words", "kept")
+    return out.select(F.col("id").alias(id_col), *(["host", "key", "gone"] if keyed else []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept_words", "kept")
 
 
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that pass, with their columns unchanged.
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The documents that pass, without their frequent lines; n_chars follows a text that lost some, all else is unchanged.
 
     Verdicts are small rows; documents are found again by id, host and a hash of the text, on which a verdict depends.
     """
     place = lambda i, host, key: F.xxhash64(i, host, key)
-    passed = line_quality(docs, keyed=True).where("kept").select(place("doc_id", "host", "key").alias("_place")).distinct()
+    passed = line_quality(docs, keyed=True).where("kept").groupBy(place("doc_id", "host", "key").alias("_place")).agg(F.first("gone", True).alias("_gone"))
     mine = docs.withColumn("_place", place("doc_id", F.col("source").cast("string"), F.xxhash64(F.col("text").cast("string"))))
-    return mine.join(passed.hint("merge"), "_place", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    out = mine.join(passed.hint("merge"), "_place").withColumn("text", without(F.col("text"), F.col("_gone")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull() & (F.size("_gone") > 0), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*(f"`{c}`" for c in docs.columns))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the documents that pass, without the frequent lines of their host."""
+    return cleaned(docs)
 
 
 ORACLE = rf"""

@@ -58,3 +58,17 @@ def test_frequent_lines_leave_the_text(spark):
     want = [(i, f"\n{own[i]}\n", "en", "h", len(own[i]) + 2) for i in range(15)]
     want += [rows[15], rows[16], want[0]]
     assert sorted(map(repr, map(tuple, quality.stage(spark, docs, "").collect()))) == sorted(map(repr, want))
+
+
+def test_long_lines_and_large_hosts_have_no_exemption(spark):
+    from veldra.llm import quality
+
+    licence = " ".join(f"l{chr(97 + k)}" for k in range(26)) + " since "
+    rows = [(i, licence + f"{1990 + i}\n" + " ".join(f"w{i}x{k}" for k in range(60)), "h") for i in range(15)]
+    rows += [(100 + i, licence + "1\n" + " ".join(f"v{i}x{k}" for k in range(5)) + "\n" + licence + "2", "h") for i in range(2)]
+    got = {r.doc_id: r for r in quality.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[3].kept and got[3].kept_words == 60 and got[100].kept_words == 5 and not got[100].kept
+    # 1,100 of 150,000 documents: under LINE_SHARE of the host, over LINE_MOST
+    n = "concat_ws(' ', transform(sequence(0, 1), k -> concat('w', translate(cast(id * 2 + k as string), '0123456789', 'abcdefghij'))))"
+    many = spark.range(150_000).selectExpr("id AS doc_id", f"if(id < 1100, concat('same line', chr(10), {n}), {n}) AS text", "'h' AS source")
+    assert quality.line_quality(many).where("kept_words < n_words").count() == 1100

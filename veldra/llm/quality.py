@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from .common import GAP, WORD, Workspace, session
 
-#: A line is boilerplate of its host when it has at most LINE_WORDS words and occurs in more than
-#: max(LINE_DOCS, LINE_SHARE * the host's documents) distinct documents of that host.
-LINE_DOCS, LINE_SHARE, LINE_WORDS = 10, 0.01, 24
+#: A line of any length is boilerplate of its host when it occurs in more than
+#: max(LINE_DOCS, min(LINE_MOST, LINE_SHARE * the host's documents)) distinct documents of that host.
+LINE_DOCS, LINE_SHARE, LINE_MOST = 10, 0.01, 1000
+#: In lines of more words than this only numbers that stand alone are folded, not digits inside words. The SQL below
+#: counts no longer lines at all and has no LINE_MOST.
+LINE_WORDS = 24
 #: A document is depleted when fewer than KEEP_PERCENT of its words are in lines that stay.
 KEEP_PERCENT = 30
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -30,6 +33,13 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(low, GAP, " "), "[0-9]+", "0"))
 
 
+def line_of(line: Column) -> Column:
+    """(h, k) of a line: the hash of what it is counted as, and its number of words."""
+    low = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    long = F.trim(F.regexp_replace(F.regexp_replace(low, GAP, " "), r"(?<![\p{L}0-9_])[0-9]+(?![\p{L}0-9_])", "0"))
+    return let(F.size(words_of(line)), lambda k: F.struct(F.xxhash64(F.when(k <= LINE_WORDS, normalised(line)).otherwise(long)).alias("h"), k.alias("k")))
+
+
 def repeat_words(words: Column) -> Column:
     """Number of words that stand in a 3-word window found twice or more.
 
@@ -52,15 +62,15 @@ def repeat_words(words: Column) -> Column:
 
 def without(text: Column, gone: Column) -> Column:
     """The text without the lines whose normalised hash is in gone; null or empty gone leaves it as it is."""
-    left = F.filter(F.split(text, "\n"), lambda y: ~F.array_contains(gone, F.xxhash64(normalised(y))))
+    left = F.filter(F.split(text, "\n"), lambda y: ~F.array_contains(gone, line_of(y)["h"]))
     return F.when(F.size(gone) > 0, F.array_join(left, "\n")).otherwise(text)
 
 
-def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, line_words: int = LINE_WORDS, keep_percent: int = KEEP_PERCENT, keyed: bool = False) -> DataFrame:
+def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, line_most: int = LINE_MOST, keep_percent: int = KEEP_PERCENT, keyed: bool = False) -> DataFrame:
     """Base counts, and the verdict by the frequency of lines over the documents of a host.
 
     Lines (split at \\n) are normalised and hashed; documents are counted for each (host, line), where documents of equal
-    text count once, so copies don't make each other's lines frequent. Frequent short lines go; a document of
+    text count once, so copies don't make each other's lines frequent. Frequent lines go, whatever their length; a document of
     which less than keep_percent of the words is left is rejected.
 
     Nulls: a null text is the empty text (no words, so base_failed); a null host is one host of its own; a null id is
@@ -80,14 +90,14 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"))).alias("w"),
         F.length(F.regexp_replace(text, GAP, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.transform(x, lambda y: F.struct(F.xxhash64(normalised(y)).alias("h"), F.size(words_of(y)).alias("k"))).alias("each"))).alias("l"),
+        let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.transform(x, line_of).alias("each"))).alias("l"),
     )
     base = work.put(base, "base")
     each = base.select("n", "host", "key", F.explode("l.each").alias("x")).select("n", "host", "key", "x.h", "x.k")
     hosts = base.select("host", "key").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    often = each.where(F.col("k") <= line_words).select("host", "h", "key").distinct().groupBy("host", "h").agg(F.count("*").alias("found")).where(F.col("found") > line_docs)
-    often = often.alias("o").join(hosts.alias("s"), F.expr("o.host <=> s.host")).where(F.col("found") > F.col("docs") * F.lit(line_share)).select("o.host", "o.h")
-    gone = each.where(F.col("k") <= line_words).alias("e").join(often.alias("o"), F.expr("e.h = o.h AND e.host <=> o.host"), "left_semi").groupBy("n").agg(F.sum("k").alias("gone"), F.array_sort(F.collect_set("h")).alias("gone_lines"))
+    often = each.select("host", "h", "key").distinct().groupBy("host", "h").agg(F.count("*").alias("found")).where(F.col("found") > line_docs)
+    often = often.alias("o").join(hosts.alias("s"), F.expr("o.host <=> s.host")).where(F.col("found") > F.least(F.lit(float(line_most)), F.col("docs") * F.lit(line_share))).select("o.host", "o.h")
+    gone = each.alias("e").join(often.alias("o"), F.expr("e.h = o.h AND e.host <=> o.host"), "left_semi").groupBy("n").agg(F.sum("k").alias("gone"), F.array_sort(F.collect_set("h")).alias("gone_lines"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     out = base.join(gone, "n", "left").select("id", "host", "key", "w.n_words", "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), "w.n_repeat_words", (F.col("w.n_words") - F.coalesce("gone", F.lit(0))).alias("kept_words"), F.col("gone_lines").alias("gone"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (100 * F.col("kept_words") >= keep_percent * F.col("n_words")))

@@ -27,7 +27,9 @@ PLACEHOLDER = re.compile(r"(?i)^(?:true|false|null|none|nil|undefined|changeme|e
 LEAST = 0.5
 
 OPERATOR = re.compile(r":=|=>|=|:")
-NAME_BEFORE = re.compile(r"""(?:^|[^\w.\-$])(["'`]?)([A-Za-z_$][\w.\-]{0,79})\1(?:\s?:\s?[A-Za-z_][\w\[\], |.]{0,40}?)?[ \t]*$""")
+NAME = re.compile(r"[A-Za-z_$][\w.\-]*")
+#: Types after a name: short ones of any form, long ones without loose words.
+ANNOTATION, SHORT_ANNOTATION = re.compile(r"[A-Za-z_][\w.\[\]]*(?:(?:, ?| ?\| ?)[\w.\[\]]+)*"), 41
 STRING = re.compile(r"""[rbuf]{0,2}("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)""")
 BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
 IDENT = re.compile(r"[A-Za-z_$][\w.]*$")
@@ -45,8 +47,11 @@ def name_weight(name: str) -> float:
 
 
 def literal_weight(value: str) -> float:
-    """How far a literal looks like a secret: 0 for short, spaced or placeholder texts, up to 1 for long, varied ones."""
-    if len(value) < 6 or any(c.isspace() for c in value) or PLACEHOLDER.match(value):
+    """How far a literal looks like a secret: 0 for short or placeholder texts, up to 1 for long, varied ones.
+
+    White space stands in quoted literals only, and doesn't speak against a passphrase.
+    """
+    if len(value.strip()) < 6 or PLACEHOLDER.match(value):
         return 0.0
     n = len(value)
     bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
@@ -54,6 +59,48 @@ def literal_weight(value: str) -> float:
     return min(1.0, 0.25 * kinds + 0.1 * bits + 0.01 * min(n, 40))
 
 
+def _back(text: str, at: int, more: str, word: bool = True) -> int:
+    """Start of the run before a place of the characters in more, and of letters, digits and _ if word."""
+    while at and ((c := text[at - 1]) in more or word and (c.isalnum() or c == "_")):
+        at -= 1
+    return at
+
+
+def _name(text: str, end: int) -> tuple[str, int] | None:
+    """The plain or quoted name that ends at a place, and its start with the quote."""
+    quote = text[end - 1] if end and text[end - 1] in "\"'`" else ""
+    end -= len(quote)
+    start = _back(text, end, ".-$")
+    if not NAME.fullmatch(text, start, end):
+        return None
+    if quote and (not start or text[start - 1] != quote or _back(text, start - 1, ".-$") < start - 1):
+        return None
+    return text[start:end], start - len(quote)
+
+
+def _target(text: str, at: int) -> tuple[str, bool] | None:
+    """(name, whether it is a variable) of what is assigned before an operator: name, "name", name: type or x["name"].
+
+    Scans back without a fixed length; runs end at the operator before, so the work for a text stays in proportion to it.
+    """
+    at = _back(text, at, " \t", False)
+    if at and text[at - 1] == "]":
+        end = _back(text, at - 1, " \t", False)
+        if end and text[end - 1] in "\"'`" and (found := _name(text, end)):
+            open_ = _back(text, found[1], " \t", False)
+            if open_ and text[open_ - 1] == "[":
+                return found[0], False
+    start = _back(text, at, "[], |.")
+    colon = start - 1 if start and text[start - 1] == "\t" else start
+    note = text[start:at].removeprefix(" ") if colon == start else text[start:at]
+    if colon and text[colon - 1] == ":" and NAME.match(note[:1]) and note[0] != "$" and (len(note) <= SHORT_ANNOTATION or ANNOTATION.fullmatch(note)):
+        end = colon - 1
+        if found := _name(text, end - 1 if end and text[end - 1] in " \t" else end):
+            return found[0], True
+    found = _name(text, at)
+    return found and (found[0], True)
+
+
 def _terms(text: str, at: int) -> list[tuple[str, str, int, int]]:
     """Operands of an expression at a place: (kind, value, start, end) of string literals, bare literals and names."""
     out = []
@@ -89,10 +136,10 @@ def lexed(text: str) -> list[tuple[int, int]]:
         at = op.end()
         while at < len(text) and text[at] in " \t":
             at += 1
-        named = NAME_BEFORE.search(text[max(0, p - 140, text.rfind("\n", 0, p) + 1) : p])
+        named = _target(text, p)
         if not named:
             continue
-        target = named[2]
+        target, variable = named
         literals: list[tuple[str, int, int]] = []
         for kind, value, start, end in _terms(text, at):
             if kind == "name":
@@ -101,7 +148,8 @@ def lexed(text: str) -> list[tuple[int, int]]:
                 literals.append((value, start, end))
         if not literals:
             continue
-        known[target] = literals
+        if variable:
+            known[target] = literals
         whole = "".join(v for v, _, _ in literals)
         if name_weight(target) * literal_weight(whole) >= LEAST:
             out |= {(s, e) for _, s, e in literals if e > s}
@@ -161,7 +209,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Spans of secrets in every whole text, in code points, end exclusive.
 
     Base kinds: assign, access, hex. Kind literal: the text is lexed for name-literal pairs (name = "literal", name: literal,
-    JSON and := forms, annotated targets, joined literals); names bound to literals are constants and carry them to later
+    JSON and := forms, annotated targets, keys in brackets, joined literals); names bound to literals are constants and carry them to later
     assignments; a literal that reaches a name with a sensitive part and looks like a secret is a span where it is written.
 
     Nulls: a null text is empty (no spans); a null id is carried. Repeated rows each get a result; an empty table an empty one.

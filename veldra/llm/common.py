@@ -23,9 +23,14 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests, one machine)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset on one machine.
+
+    On a cluster a local folder would spread a table over machines, so there it is an error that none is set.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="veldra-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -73,6 +78,19 @@ class Workspace:
                 fs.delete(status.getPath(), True)
 
 
+    def close(self) -> None:
+        """Deletes everything of this run."""
+        root, fs = self._place(self.root)
+        fs.delete(root, True)
+
+    def last(self, out: DataFrame, *done: str) -> DataFrame:
+        """out, whose plan still reads tables of this run: those in done go now, all others when the session ends."""
+        for name in done:
+            self.drop(name)
+        self._place(self.root)[1].deleteOnExit(self._place(self.root)[0])
+        return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -113,6 +131,15 @@ def kept(key: tuple, make: Callable):
     return held[repr(key)]
 
 
+def kept_last(name: str, key: int, make: Callable):
+    """Like kept(), but a new key takes the place of the name's last value."""
+    home = kept(("last", name), dict)
+    if key not in home:
+        home.clear()
+        home[key] = make()
+    return home[key]
+
+
 def components(work: Workspace, edges: DataFrame, most: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star.
 

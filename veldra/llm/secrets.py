@@ -7,6 +7,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,134 +27,301 @@ KEY_AFTER = {"api", "access", "private", "secret", "signing", "encryption", "aut
 PLACEHOLDER = re.compile(r"(?i)^(?:true|false|null|none|nil|undefined|changeme|example|placeholder|your.*|<.*>|\$\{?.*|%.*%|x+|\*+|\.+)$")
 LEAST = 0.5
 
-OPERATOR = re.compile(r":=|=>|=|:")
-NAME = re.compile(r"[A-Za-z_$][\w.\-]*")
-#: Types after a name: short ones of any form, long ones without loose words.
-ANNOTATION, SHORT_ANNOTATION = re.compile(r"[A-Za-z_][\w.\[\]]*(?:(?:, ?| ?\| ?)[\w.\[\]]+)*"), 41
-STRING = re.compile(r"""[rbuf]{0,2}("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)""")
-BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
-IDENT = re.compile(r"[A-Za-z_$][\w.]*$")
-JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\.)[ \t]*(?=[\"'`A-Za-z_$])")
+#: Last parts of a name that say what a secret is like, where it lies or what it is called, not what it is.
+ABOUT = {"file", "path", "type", "name", "length", "len", "size", "url", "uri", "field", "label", "id", "count", "expiry", "expires", "ttl", "policy", "hint", "prompt", "regex", "pattern", "min", "max", "enabled", "required", "format"}
+#: Last parts that leave the part before them the last.
+PLAIN = {"value", "default", "data", "text", "raw", "plain", "str", "string"}
+
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+LEXEME = re.compile(
+    r"""(?P<gap>[^\S\n]+)|(?P<line>\n)|(?P<string>[rbufRBUF]{0,2}(?:\"{3}|'{3}|["'`]))|(?P<block>/\*|<!--)|(?P<end>\*/|-->)"""
+    r"""|(?P<define>\#[^\S\n]*define[^\S\n]+[^\W\d]\w*[^\S\n]+|define\s*\(\s*["'][^\W\d]\w*["']\s*,)|(?P<note>//|\#|--(?=[^\S\n]))|(?P<element><[^\W\d][\w.\-]*>)"""
+    r"""|(?P<number>\d\w*)|(?P<name>[^\W\d][\w$]*(?:(?:\.|-|::|->|\?\.)[^\W\d][\w$]*)*)|(?P<other>[=!]==?|<=|>=|=>|:=|::|\+=|\.\.|\|\||\?\?|\\\n|.)""",
+    re.DOTALL,
+)
+#: The rest of a string after its opening quote.
+REST = {q: re.compile(rf"(?:[^{q}\\\n]|\\.)*{q}", re.DOTALL) for q in "\"'`"}
+BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
+KEY = re.compile(r"[^\W\d][\w.\- ]*")
+DEFINED = re.compile(r"define[\s(\"']*(\w+)")
 
 
+@lru_cache(10_000)
 def name_weight(name: str) -> float:
-    parts = [p.lower() for p in CAMEL.findall(name)]
+    """How far a target's name marks its value as a secret: by the last part of a dotted name."""
+    parts: list[str] = []
+    for piece in reversed(re.split(r"\.|::|->", name)):
+        parts = [p.lower() for p in CAMEL.findall(piece)]
+        while len(parts) > 1 and parts[-1] in PLAIN:
+            parts.pop()
+        if parts and (len(parts) > 1 or parts[0] not in PLAIN):
+            break
     best = max((SENSITIVE.get(p, 0.0) for p in parts), default=0.0)
     for a, b in zip(parts, parts[1:], strict=False):
         if b in ("key", "keys") and a in KEY_AFTER or (a, b) == ("pass", "phrase"):
             best = 1.0
-    return best
+    return 0.3 * best if parts and parts[-1] in ABOUT else best
 
 
-def literal_weight(value: str) -> float:
-    """How far a literal looks like a secret: 0 for short or placeholder texts, up to 1 for long, varied ones.
+class Value:
+    """A literal, or values joined: spans of its own, the values it is made of, and what its weight is told from.
 
-    White space stands in quoted literals only, and doesn't speak against a passphrase.
+    Joined values are referred to, never copied, and all else has a fixed size, so a chain of constants costs as much as its
+    text is long, whatever it would spell.
     """
-    if len(value.strip()) < 6 or PLACEHOLDER.match(value):
-        return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value)))
-    return min(1.0, 0.25 * kinds + 0.1 * bits + 0.01 * min(n, 40))
-
-
-def _back(text: str, at: int, more: str, word: bool = True) -> int:
-    """Start of the run before a place of the characters in more, and of letters, digits and _ if word."""
-    while at and ((c := text[at - 1]) in more or word and (c.isalnum() or c == "_")):
-        at -= 1
-    return at
-
-
-def _name(text: str, end: int) -> tuple[str, int] | None:
-    """The plain or quoted name that ends at a place, and its start with the quote."""
-    quote = text[end - 1] if end and text[end - 1] in "\"'`" else ""
-    end -= len(quote)
-    start = _back(text, end, ".-$")
-    if not NAME.fullmatch(text, start, end):
-        return None
-    if quote and (not start or text[start - 1] != quote or _back(text, start - 1, ".-$") < start - 1):
-        return None
-    return text[start:end], start - len(quote)
+
+    __slots__ = ("kinds", "length", "letters", "parts", "span", "told")
+
+    def __init__(self, parts: list[Value], span: tuple[int, int] | None = None, text: str = ""):
+        self.parts, self.span, self.told = parts, span, False
+        self.length = self.kinds = self.letters = 0
+        if span and not PLACEHOLDER.match(text):
+            found = set(text)
+            self.length = min(40, len(text.strip()))
+            self.kinds = any(c.islower() for c in found) | any(c.isupper() for c in found) << 1 | any(c.isdigit() for c in found) << 2 | any(not c.isalnum() for c in found) << 3
+            for c in found:
+                self.letters |= 1 << ord(c) % 64
+        for p in parts:
+            self.length = min(40, self.length + p.length)
+            self.kinds |= p.kinds
+            self.letters |= p.letters
+
+    def weight(self) -> float:
+        """How far the value looks like a secret: 0 for short or placeholder texts, up to 1 for long, varied ones.
+
+        White space stands in quoted literals only, and doesn't speak against a passphrase.
+        """
+        return 0.0 if self.length < 6 else min(1.0, 0.25 * self.kinds.bit_count() + 0.1 * math.log2(self.letters.bit_count()) + 0.01 * self.length)
+
+
+def literal_weight(value: str) -> float:
+    return Value([], (0, len(value)), value).weight()
 
 
-def _target(text: str, at: int) -> tuple[str, bool] | None:
-    """(name, whether it is a variable) of what is assigned before an operator: name, "name", name: type or x["name"].
+class Lexer:
+    """One pass over a text, that tells strings, comments, names and operators apart and follows assignments.
 
-    Scans back without a fixed length; runs end at the operator before, so the work for a text stays in proportion to it.
+    A statement's pairs are read as they come: a target (a name, a quoted or bracketed key, an annotated name, an element, a macro)
+    and the value behind its operator, joined of literals and of constants that were assigned before.
     """
-    at = _back(text, at, " \t", False)
-    if at and text[at - 1] == "]":
-        end = _back(text, at - 1, " \t", False)
-        if end and text[end - 1] in "\"'`" and (found := _name(text, end)):
-            open_ = _back(text, found[1], " \t", False)
-            if open_ and text[open_ - 1] == "[":
-                return found[0], False
-    start = _back(text, at, "[], |.")
-    colon = start - 1 if start and text[start - 1] == "\t" else start
-    note = text[start:at].removeprefix(" ") if colon == start else text[start:at]
-    if colon and text[colon - 1] == ":" and NAME.match(note[:1]) and note[0] != "$" and (len(note) <= SHORT_ANNOTATION or ANNOTATION.fullmatch(note)):
-        end = colon - 1
-        if found := _name(text, end - 1 if end and text[end - 1] in " \t" else end):
-            return found[0], True
-    found = _name(text, at)
-    return found and (found[0], True)
-
-
-def _terms(text: str, at: int) -> list[tuple[str, str, int, int]]:
-    """Operands of an expression at a place: (kind, value, start, end) of string literals, bare literals and names."""
-    out = []
-    while True:
-        if m := STRING.match(text, at):
-            out.append(("text", m[1][1:-1], m.start(1) + 1, m.end(1) - 1))
-        elif m := BARE.match(text, at):
-            word = m[0]
-            end = m.end()
-            if IDENT.fullmatch(word):
-                out.append(("name", word, at, end))
-            else:
-                out.append(("bare", word, at, end))
+
+    def __init__(self, text: str):
+        self.text, self.known, self.found = text, {}, []
+        self.dead: dict[str, int] = {}
+        self.before: list[tuple[str, str]] = []  # the last lexemes of the statement
+        self.comment = ""
+        self.stop()
+
+    def stop(self) -> None:
+        """No value is being read."""
+        self.targets: list[tuple[str, bool]] = []
+        self.parts: list[Value] = []
+        self.wanted = self.typed = self.choice = False
+        self.depth = 0
+
+    def finish(self) -> None:
+        """The value that was being read is whole."""
+        if self.parts:
+            seen = {id(p): p for p in self.parts}
+            value = next(iter(seen.values())) if len(seen) == 1 else Value(list(seen.values()))
+            for name, variable in self.targets:
+                if variable and not self.comment:
+                    self.known[name] = value
+                if name_weight(name) * value.weight() >= LEAST:
+                    self.tell(value)
+        self.stop()
+
+    def tell(self, value: Value) -> None:
+        stack = [value]
+        while stack:
+            v = stack.pop()
+            if not v.told:
+                v.told = True
+                stack += v.parts
+                if v.span and v.span[1] > v.span[0] and v.length:
+                    self.found.append(v.span)
+
+    def string(self, at: int, mark: str) -> int:
+        """End of the string whose opening quote ends at a place; -1 if there is none, which is looked for once in a line (or text)."""
+        if at <= self.dead.get(mark, 0):
+            return -1
+        if len(mark) == 3:
+            if (end := self.text.find(mark, at)) >= 0:
+                return end + 3
+            self.dead[mark] = len(self.text) + 1
+        elif m := REST[mark].match(self.text, at):
+            return m.end()
         else:
-            break
-        joined = JOIN.match(text, m.end())
-        if not joined:
-            break
-        at = joined.end()
-    return out
+            end = self.text.find("\n", at)
+            self.dead[mark] = len(self.text) if end < 0 else end
+        return -1
+
+    def target(self) -> tuple[str, bool] | None:
+        """(name, whether it is a variable) of what is assigned here, from the lexemes before."""
+        last = self.before[-1:]
+        if last and last[0][0] == "name":
+            return last[0][1], True
+        if last and last[0][0] == "string":
+            return (last[0][1], True) if KEY.fullmatch(last[0][1]) else None
+        if last and last[0][1] == "]":
+            inside = self.before[-2:-1]
+            if inside and inside[0][0] == "string" and self.before[-3:-2] == [("other", "[")] and KEY.fullmatch(inside[0][1]):
+                return inside[0][1], False
+            for k in (2, 3):  # name[] and name[32]
+                if self.before[-k : -k + 1] == [("other", "[")] and (named := self.before[-k - 1 : -k]) and named[0][0] == "name":
+                    return named[0][1], True
+        return None
+
+    def assigned(self, op: str) -> None:
+        if op == ":" and self.choice:
+            self.wanted = True
+            return
+        new = self.target()
+        if op != "=" or self.parts or not self.targets:  # else a chain, or name: type = value
+            self.finish()
+        if new:
+            self.targets.append(new)
+        if self.targets:
+            self.wanted, self.typed = True, op == ":"
+            if op == "+=" and new and new[0] in self.known:
+                self.parts = [self.known[new[0]]]
+
+    def operand(self, kind: str, word: str, start: int, end: int) -> int:
+        """Takes a name or bare word where a value may stand; returns where to go on."""
+        if kind == "name" and word in ("or", "else"):
+            self.wanted = True
+            return end
+        if not self.wanted:
+            if not self.typed and not (kind == "name" and word in ("if", "and", "not")):
+                self.finish()
+            return end
+        m = BARE.match(self.text, start)
+        run = m[0] if m else word
+        if run != word and run[len(word) :].strip(".:=+-|?") == "" or not m:
+            run = word
+        if kind == "name" and run == word:
+            if self.text[end : end + 1] == "(":  # what a call gives isn't known, nor are its arguments the value
+                self.finish()
+                return end
+            if (value := self.known.get(word)) is not None:
+                self.parts.append(value)
+                self.wanted = False
+                return end
+            if not any(c.isdigit() for c in word):
+                self.wanted = False
+                return end
+        if kind == "name" or any(c.isalnum() for c in run):
+            self.parts.append(Value([], (start, start + len(run)), run))
+            self.wanted = False
+            return start + len(run)
+        return end
+
+    def other(self, word: str, start: int, end: int) -> int:
+        if word in ("=", ":", ":=", "=>", "+="):
+            if word == ":" and self.text[end : end + 2] == "//":  # an address
+                return end
+            self.assigned(word)
+            self.before = []
+            return end
+        if not self.targets:
+            return end
+        if word in ("+", ".", "..", "||", "??") and self.parts:
+            self.wanted = True
+        elif word == "?":
+            self.choice = self.wanted = True
+        elif word == "(" or word == "[" and (self.wanted or self.typed):
+            self.depth += 1
+        elif word in ")]" and self.depth:
+            self.depth -= 1
+        elif word == "," and (self.depth or self.typed):
+            self.wanted = self.wanted or bool(self.parts)
+        elif word in ",;{})]":
+            self.finish()
+        elif self.wanted and word not in "\\&*|<>":
+            return self.operand("bare", word, start, end)
+        return end
+
+    def run(self) -> list[tuple[int, int]]:
+        text, at, size = self.text, 0, len(self.text)
+        match = LEXEME.match
+        while at < size:
+            m = match(text, at)
+            kind, word, start, at = m.lastgroup, m[0], at, m.end()
+            if kind == "gap":
+                continue
+            if kind == "line":
+                if self.comment == "line":
+                    self.finish()
+                    self.comment = ""
+                if not self.depth and not (self.wanted and self.parts):
+                    self.finish()
+                self.before = []
+                continue
+            if kind == "string":
+                mark = word.lstrip("rbufRBUF")
+                inside = start and (text[start - 1].isalnum() or text[start - 1] == "_")
+                end = -1 if inside else self.string(at, mark)
+                if end < 0 and len(mark) == 3 and not inside:  # an empty string, or a lone quote
+                    mark, at = mark[0], at - 2
+                    end = self.string(at, mark)
+                if end < 0:
+                    if len(word) > len(mark) and not inside:
+                        kind, at = "name", start + len(word) - len(mark)
+                        word = text[start:at]
+                    else:
+                        continue
+                else:
+                    value = text[at : end - len(mark)]
+                    if self.targets and (self.wanted or self.parts and self.before[-1:] and self.before[-1][0] == "string"):
+                        self.parts.append(Value([], (at, end - len(mark)), value))
+                        self.wanted = False
+                    self.before = [*self.before[-3:], ("string", value if len(value) <= 400 else "")]
+                    at = end
+                    continue
+            if kind in ("block", "note", "end"):
+                opens = kind == "block" or kind == "note" and (word != "#" and text[start - 1 : start] != ":" or word == "#" and (not start or text[start - 1].isspace()))
+                if kind == "end" and self.comment == "block" or opens and not self.comment:
+                    self.finish()
+                    self.comment = {"block": "block", "note": "line", "end": ""}[kind]
+                    self.before = []
+                    continue
+                if self.wanted:
+                    at = self.operand("bare", word, start, at)
+                continue
+            if kind == "define":
+                self.finish()
+                self.targets, self.wanted = [(DEFINED.search(word)[1], True)], True
+                self.depth = word.count("(")
+            elif kind == "element":
+                self.finish()
+                end = text.find("<", at)
+                if end > at and text.startswith("</" + word[1:], end) and "\n" not in text[at:end]:
+                    self.targets, self.parts = [(word[1:-1], False)], [Value([], (at, end), text[at:end])]
+                    self.finish()
+                    at = end
+            elif kind == "name":
+                if text[start - 1 : start] == "$" and start and self.wanted and text[start - 2 : start - 1] == "{":
+                    continue
+                if self.targets:
+                    at = self.operand(kind, word, start, at)
+                self.before = [*self.before[-3:], (kind, word)]
+            elif kind == "number":
+                if self.targets:
+                    at = self.operand("bare", word, start, at)
+                self.before = [*self.before[-3:], (kind, word)]
+            else:
+                at = self.other(word, start, at)
+                if word not in ("=", ":", ":=", "=>", "+="):
+                    self.before = [*self.before[-3:], (kind, word)]
+        self.finish()
+        return sorted(self.found)
 
 
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive target by assignment, directly or through named constants."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "define" not in text and "</" not in text:
         return []
-    known: dict[str, list[tuple[str, int, int]]] = {}
-    out: set[tuple[int, int]] = set()
-    for op in OPERATOR.finditer(text):
-        p = op.start()
-        if text[p : p + 2] == "==" or text[p - 1 : p] in "=!<>:" and p:
-            continue
-        at = op.end()
-        while at < len(text) and text[at] in " \t":
-            at += 1
-        named = _target(text, p)
-        if not named:
-            continue
-        target, variable = named
-        literals: list[tuple[str, int, int]] = []
-        for kind, value, start, end in _terms(text, at):
-            if kind == "name":
-                literals += known.get(value, [(value, start, end)] if any(c.isdigit() for c in value) else [])
-            else:
-                literals.append((value, start, end))
-        if not literals:
-            continue
-        if variable:
-            known[target] = literals
-        whole = "".join(v for v, _, _ in literals)
-        if name_weight(target) * literal_weight(whole) >= LEAST:
-            out |= {(s, e) for _, s, e in literals if e > s}
-    return sorted(out)
+    return Lexer(text).run()
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
@@ -174,9 +342,15 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def added(base: list[tuple[int, int, int]], literal: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """All spans; a literal inside a base span adds nothing."""
-    new = [(s, 3, e) for s, e in literal if not any(a <= s and e <= b for a, _, b in base)]
-    return sorted(base + new)
+    """All spans, of two sorted lists; a literal inside a base span adds nothing."""
+    out, k, reach = [], 0, 0
+    for s, e in literal:
+        while k < len(base) and base[k][0] <= s:
+            reach = max(reach, base[k][2])
+            k += 1
+        if e > reach:
+            out.append((s, 3, e))
+    return sorted(base + out)
 
 
 def redact(text: str, mark: str = "[REDACTED]") -> str:
@@ -208,13 +382,14 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of secrets in every whole text, in code points, end exclusive.
 
-    Base kinds: assign, access, hex. Kind literal: the text is lexed for name-literal pairs (name = "literal", name: literal,
-    JSON and := forms, annotated targets, keys in brackets, joined literals); names bound to literals are constants and carry them to later
-    assignments; a literal that reaches a name with a sensitive part and looks like a secret is a span where it is written.
+    Base kinds: assign, access, hex. Kind literal: the text is lexed (strings, comments, names, operators) for name-literal pairs:
+    name = "literal", name: literal, JSON, YAML, INI and := forms, chains, annotated targets, keys in brackets, elements, macros, joined
+    and alternative literals. Names bound to literals outside comments are constants and carry them to later assignments; a literal that
+    reaches a name with a sensitive part and looks like a secret is a span where it is written.
 
     Nulls: a null text is empty (no spans); a null id is carried. Repeated rows each get a result; an empty table an empty one.
-    Ties: spans are ordered by start, then kind. Very long texts are scanned whole, in one pass for each kind. Extra
-    columns are ignored.
+    Ties: spans are ordered by start, then kind. Very long texts are scanned whole, in time in proportion to their length.
+    Extra columns are ignored, whatever their names; ids are of any type.
 
     Returns id_col, n_assign, n_access, n_hex, base_sha256, spans.
     """
@@ -238,6 +413,12 @@ def _redacted(at: int):
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays, its secrets replaced by a mark; n_chars follows the text."""
+    """Pipeline stage: every document stays, its secrets replaced by a mark; n_chars, where there is one, follows a text that isn't null.
+
+    Null and empty texts stay as they are, as do rows without an id; repeated rows are treated alike, an empty table stays empty,
+    other columns pass unchanged whatever their names.
+    """
     out = docs.mapInArrow(_redacted(docs.columns.index("text")), docs.schema)
+    if "n_chars" not in docs.columns:
+        return out
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)))

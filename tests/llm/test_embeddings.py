@@ -63,3 +63,29 @@ def test_recall_on_the_table(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
     got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.query(spark, "/root/testdata/sf0.01").collect()}
     assert got == brute(rows)
+
+
+def test_ids_that_repeat_with_other_vectors_lose_no_link(spark):
+    v, u = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, v), (1, u), (5, u), (9, v), (6, [0.0, 1.0, 0.01])]
+    got = {}
+    for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.vec_id, []).append((r.n_links, r.component_id))
+    assert {i: sorted(x) for i, x in got.items()} == {1: [(1, 1), (2, 1)], 5: [(2, 1)], 9: [(1, 1)], 6: [(2, 1)]}
+    named = spark.createDataFrame([(f"d{i}", x) for i, x in rows], "vec_id string, embedding array<double>")
+    assert {r.component_id for r in embeddings.near_vectors(named).collect()} == {"d1"}
+
+
+def test_pairs_at_the_limit_are_told_exactly(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(150):
+        a = rng.standard_normal(64)
+        a /= np.linalg.norm(a)
+        b = rng.standard_normal(64)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        cos = 0.95 + rng.choice([-1e-3, -1e-6, 1e-9, 1e-6, 1e-3])
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (cos * a + math.sqrt(1 - cos * cos) * b).tolist())]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute(rows)

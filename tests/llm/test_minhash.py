@@ -2,6 +2,7 @@ import random
 import re
 
 from veldra.llm import minhash
+from veldra.llm.common import Workspace, components
 
 
 def brute(rows, width, percent):
@@ -61,3 +62,32 @@ def test_nulls_repeats_empty_and_extra_columns(spark):
     got = sorted((repr(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
     assert got == [("0", 2, 0, True), ("1", 2, 0, False), ("1", 2, 0, False), ("3", 0, 3, True), ("None", 1, None, True)]
     assert minhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_ids_that_repeat_with_other_texts_lose_no_link(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a), (1, b), (5, b), (9, a), (12, b + " more"), (20, a + " more")]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 5: 1, 9: 1, 12: 1, 20: 1}
+    named = spark.createDataFrame([(f"d{i}", t) for i, t in rows], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(named).collect()} == {"d1": "d1", "d5": "d1", "d9": "d1", "d12": "d1", "d20": "d1"}
+
+
+def test_components_of_stars_chains_and_rings(spark):
+    rng = random.Random(1)
+    edges = [(0, k) for k in range(1, 3000)] + [(5000 + k, 5001 + k) for k in range(70)] + [(7000 + k, 7000 + (k + 1) % 40) for k in range(40)]
+    edges += [(9000 + rng.randrange(300), 9000 + rng.randrange(300)) for _ in range(260)] + [(2999, 9999), (9999, 10001), (4, 4)]
+    rng.shuffle(edges)
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            p, q = sorted((root(a), root(b)))
+            parent[q] = p
+    got = {r.node: r.component for r in components(Workspace(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in list(parent)}

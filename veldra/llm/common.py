@@ -140,29 +140,56 @@ def kept_last(name: str, key: int, make: Callable):
     return home[key]
 
 
+#: A node with more than this part of a partition's mean number of edges is joined by broadcast.
+HUB = 0.25
+
+
+def _lowest(edges: DataFrame, rows: int) -> DataFrame:
+    """edges (a, b) with m, the smallest b of each a.
+
+    A hub has more than HUB times a partition's mean number of rows, so there are at most partitions / HUB hubs: few enough to go to every task,
+    where their edges are met without a shuffle.
+    """
+    low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    least = max(16.0, HUB * rows / partitions(edges.sparkSession))
+    hubs = F.broadcast(low.where(F.col("n") > least).select("a", "m"))
+    rest = edges.join(F.broadcast(low.where(F.col("n") > least).select("a")), "a", "left_anti").join(low.select("a", "m"), "a")
+    return edges.join(hubs, "a").select("a", "b", "m").union(rest.select("a", "b", "m"))
+
+
 def components(work: Workspace, edges: DataFrame, most: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star.
 
     edges has the columns a and b (long, never null). Returns node and component (the smallest node reachable) for
     every node that has an edge to another. No adjacency list is ever gathered: each star takes a
-    partially aggregated minimum per node and joins it back, so a node with very many neighbours is an ordinary
-    skewed join. Every round is a written table; stops when a round changes nothing.
+    partially aggregated minimum per node and joins it back, hubs by broadcast of their minima, so no key's edges meet in one task.
+    Every round is a written table; stops when a round changes nothing.
     """
     now = work.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc0")
-    seen = None
-    for k in range(1, most):
+    seen, rows = None, now.count()
+    for k in range(1, most if rows else 1):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        # a star's centre is the smaller of its node and that node's smallest neighbour
+        large = _lowest(both, 2 * rows).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
+        large = work.put(large, f"large{k}")
+        found = _lowest(large, rows)
+        small = found.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(found.select("a", F.col("m").alias("b")))
         new = work.put(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"cc{k}")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         work.drop(f"cc{k - 1}")
-        now = new
+        work.drop(f"large{k}")
+        now, rows = new, state[0]
         if state == seen:
             break
         seen = state
     else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
+        if rows:
+            raise RuntimeError(f"components did not settle in {most} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def members(work: Workspace, found: DataFrame, nodes: DataFrame, node: str, label: str) -> DataFrame:
+    """nodes with the column component: the smallest label of all nodes that components() found together (else the node's own)."""
+    each = nodes.join(found.withColumnRenamed("node", node), node, "left").withColumn("_root", F.coalesce("component", node)).drop("component")
+    lowest = each.where(F.col("_root").isNotNull()).groupBy("_root").agg(F.min(label).alias("component"))
+    return each.join(lowest, "_root").drop("_root")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, groups, partitions, session, texts
+from .common import Workspace, components, groups, members, partitions, session, texts
 from .shingles import WordHashes, shingle_set
 
 #: 28 bands of 4 minima: a pair at similarity 0.8 is missed with probability (1 - 0.8^4)^28 = 4e-7.
@@ -85,15 +85,13 @@ def _sets(width: int):
         cache = WordHashes()
         for batch in batches:
             rows = []
-            for i, (id_, text, h1) in enumerate(zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True)):
-                s = shingle_set(text, width, cache)
-                if len(s) and int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) == h1:
-                    rows.append((id_, s.tobytes()))
+            for i, (node, text) in enumerate(zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True)):
+                rows.append((node, shingle_set(text, width, cache).tobytes()))
                 if rows and (sum(len(r[1]) for r in rows[-1:]) > 4_000_000 or len(rows) >= 256 or i == batch.num_rows - 1):
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["v", "shingles"])
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["v", "shingles"])
 
     return run
 
@@ -126,7 +124,7 @@ def _root(parent: dict[int, int], x: int) -> int:
 def _possible(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each row x of block i the rows at of block j in other components whose sizes and signatures allow a link, and
     their shares of equal minima."""
-    ids, n, comp, block = (t[c].to_numpy() for c in ("id", "n", "component", "block"))
+    ids, n, comp, block = (t[c].to_numpy() for c in ("v", "n", "component", "block"))
     low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(len(ids), -1)
     i, j = t["i"][0].as_py(), t["j"][0].as_py()
     for x in np.flatnonzero(block == i):
@@ -145,7 +143,7 @@ def _families(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["code", "i", "j"]):
-            ids, parent = t["id"].to_numpy(), {}
+            ids, parent = t["v"].to_numpy(), {}
             out: list[tuple[int, int]] = []
             for x, at, _ in _possible(t, percent):
                 for y in at.tolist():
@@ -165,7 +163,7 @@ def _settle(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["code", "i", "j"]):
-            ids, comp = t["id"].to_numpy(), t["component"].to_numpy().tolist()
+            ids, comp = t["v"].to_numpy(), t["component"].to_numpy().tolist()
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]]
             parent: dict[int, int] = {}
             out: list[tuple[int, int]] = []
@@ -196,17 +194,17 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _blocks(rows: DataFrame, size: str, block: int) -> DataFrame:
-    """Rows (code, id, ..) dealt to pairs of blocks (i, j) of about block rows of their code, so that any two meet once."""
+    """Rows (code, v, ..) dealt to pairs of blocks (i, j) of about block rows of their code, so that any two meet once."""
     many = F.ceil(F.col(size) / block).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), many).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), many - 1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("v"), many).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), many - 1)))
     return rows.withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k")).drop("k", size)
 
 
 def _links(work: Workspace, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the similarity on full sets. The set of a goes once to each salt of its partners."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    own = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("id")).select("a", F.lit(None).cast("long").alias("b"), "shingles", "salt")
-    other = salted.join(sets, F.col("b") == F.col("id")).select("a", "b", "shingles", "salt")
+    own = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("v")).select("a", F.lit(None).cast("long").alias("b"), "shingles", "salt")
+    other = salted.join(sets, F.col("b") == F.col("v")).select("a", "b", "shingles", "salt")
     n = partitions(session(pairs))
     return own.unionByName(other).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).select("a", "b", "shingles").mapInArrow(_confirm(percent), "a long, b long")
 
@@ -221,47 +219,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (4e-7 at 0.8) and the signatures' (LEAST_SHARE), and no bucket is expanded into all its pairs.
 
     Nulls: a null or wordless text has the empty set and links with nothing; a null id gets a null component and is kept.
-    Fewer words than width: the whole sequence is one shingle. Repeated rows: equal ids each get a row; rows of one id are
-    one document. Ties: the component is the smallest id. An empty table gives an empty result. Extra columns are ignored.
+    Fewer words than width: the whole sequence is one shingle. Repeated rows each get a row; rows that share an id and differ in text
+    are compared as texts of their own, and each belongs to its text's component. Ties: the component is the smallest id, of any type. Very long texts are
+    hashed whole. An empty table gives an empty result. Extra columns are ignored, whatever their names.
 
     Returns id_col, n_shingles, component_id, kept.
     """
     spark = session(docs)
     work = Workspace(spark, "minhash")
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    sig = work.put(src.mapInArrow(_signatures(width), "id long, n long, h1 long, h2 long, bands array<long>, low binary"), "signatures")
-    node = sig.where("h1 IS NOT NULL AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("id"))
-    node = work.put(node.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.h1", "h.h2"), "nodes")
-    member = sig.join(node, ["id", "h1", "h2"], "left_semi").select("id", F.explode("bands").alias("code"))
-    bucket = member.groupBy("code").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1")
-    in_bucket = work.put(member.join(bucket, "code").select("code", "id", "a", "size"), "buckets")
-    pairs = work.put(in_bucket.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    wanted = in_bucket.select("id").distinct().join(node.select("id", "h1"), "id")
-    sets = work.put(src.join(wanted.hint("merge"), "id").select("id", "t", "h1").mapInArrow(_sets(width), "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("ht"))
+    kind = src.schema["id"].dataType.simpleString()
+    sig = src.select(F.struct("id", "ht").alias("id"), "t").mapInArrow(_signatures(width), f"id struct<id:{kind},ht:bigint>, n long, h1 long, h2 long, bands array<long>, low binary")
+    sig = work.put(sig.select("id.id", "id.ht", "n", "h1", "h2", "bands", "low"), "signatures")
+    # a node is a set, numbered when it is written; one row of its smallest id stands for it
+    first = F.min(F.struct("id", "ht")).alias("r")
+    node = sig.where("h1 IS NOT NULL AND id IS NOT NULL").groupBy("h1", "h2").agg(first).select("h1", "h2", "r.id", "r.ht")
+    node = work.put(node.withColumn("v", F.monotonically_increasing_id()), "nodes")
+    own = ["id", "ht", "h1", "h2"]
+    whole = sig.join(node, own).dropDuplicates(own)
+    traits = work.put(whole.select("v", "n", "low", "bands"), "traits")
+    member = traits.select("v", F.explode("bands").alias("code"))
+    bucket = member.groupBy("code").agg(F.min("v").alias("a"), F.count("*").alias("size")).where("size > 1")
+    in_bucket = work.put(member.join(bucket, "code").select("code", "v", "a", "size"), "buckets")
+    pairs = work.put(in_bucket.where("v <> a").select("a", F.col("v").alias("b")).distinct(), "pairs")
+    wanted = in_bucket.select("v").distinct().join(node.select("v", "id", "ht"), "v")
+    texts_of = src.join(wanted.hint("merge"), ["id", "ht"]).dropDuplicates(["id", "ht", "v"])
+    sets = work.put(texts_of.select("v", "t").mapInArrow(_sets(width), "v long, shingles binary"), "sets")
     links = work.put(_links(work, pairs, sets, percent), "links")
-    comp = work.put(components(work.part("cc"), links), "components").withColumnRenamed("node", "id")
+    comp = work.put(components(work.part("cc"), links), "components").withColumnRenamed("node", "v")
     work.drop("pairs")
 
-    seen = in_bucket.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    seen = in_bucket.join(comp, "v", "left").withColumn("component", F.coalesce("component", "v"))
     mixed = seen.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("code")
-    rest = work.put(seen.join(mixed, "code").select("code", "id", "component", "size"), "mixed")
+    rest = work.put(seen.join(mixed, "code").select("code", "v", "component", "size"), "mixed")
     work.drop("buckets")
-    traits = work.put(sig.join(node, ["id", "h1", "h2"], "left_semi").join(rest.select("id").distinct(), "id", "left_semi").select("id", "n", "low").dropDuplicates(["id"]), "traits")
+    traits = traits.select("v", "n", "low")
     keys = ["code", "i", "j"]
-    dealt = _blocks(rest.join(traits, "id"), "size", BLOCK).repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "id")
-    near = work.put(dealt.select(*keys, "id", "n", "component", "block", "low").mapInArrow(_families(percent), "a long, b long").distinct(), "families")
+    dealt = _blocks(rest.join(traits, "v"), "size", BLOCK).repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "v")
+    near = work.put(dealt.select(*keys, "v", "n", "component", "block", "low").mapInArrow(_families(percent), "a long, b long").distinct(), "families")
+    found = links
     if not near.isEmpty():
-        family = work.put(components(work.part("cc-families"), near).select(F.col("node").alias("id"), F.col("component").alias("code")), "family")
+        family = work.put(components(work.part("cc-families"), near).select(F.col("node").alias("v"), F.col("component").alias("code")), "family")
         sizes = family.groupBy("code").agg(F.count("*").alias("size"))
-        full = family.join(sizes, "code").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        full = _blocks(full.join(traits, "id"), "size", FAMILY_BLOCK).join(sets, "id").repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "id")
-        more = full.select(*keys, "id", "n", "component", "block", "low", "shingles").mapInArrow(_settle(percent), "a long, b long")
-        comp = work.put(components(work.part("cc-all"), work.put(links.union(more), "all-links")), "all-components").withColumnRenamed("node", "id")
-    label = node.join(comp, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
-    out = sig.select("id", "n", "h1", "h2").join(label, ["h1", "h2"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+        full = family.join(sizes, "code").join(comp, "v", "left").withColumn("component", F.coalesce("component", "v"))
+        full = _blocks(full.join(traits, "v"), "size", FAMILY_BLOCK).join(sets, "v").repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "v")
+        more = full.select(*keys, "v", "n", "component", "block", "low", "shingles").mapInArrow(_settle(percent), "a long, b long")
+        comp = work.put(components(work.part("cc-all"), work.put(found.union(more), "all-links")), "all-components").withColumnRenamed("node", "v")
+    label = members(work, comp.withColumnRenamed("v", "node"), node.select("v", "h1", "h2", "id"), "v", "id").select("h1", "h2", "component")
+    out = sig.select("id", "n", "h1", "h2").join(label, ["h1", "h2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
     out = work.put(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")), "result")
     work.drop_all_but("result")
-    return out
+    return work.last(out)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,6 +122,17 @@ def texts(column: pa.Array) -> Iterator[str]:
         yield x.as_py() or ""
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that a table has already (in any case of letters)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def kept(key: tuple, make: Callable):
     """make()'s value, kept in this Python worker between its tasks; for caches that hold no result of their own."""
     home = sys.modules.setdefault("_veldra_kept", types.ModuleType("_veldra_kept"))

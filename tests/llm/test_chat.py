@@ -1,7 +1,7 @@
 from veldra.llm import chat
 
 
-def brute(rows, part_turns=256):
+def brute(rows, part_turns=4096):
     convs: dict = {}
     for c, n, role, text in rows:
         convs.setdefault(c, []).append((n if n is not None else -1, role or "unknown", text or "", (n or 0) // part_turns))
@@ -37,3 +37,10 @@ def test_table(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     got = {(r.conv_id, r.speaker, r.part): r.n_turns for r in chat.query(spark, "/root/testdata/sf0.001").collect()}
     assert got == {k: v[0] for k, v in brute(rows).items()}
+
+
+def test_a_long_dialogue_is_rendered_whole(spark):
+    rows = [(1, n, ("ann", "bob", "cy")[n % 3], f"turn {n} " + "x" * (n % 5)) for n in range(3000)] + [(2, 0, "ann", "y" * 500_000), (2, 1, "bob", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.speaker, r.part): (r.n_turns, r.text, [(m.start, m.end) for m in r.mask]) for r in chat.perspectives(df).collect()}
+    assert got == brute(rows) and len(got) == 5

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from veldra.llm import mixing
 
 
@@ -38,8 +40,7 @@ def test_epochs_hold_exactly_the_target():
         words = 0
         for p in mixing.epochs(k, s, 7):
             seen = set()
-            for j in range(p["slots"]):
-                block = (p["a"] * j + p["b"]) % p["n"]
+            for j, block in enumerate(mixing.Permutation(p["n"], 7, k, p["epoch"])(np.arange(p["slots"])).tolist()):
                 assert block not in seen
                 seen.add(block)
                 size = min(mixing.BLOCK_WORDS, s.size - block * mixing.BLOCK_WORDS)
@@ -47,6 +48,48 @@ def test_epochs_hold_exactly_the_target():
         assert words == round(s.target)
 
 
+def test_permutations_are_whole_have_inverses_and_look_random():
+    for n in (1, 2, 3, 7, 64, 65, 1000, 4097):
+        p = mixing.Permutation(n, 7, 1, 0)
+        x = np.arange(n)
+        y = p(x)
+        assert sorted(y.tolist()) == x.tolist() and (p(y, back=True) == x).all()
+        if n >= 1000:
+            assert (y != mixing.Permutation(n, 7, 1, 1)(x)).mean() > 0.9
+            assert len(set(np.diff(y).tolist())) > n / 3  # no stride
+            assert abs(np.corrcoef(x, y)[0, 1]) < 0.1
+    assert (mixing.Permutation(10**15, 1)(np.array([0, 1, 10**15 - 1])) < 10**15).all()
+
+
+def test_each_document_gives_the_words_of_its_blocks(spark, monkeypatch):
+    """Brute force over single words: a source's words in the order of its layout, cut into blocks, met by slots of the permutation."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 16)
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 8)
+    monkeypatch.setattr(mixing, "GROUP_BUCKETS", 3)
+    rng = random.Random(4)
+    docs = [(i, " ".join("w" * rng.randrange(1, 4) for _ in range(rng.choice([0, 1, 9, 130, 700]))), rng.choice(["a", "a", "b", None])) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    work = mixing.Workspace(spark, "t")
+    laid, slot, sources = mixing.plan(work, df, "doc_id", "text", "source", mixing.WEIGHTS, mixing.SHARE, 7)
+    places = sorted((r.k, r.start, r.size, r.id) for r in laid.collect())
+    want = dict.fromkeys((i for i, *_ in docs), 0)
+    for k, s in enumerate(sources):
+        owner = [i for j, _, size, i in places if j == k for _ in range(size)]
+        assert len(owner) == s.size and all(owner[start] == i for j, start, size, i in places if j == k and size)
+        left = round(s.target)
+        for epoch in (0, 1):
+            for block in mixing.Permutation(s.blocks, 7, k, epoch)(np.arange(s.blocks)).tolist():
+                for i in owner[50 * block : 50 * block + 50]:
+                    if left:
+                        want[i] += 1
+                        left -= 1
+    assert {r.doc_id: r.taken for r in mixing.mix(df).collect()} == want
+    # every slot is in one shard, and no shard has more than it holds
+    got = slot.groupBy("shard").count().collect()
+    assert all(r["count"] <= 16 for r in got) and sum(r["count"] for r in got) == slot.select("k", "epoch", "j").distinct().count()
+
+
 def test_shard_counts_add_up():
     quota = [10, 50_000, 3, 0, 17_000]
     total = [0] * 5

@@ -265,6 +265,21 @@ class Merger:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def _ids(path: str, pattern: str, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = kept(("bpe", path, pattern, most), lambda: Merger(load_ranks(path), pattern, most))
+        for batch in batches:
+            start, held, rows = 0, 0, []
+            for i, text in enumerate(texts(batch.column(1))):
+                rows.append(m.encode(text))
+                held += len(rows[-1])
+                if held > 16_000_000 or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(rows)), pa.array([len(x) // 4 for x in rows], pa.int64()), pa.array(rows, pa.binary())], names=["id", "n", "a"])
+                    start, held, rows = i + 1, 0, []
+
+    return run
+
+
 def _run(path: str, pattern: str, digest: bool, most: int = PRETOKEN_CACHE):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = kept(("bpe", path, pattern, most), lambda: Merger(load_ranks(path), pattern, most))
@@ -303,6 +318,13 @@ def encode_column(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     return src.mapInArrow(_run(ranks_path, pattern, False), f"id {kind}, n long, a binary, b binary").toDF(id_col, "n_tokens", "ids", "decoded")
 
 
+def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = PRETOKEN_CACHE) -> DataFrame:
+    """encode_column without the decoded bytes: id_col, n_tokens, ids."""
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    kind = src.schema["id"].dataType.simpleString()
+    return src.mapInArrow(_ids(ranks_path, pattern, most), f"id {kind}, n long, a binary").toDF(id_col, "n_tokens", "ids")
+
+
 def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = PRETOKEN_CACHE) -> DataFrame:
     """encode_column with SHA-256 of both outputs in their place, taken where the text is, so that no ids travel."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
@@ -321,5 +343,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: ids of every document, as digests."""
-    return digests(docs, *_public(), most=STAGE_CACHE)
+    """Pipeline stage: doc_id, n_tokens and ids (little-endian unsigned 32-bit, as binary) of every row, in the order of the rows.
+
+    Null and empty texts have no ids; a null doc_id is carried; repeated rows are each encoded, an empty table gives an empty result. Other columns
+    are left out, whatever their names. decode() of the ids gives the text's bytes again.
+    """
+    return encoded(docs, *_public(), most=STAGE_CACHE)

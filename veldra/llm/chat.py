@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SYSTEM = ("system",)
-#: Turns of a dialogue that one row of the result holds; longer dialogues go on in further parts.
-PART_TURNS = 256
+#: Turn numbers that one row of the result holds, which bounds a row's size. Dialogues of up to so many are rendered whole; those beyond
+#: go on in further parts, each of which starts afresh.
+PART_TURNS = 4096
 
 
 def _escaped(c: Column) -> Column:

@@ -90,7 +90,7 @@ def _cut(window: int, width: int):
     """Rows (k, h, text, places): the text's super-k-mers that are told of. Of those that are shown the words go along; sure
     ones that follow each other become one row.
 
-    They are told apart by the hash of the run, so rows that share an id may look at each other's without harm.
+    They are told apart by the hash of the run, so rows that share a key may look at each other's without harm.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +112,8 @@ def _cut(window: int, width: int):
                     at = np.flatnonzero(np.isin(whole, runs[wanted]))
                     if not len(at):
                         continue
+                    if kind == SHOWN:  # the first of each run stands for all
+                        at = at[np.sort(np.unique(whole[at], return_index=True)[1])]
                     if kind == SURE:
                         starts = np.flatnonzero(np.diff(at, prepend=at[0] - 2) > 1)
                         ends = np.append(starts[1:], len(at)) - 1
@@ -230,14 +232,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts their windows exactly. Buckets with over BUCKET sequences (very common passages) are counted window by window
     with partial sums instead, so no bucket gathers in one task.
 
-    Nulls: a null text has no words; a null id is carried. Rows that repeat an id are documents of their own, and repeat each other's
+    Nulls: a null text has no words; a null id is carried, ids are of any type. Rows that repeat an id are documents of their own, and repeat each other's
     windows. Texts under window words lose nothing. Empty tables give empty results. Extra columns are ignored.
 
     Returns id_col, n_words, n_removed, kept (binary UTF-8: the words that stay, joined by one space).
     """
     spark = session(docs)
     work = Workspace(spark, "substrings")
-    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).select("id", "t", F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("k"), F.xxhash64("id", "t").alias("h"))
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).select("id", "t", F.xxhash64("id", "t").alias("k"), F.xxhash64(F.lit(3), "t", "id").alias("h"))
     kind = src.schema["id"].dataType.simpleString()
     mini = work.put(src.select("k", "t").mapInArrow(_minimisers(window, width), "k long, mini long, run long"), "minimisers")
     often = mini.groupBy("mini").agg(F.count("*").alias("c"), F.min("run").alias("lo"), F.max("run").alias("hi")).where("c > 1").select("mini", (F.col("lo") < F.col("hi")).alias("mixed"))
@@ -248,8 +250,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = found.select("k", "run", F.when(F.col("mixed"), MIXED).otherwise(SURE).alias("kind"), F.lit(1).cast("long").alias("n")).union(shown)
     places = places.groupBy("k").agg(F.collect_set(F.struct("run", "kind", "n")).alias("places"))
     cut = work.put(src.join(places, "k").select("k", "h", "t", "places").mapInArrow(_cut(window, width), CUT), "cut")
-    packed = cut.where(F.col("kind") == SHOWN).select("mini", "run", "n", "packed")
-    sizes = packed.groupBy("mini").agg(F.countDistinct("run").alias("size"))
+    # rows that are equal in all chose the same document; of each run one row goes on
+    packed = cut.where(F.col("kind") == SHOWN).groupBy("mini", "run").agg(F.first("n").alias("n"), F.first("packed").alias("packed"))
+    packed = work.put(packed, "packed")
+    sizes = packed.groupBy("mini").agg(F.count("*").alias("size"))
     small = packed.join(sizes.where(F.col("size") <= BUCKET).select("mini"), "mini", "left_semi")
     twice = small.repartition(partitions(spark), "mini").sortWithinPartitions("mini", "run").mapInArrow(_counted(window), "mini long, run long, at int")
     single = packed.join(sizes.where(F.col("size") > BUCKET).select("mini"), "mini", "left_semi").select("mini", "run", "n", "packed").mapInArrow(_single(window), "mini long, run long, at int, n long, w1 long, w2 long")
@@ -262,7 +266,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = cut.where(F.col("kind") == MIXED).select("k", "h", "start", "mini", "run").join(marks, ["mini", "run"]).select("k", "h", F.explode(F.transform("ats", lambda a: span(F.col("start") + a, F.lit(1)))).alias("s"))
     spans = sure.union(rest).groupBy("k", "h").agg(F.collect_set("s").alias("spans"))
     out = src.join(spans, ["k", "h"], "left").select("id", "t", "spans").mapInArrow(_removed(window), f"id {kind}, n_words long, n_removed long, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    return work.last(out.withColumnRenamed("id", id_col), "often", "packed", "single", "twice")
 
 
 ORACLE = rf"""

@@ -25,4 +25,5 @@ def run(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = work.put(docs, f"{k}-{name}")
-    return docs
+            work.drop_all_but(f"{k}-{name}")
+    return work.last(docs)

@@ -228,3 +228,42 @@ def test_result_tables(spark):
     assert [r.eval_no for r in R.leaderboard(ev, 2).where("experiment_id = 'a'").orderBy("rank").collect()] == [4, 2]
     assert R.stop_at_threshold(ev, 4.0).count() == 3 and R.stop_at_budget(ev, 1).count() == 2 and R.stop_at_budget(ev, -1).count() == 5
     assert R.first_evaluations(ev).count() == 4
+
+
+def test_box_least_squares_is_the_best_of_all_faces():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    for trial in range(400):
+        k = int(rng.integers(1, 6))
+        g = rng.standard_normal((k if trial % 3 else max(1, k - 1), k)) * rng.choice([0.1, 1, 30])
+        gram = g.T @ g
+        cross = gram @ rng.uniform(-9, 9, k) if trial % 2 else g.T @ rng.standard_normal(len(g)) * 5
+        value = lambda c: c @ gram @ c - 2 * c @ cross  # noqa: B023
+        best = np.inf
+        for face in itertools.product((None, -5.0, 5.0), repeat=k):
+            c = np.array([0.0 if f is None else f for f in face])
+            at = [i for i, f in enumerate(face) if f is None]
+            if at:
+                c[at] = np.linalg.lstsq(gram[np.ix_(at, at)], cross[at] - gram[np.ix_(at, range(k))] @ c, rcond=None)[0]
+            if (np.abs(c) <= 5 + 1e-9).all():
+                best = min(best, value(c))
+        got = FIT.box_least_squares(gram, cross, -5.0, 5.0)
+        assert (np.abs(got) <= 5).all() and value(got) <= best + 1e-6 * (1 + abs(best))
+    many = rng.standard_normal((60, 40))
+    got = FIT.box_least_squares(many.T @ many, many.T @ rng.standard_normal(60) * 20, -5.0, 5.0)
+    assert (np.abs(got) <= 5).all()
+
+
+def test_fits_are_alike_on_both_sides_of_the_size_limit(spark):
+    rng = np.random.default_rng(2)
+    x = rng.uniform(0.5, 2, 200)
+    y = 1.5 * x - 0.5 + 0.01 * rng.standard_normal(200)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double")
+    lib = SymbolLibrary.default(1)
+    for e in ("C * X_0 + C", "C * X_0", "X_0 + X_0", "exp ( C * X_0 ) + C", "C + C + C + C + C + C + C + C + C + X_0"):
+        a, c = FIT.fit_rows(e.split(), x[:, None], y, FIT.Settings(), 3, lib)
+        b, d = FIT.fit_distributed(df, e.split(), ["x"], "y", FIT.Settings(), 3, lib)
+        assert (np.isnan(a) and np.isnan(b) and c == d == []) or (abs(a - b) < 1e-6 and np.allclose(c, d, atol=1e-4)), e
+    short = FIT.Settings(max_expr_length=2)
+    assert np.isnan(FIT.fit_rows("C * X_0".split(), x[:, None], y, short, 3, lib)[0]) and np.isnan(FIT.fit_distributed(df, "C * X_0".split(), ["x"], "y", short, 3, lib)[0])

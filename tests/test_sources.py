@@ -91,3 +91,10 @@ def test_archives_of_arrays(spark, tmp_path):
         z.writestr("../d.npz", b"")
     with pytest.raises(ValueError):
         members(str(tmp_path / "bad.zip"))
+
+
+def test_mirrored_values_are_drawn_once(spark):
+    df = sample(spark, [uniform(1, 5), log_uniform(0.1, 10)], 20_000, 3)
+    for c in ("x0", "x1"):
+        got = [r[0] for r in df.select(c).collect()]
+        assert len({abs(x) for x in got}) > 19_990 and 9_500 < sum(x > 0 for x in got) < 10_500

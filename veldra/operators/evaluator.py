@@ -9,6 +9,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ from ..functions.simplify import simplify
 from ..functions.symbols import SymbolLibrary
 from ..functions.tree import as_tree, constants as count_constants
 from ..plans.compile import evaluate as run_expression
-from .fit import MOST_SENT, Settings, fit_distributed, fit_many
-from .score import latin_hypercube, wasserstein_arrays
+from .fit import MOST_SENT, Settings, fit_distributed, fit_many, refused
+from .score import latin_hypercube, score_many, wasserstein_arrays
 
 MODEL = "expr_key string, tokens array<string>, error double, parameters array<double>"
 
@@ -88,6 +89,16 @@ def results_frame(spark, results: list[Result]) -> DataFrame:
 RESULT = "dataset string, approach string, seed int, min_error double, best_expr string, num_evaluated long, evaluation_calls long, success boolean"
 
 
+def behaviour_at(tokens, points: np.ndarray, settings: Settings, library: SymbolLibrary, seed: int | None) -> np.ndarray:
+    """Values at points (rows) for constants of a Latin hypercube (columns)."""
+    tree = as_tree(tokens, library)
+    k = count_constants(tree, library)
+    if not k:
+        return np.repeat(run_expression(tree, points, (), library)[:, None], settings.num_consts_sampled, axis=1)
+    samples = latin_hypercube(settings.num_consts_sampled, [settings.constant_bounds] * k, seed)
+    return np.column_stack([run_expression(tree, points, c, library) for c in samples])
+
+
 class Evaluator:
     """Scores expressions against one dataset.
 
@@ -141,13 +152,7 @@ class Evaluator:
         return self._points
 
     def _behaviour(self, tokens, seed: int | None) -> np.ndarray:
-        tree = as_tree(tokens, self.library)
-        k = count_constants(tree, self.library)
-        points = self._bed_points()
-        if not k:
-            return np.repeat(run_expression(tree, points, (), self.library)[:, None], self.settings.num_consts_sampled, axis=1)
-        samples = latin_hypercube(self.settings.num_consts_sampled, [self.settings.constant_bounds] * k, seed)
-        return np.column_stack([run_expression(tree, points, c, self.library) for c in samples])
+        return behaviour_at(tokens, self._bed_points(), self.settings, self.library, seed)
 
     def _bed_threshold(self) -> float:
         """A tenth over the largest of 100 distances of the ground truth to itself with other constants."""
@@ -157,20 +162,48 @@ class Evaluator:
 
     # scoring
 
+    def _gaps(self, todo: list[tuple[str, list[str]]]) -> dict[str, tuple[float, list[float]]]:
+        """Behaviour distances to the ground truth, candidates in parallel; the points, a number of the settings, go along."""
+        points, settings, library, seed = self._bed_points(), self.settings, self.library, self.seed
+        truth = self._behaviour(self.ground_truth, seed)
+
+        def run(frames):
+            for pdf in frames:
+                out = []
+                for tokens in pdf["tokens"]:
+                    try:
+                        out.append(behaviour_gap(behaviour_at(list(tokens), points, settings, library, seed), truth))
+                    except (ValueError, IndexError):
+                        out.append(float("nan"))
+                yield pd.DataFrame({"expr_key": pdf["expr_key"], "error": out})
+
+        spark = self.data.sparkSession
+        frame = spark.createDataFrame(todo, "expr_key string, tokens array<string>").repartition(min(len(todo), spark.sparkContext.defaultParallelism))
+        return {r["expr_key"]: (r["error"], []) for r in frame.mapInPandas(run, "expr_key string, error double").collect()}
+
+    def _score_free(self, todo: list[tuple[str, list[str]]]) -> dict[str, tuple[float, list[float]]]:
+        """The candidates without constants, scored together in one pass over the data."""
+        free = []
+        for key, tokens in todo:
+            try:
+                tree = as_tree(tokens, self.library)
+                if not count_constants(tree, self.library) and not refused(tree, 0, self.settings, self.library):
+                    free.append((key, tree, []))
+            except (ValueError, IndexError):
+                pass
+        if not free:
+            return {}
+        return {r["expr_key"]: (r["error"], []) for r in score_many(self.data, free, self.columns, self.target, self.library).collect()}
+
     def _score(self, todo: list[tuple[str, list[str]]]) -> dict[str, tuple[float, list[float]]]:
         if self.ranking == "bed":
-            out = {}
-            truth = self._behaviour(self.ground_truth, self.seed)
-            for key, tokens in todo:
-                try:
-                    out[key] = (behaviour_gap(self._behaviour(tokens, self.seed), truth), [])
-                except (ValueError, IndexError):
-                    out[key] = (float("nan"), [])
-            return out
+            return self._gaps(todo)
         rows = self._rows()
         if rows is None:
-            out = {}
+            out = self._score_free(todo)
             for key, tokens in todo:
+                if key in out:
+                    continue
                 try:
                     out[key] = fit_distributed(self.data, tokens, self.columns, self.target, self.settings, self.seed, self.library)
                 except (ValueError, IndexError):

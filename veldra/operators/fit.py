@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.symbols import SymbolLibrary
 from ..functions.tree import Node, as_tree, constants as count_constants
-from ..plans.compile import Hoisted, bindings, to_column
-from .score import score_many
+from ..plans.compile import Hoisted, bindings, evaluate as run_expression, to_column
+from .score import rmse, score_many
 
 #: Bytes of data that may be sent to every task; beyond it the data stay distributed.
 MOST_SENT = 64_000_000
@@ -73,21 +72,39 @@ def linear_parts(expr: Node | list[str], library: SymbolLibrary) -> tuple[Node |
 
 
 def box_least_squares(gram: np.ndarray, cross: np.ndarray, lo: float, hi: float) -> np.ndarray:
-    """argmin of c' G c - 2 c' b in a box. The problem is convex, so the best of all stationary points of its faces is it."""
+    """argmin of c' G c - 2 c' b in a box by active sets: the variables off the bounds are solved for, those that would leave the box are
+    held at the bound met first, and held ones are let go while the slope draws them inside."""
     k = len(cross)
-    best, found = np.inf, np.clip(np.zeros(k), lo, hi)
-    for face in itertools.product((None, lo, hi), repeat=k):
-        c = np.array([0.0 if f is None else f for f in face])
-        free = [i for i, f in enumerate(face) if f is None]
-        if free:
-            rest = cross[free] - gram[np.ix_(free, range(k))] @ c
-            c[free] = np.linalg.lstsq(gram[np.ix_(free, free)], rest, rcond=None)[0]
-            if (c[free] < lo - 1e-12).any() or (c[free] > hi + 1e-12).any():
-                continue
-        value = c @ gram @ c - 2 * c @ cross
-        if value < best:
-            best, found = value, c
-    return found
+    c = np.clip(np.linalg.lstsq(gram, cross, rcond=None)[0], lo, hi)
+    free = (c > lo) & (c < hi)
+    slack = 1e-9 * (1 + np.abs(cross).max(initial=0.0))
+    stuck = np.zeros(k, bool)
+    for _ in range(10 * k + 10):
+        while free.any():
+            at = np.flatnonzero(free)
+            goal = np.linalg.lstsq(gram[np.ix_(at, at)], cross[at] - gram[np.ix_(at, np.flatnonzero(~free))] @ c[~free], rcond=None)[0]
+            step = goal - c[at]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                room = np.where(step > 0, (hi - c[at]) / step, np.where(step < 0, (lo - c[at]) / step, np.inf))
+            first = int(np.argmin(room))
+            if room[first] >= 1:
+                if np.abs(step).max() > 0:
+                    stuck[:] = False
+                c[at] = goal
+                break
+            if room[first] > 0:
+                stuck[:] = False
+            c[at] += max(0.0, room[first]) * step
+            c[at[first]] = hi if step[first] > 0 else lo
+            free[at[first]] = False
+            stuck[at[first]] = True
+        slope = cross - gram @ c
+        pull = np.where(free | stuck, 0.0, np.where(c <= lo, slope, np.where(c >= hi, -slope, np.abs(slope))))
+        out = int(np.argmax(pull)) if k else 0
+        if not k or pull[out] <= slack:
+            break
+        free[out] = True
+    return c
 
 
 def fit_linear(df: DataFrame, expr: Node | list[str], columns: Sequence[str] | dict, target: str, settings: Settings = Settings(), library: SymbolLibrary | None = None) -> tuple[float, list[float]]:
@@ -102,13 +119,14 @@ def fit_linear(df: DataFrame, expr: Node | list[str], columns: Sequence[str] | d
     data = df.select(*[x.alias(f"g{i}") for i, x in enumerate(g)], y.alias("y"))
     k = len(g)
     aggs = [F.sum(F.col(f"g{i}") * F.col(f"g{j}")).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
-    row = data.agg(*aggs, *[F.sum(F.col(f"g{i}") * F.col("y")).alias(f"b{i}") for i in range(k)], F.sum(F.col("y") * F.col("y")).alias("yy"), F.count("*").alias("n")).first()
+    row = data.agg(*aggs, *[F.sum(F.col(f"g{i}") * F.col("y")).alias(f"b{i}") for i in range(k)]).first()
     gram = np.array([[row[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
     cross = np.array([row[f"b{i}"] for i in range(k)], float)
-    if not (np.isfinite(gram).all() and np.isfinite(cross).all()):
+    if not (np.isfinite(gram).all() and np.isfinite(cross).all()):  # nulls too: there are no rows
         return float("nan"), []
     c = box_least_squares(gram, cross, *settings.constant_bounds)
-    return float(np.sqrt(max(0.0, (c @ gram @ c - 2 * c @ cross + row["yy"]) / row["n"]))), c.tolist()
+    # the residual is taken from the data: by the products it would lose its last digits, which tell whether a fit is exact
+    return float(rmse(df, expr, columns, target, c.tolist(), library).first()["rmse"]), c.tolist()
 
 
 def minimise(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, lo: float, hi: float, max_iter: int = 100, tol: float = 1e-9, gtol: float = 1e-8) -> tuple[float, np.ndarray]:
@@ -172,13 +190,17 @@ def start_of(key: str, k: int, settings: Settings, seed: int | None) -> np.ndarr
     return np.random.default_rng(int.from_bytes(digest[:8], "little")).uniform(lo, hi - 1e-8, k)
 
 
+def refused(tree: Node, k: int, settings: Settings, library: SymbolLibrary) -> bool:
+    """Whether an expression has too many constants or is too long to be fitted."""
+    return 0 <= settings.max_constants < k or 0 < settings.max_expr_length < len(tree.to_list(library))
+
+
 def fit_rows(expr: Node | list[str], rows: np.ndarray, target: np.ndarray, settings: Settings = Settings(), seed: int | None = None, library: SymbolLibrary | None = None, key: str | None = None) -> tuple[float, list[float]]:
     """(rmse, constants) over a matrix in memory; (NaN, []) for an expression that is too long or has too many constants."""
     library = SymbolLibrary.or_default(library)
     tree = as_tree(expr, library)
     k = count_constants(tree, library)
-    length = len(expr)
-    if 0 <= settings.max_constants < k or 0 < settings.max_expr_length < length:
+    if refused(tree, k, settings, library):
         return float("nan"), []
     run = Hoisted(tree, rows, library)
 
@@ -193,24 +215,39 @@ def fit_rows(expr: Node | list[str], rows: np.ndarray, target: np.ndarray, setti
         if not k:
             return float(np.sqrt(errors(np.zeros((1, 0)))[0])), []
         lo, hi = settings.constant_bounds
+        if (parts := linear_parts(tree, library)) and len(target):
+            g = np.stack([np.broadcast_to(run_expression(x, rows, (), library), target.shape) for x in parts[1]])
+            y = target - run_expression(parts[0], rows, (), library) if parts[0] is not None else target
+            gram, cross = g @ g.T, g @ y
+            if not (np.isfinite(gram).all() and np.isfinite(cross).all()):
+                return float("nan"), []
+            c = box_least_squares(gram, cross, lo, hi)
+            return float(np.sqrt(errors(c[None])[0])), c.tolist()
         value, c = minimise(errors, start_of(key or "".join(tree.to_list(library)), k, settings, seed), lo, hi, settings.max_iter, settings.tol * 1e-9, settings.gtol * 1e-9)
         return float(np.sqrt(value)), c.tolist()
 
 
 def fit_distributed(df: DataFrame, expr: Node | list[str], columns: Sequence[str] | dict, target: str, settings: Settings = Settings(), seed: int | None = None, library: SymbolLibrary | None = None) -> tuple[float, list[float]]:
-    """(rmse, constants) over data of any size: every gradient or line search is one pass that scores its points together."""
+    """(rmse, constants) over data of any size: every gradient or line search is one pass that scores its points together.
+
+    Same rules, starts, solvers and tolerances as fit_rows.
+    """
     library = SymbolLibrary.or_default(library)
     tree = as_tree(expr, library)
-    if linear_parts(tree, library) and count_constants(tree, library):
-        return fit_linear(df, tree, columns, target, settings, library)
     k = count_constants(tree, library)
+    if refused(tree, k, settings, library):
+        return float("nan"), []
+    if not k:
+        return float(rmse(df, tree, columns, target, (), library).first()["rmse"]), []
+    if linear_parts(tree, library):
+        return fit_linear(df, tree, columns, target, settings, library)
 
     def errors(points: np.ndarray) -> np.ndarray:
         got = {r["expr_key"]: r["error"] for r in score_many(df, [(str(i), tree, p.tolist()) for i, p in enumerate(points)], columns, target, library).collect()}
         return np.array([got.get(str(i), np.nan) for i in range(len(points))], float) ** 2
 
     lo, hi = settings.constant_bounds
-    value, c = minimise(errors, start_of("".join(tree.to_list(library)), k, settings, seed), lo, hi, settings.max_iter, settings.tol * 1e-3, settings.gtol * 1e-3)
+    value, c = minimise(errors, start_of("".join(tree.to_list(library)), k, settings, seed), lo, hi, settings.max_iter, settings.tol * 1e-9, settings.gtol * 1e-9)
     return float(np.sqrt(value)), c.tolist()
 
 

@@ -29,12 +29,16 @@ def rmse(df: DataFrame, expr: Node | list[str], columns: Sequence[str] | dict, t
     return df.agg(error_column(to_column(expr, columns, constants, library), F.col(target).cast("double")).alias("rmse"))
 
 
+def r2_column(value: Column, target: Column) -> Column:
+    """max(0, 1 - residual / total sum of squares); NaN gives 0. The total comes from the variance, so one pass does."""
+    d = value - target
+    raw = 1 - F.try_divide(F.sum(d * d), F.var_pop(target) * F.count(target))
+    return F.when(F.isnan(raw) | raw.isNull() | (raw < 0), F.lit(0.0)).otherwise(raw)
+
+
 def r2(df: DataFrame, expr: Node | list[str], columns: Sequence[str] | dict, target: str, constants: Sequence[float] = (), library: SymbolLibrary | None = None) -> DataFrame:
-    """One row: r2 = max(0, 1 - residual / total sum of squares); NaN gives 0. One pass: the total comes from the variance."""
-    y = F.col(target).cast("double")
-    d = to_column(expr, columns, constants, library) - y
-    raw = 1 - F.try_divide(F.sum(d * d), F.var_pop(y) * F.count(y))
-    return df.agg(F.when(F.isnan(raw) | raw.isNull() | (raw < 0), F.lit(0.0)).otherwise(raw).alias("r2"))
+    """One row: r2."""
+    return df.agg(r2_column(to_column(expr, columns, constants, library), F.col(target).cast("double")).alias("r2"))
 
 
 def score_columns(df: DataFrame, candidates: dict[str, Node | list[str]], columns: Sequence[str] | dict, target: str, library: SymbolLibrary | None = None) -> DataFrame:

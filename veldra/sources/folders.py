@@ -8,9 +8,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a local one only where none is set."""
+    """The folder that all executors share, as the session names it; a local one only where none is set on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veldra-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")

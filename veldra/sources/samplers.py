@@ -47,7 +47,7 @@ class Sampler:
             if self.scale == "integer_uniform":
                 value = F.least(F.floor(value), F.lit(math.ceil(hi) - 1)).cast("double")
         if self.uses_positive and self.uses_negative:
-            return F.when(side < 0.5, value).otherwise(-value)
+            return value * F.when(side < 0.5, F.lit(1.0)).otherwise(F.lit(-1.0))  # value once: its generator runs on with every row
         return value if self.uses_positive else -value
 
     def draw(self, n: int, rng: np.random.Generator) -> np.ndarray:

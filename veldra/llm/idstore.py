@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import Workspace, kept, partitions, session, texts
 
 MAGIC = b"VIDS"
+#: What stands in the index for a null id, which comes first in order as the smallest long does.
+NO_ID = -(2**63)
 HEAD = "<4sII32sQ"
 HEAD_SIZE = struct.calcsize(HEAD)
 #: A block is closed when it has so many bytes of frames or so many documents.
@@ -179,7 +181,7 @@ def _packed(path: str, end: int, dictionary: bytes):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 for i, ids in zip(part.column(0).to_pylist(), encoder.encode(list(texts(part.column(1)))), strict=True):
-                    held.append((i, ids + last))
+                    held.append((NO_ID if i is None else i, ids + last))
                     size += len(ids)
                     if size >= BLOCK_BYTES or len(held) >= BLOCK_DOCS:
                         yield close()
@@ -199,7 +201,7 @@ def _read(dictionary: bytes):
                     raw = block.ids(k)
                     if len(raw) != 4 * n:
                         raise ValueError("a frame disagrees with the index")
-                    rows.append((i, at, n, zlib.crc32(raw)))
+                    rows.append((None if i == NO_ID else i, at, n, zlib.crc32(raw)))
                     at += n
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.int32()), *(pa.array(c, pa.int64()) for c in cols)], names=["shard", "doc_id", "local", "n_tokens", "ids_crc32"])
@@ -212,19 +214,19 @@ def write(docs: DataFrame, tokenizer_path: str, end: int = 2, id_col: str = "doc
 
     Documents go to shards by ranges of id and are sorted there. The dictionary is trained on the ids of at most DICT_DOCS documents.
 
-    Nulls: a null text is empty, so it is the end id alone; rows with a null id are not stored (there is no place for them
-    in id order). Rows that repeat an id are stored each, in a fixed order. An empty table gives a store without blocks. Extra
+    Nulls: a null text is empty, so it is the end id alone; rows with a null id come first, under NO_ID, and are read back with a null id. Ids are
+    integers, as the format says. Rows that repeat an id are stored each, in a fixed order. An empty table gives a store without blocks. Extra
     columns are ignored. A text's ids are held whole in memory; a block is closed at BLOCK_BYTES.
     """
     spark = session(docs)
     work = Workspace(spark, "ids")
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).where("id IS NOT NULL")
-    chosen = [r["id"] for r in src.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(DICT_DOCS).collect()]
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    chosen = [r["id"] for r in src.where("id IS NOT NULL").select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(DICT_DOCS).collect()]
     sample = [r["t"] for r in src.where(F.col("id").isin(chosen) & (F.length("t") <= DICT_CHARS)).orderBy("id", F.xxhash64("t")).limit(DICT_DOCS).collect()] if chosen else []
     dictionary = train(Encoder(tokenizer_path).encode([t or "" for t in sample]))
     ordered = src.withColumn("h", F.xxhash64("t")).repartitionByRange(partitions(spark), "id", "h").sortWithinPartitions("id", "h").select("id", "t")
     blocks = ordered.mapInArrow(_packed(tokenizer_path, end, dictionary), "shard int, block int, first long, docs int, tokens long, data binary")
-    return work.put(blocks, "blocks"), dictionary
+    return work.last(work.put(blocks, "blocks")), dictionary
 
 
 def read(blocks: DataFrame, dictionary: bytes) -> DataFrame:

@@ -80,11 +80,21 @@ def test_registered_fits_and_behaviours_take_every_row(spark, tmp_path):
 def test_minimise_never_ends_above_its_start():
     rng = np.random.default_rng(1)
     for _ in range(30):
-        q = rng.normal(size=(3, 3))
-        f = lambda p: np.sum((p @ q) ** 2, axis=1) + np.sin(5 * p).sum(axis=1)  # noqa: B023, E731
+        q, y = rng.normal(size=(9, 3)), rng.normal(size=9)
+        residuals = lambda p: y - (p @ q.T + np.sin(5 * p).sum(axis=-1)[..., None])  # noqa: B023
+        errors = lambda p: (residuals(p) ** 2).mean(axis=1)  # noqa: B023
+
+        def products(c):
+            points, width = FIT.around(c, -1, 1)
+            slope = (residuals(points[3:]) - residuals(points[:3])) / width[:, None]  # noqa: B023
+            return slope @ slope.T / 9, slope @ residuals(c) / 9  # noqa: B023
+
         start = rng.uniform(-1, 1, 3)
-        v, x = FIT.minimise(f, start, -1, 1)
-        assert v <= f(start[None])[0] + 1e-12 and (np.abs(x) <= 1).all()
+        v, x = FIT.minimise(errors, products, start, -1, 1)
+        assert (np.abs(x) <= 1).all() and v <= errors(start[None])[0] and v == pytest.approx(errors(x[None])[0])
+        g, c = products(x)
+        move = FIT.box_least_squares(g + 1e-3 * np.diag(np.diag(g)), c, -1 - x, 1 - x)
+        assert errors((x + move)[None])[0] >= v - 1e-5
 
 
 def test_distributions(spark):

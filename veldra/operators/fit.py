@@ -1,4 +1,4 @@
-"""Free constants: exact when they enter linearly, else by a bounded quasi-Newton search."""
+"""Free constants: exact when they enter linearly, else by damped Gauss-Newton steps in the box."""
 
 from __future__ import annotations
 
@@ -25,7 +25,7 @@ class Settings:
     """Fixed defaults of the estimation."""
 
     tol: float = 1e-6
-    gtol: float = 1e-3
+    gtol: float = 1e-3  # kept for stored settings; steps end by their gain
     max_iter: int = 100
     constant_bounds: tuple[float, float] = (-5.0, 5.0)
     initialization: str = "random"
@@ -71,10 +71,11 @@ def linear_parts(expr: Node | list[str], library: SymbolLibrary) -> tuple[Node |
     return None if found == "no" else found
 
 
-def box_least_squares(gram: np.ndarray, cross: np.ndarray, lo: float, hi: float) -> np.ndarray:
-    """argmin of c' G c - 2 c' b in a box by active sets: the variables off the bounds are solved for, those that would leave the box are
+def box_least_squares(gram: np.ndarray, cross: np.ndarray, lo: float | np.ndarray, hi: float | np.ndarray) -> np.ndarray:
+    """argmin of c' G c - 2 c' b in a box (one pair of bounds, or one for each variable) by active sets: the variables off the bounds are solved for, those that would leave the box are
     held at the bound met first, and held ones are let go while the slope draws them inside."""
     k = len(cross)
+    lo, hi = np.broadcast_to(lo, k), np.broadcast_to(hi, k)
     c = np.clip(np.linalg.lstsq(gram, cross, rcond=None)[0], lo, hi)
     free = (c > lo) & (c < hi)
     slack = 1e-9 * (1 + np.abs(cross).max(initial=0.0))
@@ -85,7 +86,7 @@ def box_least_squares(gram: np.ndarray, cross: np.ndarray, lo: float, hi: float)
             goal = np.linalg.lstsq(gram[np.ix_(at, at)], cross[at] - gram[np.ix_(at, np.flatnonzero(~free))] @ c[~free], rcond=None)[0]
             step = goal - c[at]
             with np.errstate(divide="ignore", invalid="ignore"):
-                room = np.where(step > 0, (hi - c[at]) / step, np.where(step < 0, (lo - c[at]) / step, np.inf))
+                room = np.where(step > 0, (hi[at] - c[at]) / step, np.where(step < 0, (lo[at] - c[at]) / step, np.inf))
             first = int(np.argmin(room))
             if room[first] >= 1:
                 if np.abs(step).max() > 0:
@@ -95,7 +96,7 @@ def box_least_squares(gram: np.ndarray, cross: np.ndarray, lo: float, hi: float)
             if room[first] > 0:
                 stuck[:] = False
             c[at] += max(0.0, room[first]) * step
-            c[at[first]] = hi if step[first] > 0 else lo
+            c[at[first]] = (hi if step[first] > 0 else lo)[at[first]]
             free[at[first]] = False
             stuck[at[first]] = True
         slope = cross - gram @ c
@@ -129,54 +130,42 @@ def fit_linear(df: DataFrame, expr: Node | list[str], columns: Sequence[str] | d
     return float(rmse(df, expr, columns, target, c.tolist(), library).first()["rmse"]), c.tolist()
 
 
-def minimise(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, lo: float, hi: float, max_iter: int = 100, tol: float = 1e-9, gtol: float = 1e-8) -> tuple[float, np.ndarray]:
-    """Bounded quasi-Newton search: BFGS in the variables that aren't held by a bound, with central differences.
+#: Weights of the diagonal that are tried together in a step, from Newton's step for squares to a short one down the slope.
+DAMPING = (0.0, 1e-4, 1e-2, 1.0, 1e2, 1e4)
+#: Part of the mean square that a step must gain for another one to follow.
+FLAT = 1e-8
 
-    f takes a matrix of points and gives their values, so a gradient is one call. Never ends above its start.
+
+def around(c: np.ndarray, lo: float, hi: float) -> tuple[np.ndarray, np.ndarray]:
+    """The points beside c for central differences, inside the box: (points, their distances)."""
+    h = 1e-6 * np.maximum(1.0, np.abs(c))
+    up, down = np.minimum(c + h, hi), np.maximum(c - h, lo)
+    eye = np.eye(len(c), dtype=bool)
+    return np.concatenate([np.where(eye, up, c), np.where(eye, down, c)]), up - down
+
+
+def minimise(errors: Callable[[np.ndarray], np.ndarray], products: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], start: np.ndarray, lo: float, hi: float, max_iter: int = 100, tol: float = 1e-15) -> tuple[float, np.ndarray]:
+    """Least squares in a box by damped Gauss-Newton steps.
+
+    errors gives the mean squares at a matrix of points. products gives, at a point, the mean products of the derivatives with each
+    other and with the residuals, so an iteration is two passes over the data. Never ends above its start.
     """
-    k = len(start)
     x = np.clip(start, lo, hi)
-    value = float(f(x[None])[0])
+    value = float(errors(x[None])[0])
     if not np.isfinite(value):
         return value, x
-    inverse = np.eye(k)
-
-    def gradient(at: np.ndarray) -> np.ndarray:
-        h = 1e-6 * np.maximum(1.0, np.abs(at))
-        up, down = np.minimum(at + h, hi), np.maximum(at - h, lo)
-        points = np.concatenate([np.where(np.eye(k, dtype=bool), up, at), np.where(np.eye(k, dtype=bool), down, at)])
-        v = f(points)
-        g = (v[:k] - v[k:]) / (up - down)
-        return np.where(np.isfinite(g), g, 0.0)
-
-    g = gradient(x)
     for _ in range(max_iter):
-        held = ((x <= lo) & (g > 0)) | ((x >= hi) & (g < 0))
-        free = ~held
-        if not free.any() or np.abs(g[free]).max() < gtol:
+        gram, cross = products(x)
+        if not (np.isfinite(gram).all() and np.isfinite(cross).all()):
             break
-        step = np.zeros(k)
-        step[free] = -(inverse[np.ix_(free, free)] @ g[free])
-        if step @ g >= 0:
-            step, inverse = np.where(free, -g, 0.0), np.eye(k)
-        lengths = 0.5 ** np.arange(0, 30)
-        points = np.clip(x + lengths[:, None] * step, lo, hi)
-        values = f(points)
-        good = np.flatnonzero(np.isfinite(values) & (values <= value + 1e-4 * ((points - x) @ g)) & (values < value))
-        if not len(good):
-            if (inverse == np.eye(k)).all():
-                break
-            inverse = np.eye(k)
-            continue
-        new = points[good[0]]
-        new_g = gradient(new)
-        s, d = new - x, new_g - g
-        if s @ d > 1e-12:
-            rho = 1 / (s @ d)
-            left = np.eye(k) - rho * np.outer(s, d)
-            inverse = left @ inverse @ left.T + rho * np.outer(s, s)
-        gain, x, g, value = value - values[good[0]], new, new_g, float(values[good[0]])
-        if gain <= tol * max(1.0, abs(value)):
+        scale = np.maximum(np.diag(gram), 1e-12 * max(1e-300, np.diag(gram).max()))
+        points = np.array([np.clip(x + box_least_squares(gram + w * np.diag(scale), cross, lo - x, hi - x), lo, hi) for w in DAMPING])
+        values = errors(points)
+        best = int(np.argmin(np.where(np.isfinite(values), values, np.inf)))
+        if not values[best] < value:
+            break
+        gain, x, value = value - values[best], points[best], float(values[best])
+        if gain <= tol or gain <= FLAT * value:
             break
     return value, x
 
@@ -223,12 +212,19 @@ def fit_rows(expr: Node | list[str], rows: np.ndarray, target: np.ndarray, setti
                 return float("nan"), []
             c = box_least_squares(gram, cross, lo, hi)
             return float(np.sqrt(errors(c[None])[0])), c.tolist()
-        value, c = minimise(errors, start_of(key or "".join(tree.to_list(library)), k, settings, seed), lo, hi, settings.max_iter, settings.tol * 1e-9, settings.gtol * 1e-9)
+
+        def products(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            points, width = around(c, lo, hi)
+            v = np.stack([np.broadcast_to(run(p), target.shape) for p in points])
+            slope = (v[:k] - v[k:]) / width[:, None]
+            return slope @ slope.T / len(target), slope @ (target - run(c)) / len(target)
+
+        value, c = minimise(errors, products, start_of(key or "".join(tree.to_list(library)), k, settings, seed), lo, hi, settings.max_iter, settings.tol * 1e-9)
         return float(np.sqrt(value)), c.tolist()
 
 
 def fit_distributed(df: DataFrame, expr: Node | list[str], columns: Sequence[str] | dict, target: str, settings: Settings = Settings(), seed: int | None = None, library: SymbolLibrary | None = None) -> tuple[float, list[float]]:
-    """(rmse, constants) over data of any size: every gradient or line search is one pass that scores its points together.
+    """(rmse, constants) over data of any size: a step is one pass for the products of derivatives and one that scores its points together.
 
     Same rules, starts, solvers and tolerances as fit_rows.
     """
@@ -247,7 +243,17 @@ def fit_distributed(df: DataFrame, expr: Node | list[str], columns: Sequence[str
         return np.array([got.get(str(i), np.nan) for i in range(len(points))], float) ** 2
 
     lo, hi = settings.constant_bounds
-    value, c = minimise(errors, start_of("".join(tree.to_list(library)), k, settings, seed), lo, hi, settings.max_iter, settings.tol * 1e-9, settings.gtol * 1e-9)
+    names = bindings(library, columns)
+
+    def products(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        points, width = around(c, lo, hi)
+        v = [to_column(tree, names, p.tolist(), library) for p in points]
+        own = df.select(*[((v[i] - v[k + i]) / F.lit(float(width[i]))).alias(f"g{i}") for i in range(k)], (F.col(target).cast("double") - to_column(tree, names, c.tolist(), library)).alias("r"))
+        cells = [(i, j) for i in range(k) for j in range(i, k)]
+        row = own.agg(*[F.avg(F.col(f"g{i}") * F.col(f"g{j}")).alias(f"a{i}_{j}") for i, j in cells], *[F.avg(F.col(f"g{i}") * F.col("r")).alias(f"b{i}") for i in range(k)]).first()
+        return np.array([[row[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float), np.array([row[f"b{i}"] for i in range(k)], float)
+
+    value, c = minimise(errors, products, start_of("".join(tree.to_list(library)), k, settings, seed), lo, hi, settings.max_iter, settings.tol * 1e-9)
     return float(np.sqrt(value)), c.tolist()
 
 

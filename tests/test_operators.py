@@ -90,11 +90,12 @@ def test_minimise_never_ends_above_its_start():
             return slope @ slope.T / 9, slope @ residuals(c) / 9  # noqa: B023
 
         start = rng.uniform(-1, 1, 3)
-        v, x = FIT.minimise(errors, products, start, -1, 1)
-        assert (np.abs(x) <= 1).all() and v <= errors(start[None])[0] and v == pytest.approx(errors(x[None])[0])
-        g, c = products(x)
-        move = FIT.box_least_squares(g + 1e-3 * np.diag(np.diag(g)), c, -1 - x, 1 - x)
-        assert errors((x + move)[None])[0] >= v - 1e-5
+        for iterations in (1, 100, 1000):  # curved valleys take more than the usual 100
+            v, x = FIT.minimise(errors, products, start, -1, 1, iterations)
+            assert (np.abs(x) <= 1).all() and v <= errors(start[None])[0] and v == pytest.approx(errors(x[None])[0])
+        pull = products(x)[1]
+        held = (np.abs(x) == 1) & (pull * x > 0)
+        assert np.abs(pull[~held]).max(initial=0.0) < 1e-3
 
 
 def test_distributions(spark):

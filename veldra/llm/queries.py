@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embeddings, idstore, minhash, mixing, quality, secrets, substrings, toxicity
+from . import bpe, changes, chat, embeddings, idstore, minhash, mixing, quality, secrets, substrings, toxicity
 
 QUERIES = {
     "op4_chat": chat.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op3_mixing": mixing.query,
     "op5_minhash": minhash.query,
     "op8_line_quality": quality.query,
+    "op11_changepoints": changes.query,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op7_embeddings": embeddings.ORACLE,
     "op5_minhash": minhash.ORACLE,
     "op8_line_quality": quality.ORACLE,
+    "op11_changepoints": changes.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, changes, chat, embeddings, idstore, minhash, mixing, quality, secrets, substrings, toxicity
+from . import bpe, centroids, changes, chat, classlm, embeddings, idstore, minhash, mixing, quality, secrets, substrings, toxicity
 
 QUERIES = {
     "op4_chat": chat.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op5_minhash": minhash.query,
     "op8_line_quality": quality.query,
     "op11_changepoints": changes.query,
+    "op12_classlm": classlm.query,
     "op13_centroids": centroids.query,
 }
 

@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, free, kept_last, partitions, session, texts
-from .shingles import split_words
+from .common import Workspace, free, kept_last, partitions, session
 
 #: Words at most that every task knows by heart, and bytes of such a word: the bound of what is broadcast.
 HEAD, LONGEST = 1 << 18, 64
 #: Classes beside that of the end of a text, and half rounds of exchange (each moves every other word).
 CLASSES, ROUNDS = 32, 6
 #: Words whose neighbours stand in one row, tokens whose pairs a task counts together, and entries it merges together.
-TOGETHER, CHUNK, MERGE = 64, 1 << 22, 1 << 22
+TOGETHER, CHUNK, MERGE = 64, 1 << 20, 1 << 21
 #: Steps of an octave in which frequencies are told apart when the known words are chosen.
 STEPS = 64
 SALT = 32
+#: Bytes of texts that are split into words at once (a longer text is read alone), and words that are counted at once.
+SLICE, COUNTED = 4_000_000, 3_000_000
 FOLD, HELD = 7, 2
 
 
@@ -44,18 +45,24 @@ def gains(n: np.ndarray, left: np.ndarray, right: np.ndarray, twice: np.ndarray,
     words, c = left.shape
     out = np.zeros((words, c))
     each = np.arange(words)
-    for side, other, rows in ((left, right, n), (right, left, n.T)):
+    for side, other, rows in ((left, right, n), (right, left, n.T.copy())):
+        told = xlogx(rows)
         at, k = np.nonzero(side)
-        for lo in range(0, len(at), 1 << 16):
-            i, j = at[lo : lo + (1 << 16)], k[lo : lo + (1 << 16)]
-            r, base = side[i, j], rows[j].copy()
+        for lo in range(0, len(at), 1 << 12):
+            i, j = at[lo : lo + (1 << 12)], k[lo : lo + (1 << 12)]
+            r, base, was = side[i, j], rows[j], told[j]
             if own is not None:
-                o = own[i]
-                base[np.arange(len(i)), o] -= r
+                o, here = own[i], np.arange(len(i))
                 same = np.flatnonzero(j == o)
+                base[here, o] -= r
                 base[same] -= other[i[same]]
                 base[same, o[same]] -= twice[i[same]]
-            gain = xlogx(base + r[:, None]) - xlogx(base)
+                was[here, o] = xlogx(base[here, o])
+                was[same] = xlogx(base[same])
+            base += r[:, None]
+            gain = np.log(np.maximum(base, 1))
+            gain *= base
+            gain -= was
             edge = np.flatnonzero(np.diff(i, prepend=-1))
             out[i[edge]] += np.add.reduceat(gain, edge) if len(edge) else 0
     base = np.broadcast_to(np.diag(n), (words, c)).copy()
@@ -70,22 +77,38 @@ def gains(n: np.ndarray, left: np.ndarray, right: np.ndarray, twice: np.ndarray,
     return out - xlogx(row + after[:, None]) + xlogx(row) - xlogx(col + before[:, None]) + xlogx(col)
 
 
-class Words(dict):
-    """The known words' numbers from 1 on; all others have the next number."""
+class Words:
+    """The known words: numbers from 1 on; all others have the next number, and the end of a text has 0."""
 
     def __init__(self, packed: bytes):
-        known = packed.split(b"\n") if packed else []
-        super().__init__(zip(known, range(1, len(known) + 1), strict=True))
-        self.rest = len(known) + 1
-
-    def __missing__(self, word: bytes) -> int:
-        return self.rest
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of a text's words between the end (0) of the text before and its own."""
-        out = np.zeros(len(words) + 2, np.int32)
-        out[1:-1] = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        return out
+        self.words = pa.array(packed.split(b"\n") if packed else [], pa.binary())
+        self.rest = len(self.words) + 1
+
+    def coded(self, column: pa.Array) -> Iterator[tuple[slice, pa.Array, np.ndarray, np.ndarray]]:
+        """Some texts at once: which, their words, the numbers of their words and ends, the places of the ends among them."""
+        for some, words, many in split(column):
+            found = pc.index_in(words, value_set=self.words).fill_null(self.rest - 1).to_numpy()
+            ends = np.cumsum(many + 1) - 1
+            ids = np.zeros(len(words) + len(many), np.int32)
+            ids[np.arange(len(words)) + np.repeat(np.arange(len(many)), many)] = found + 1
+            yield some, words, ids, ends
+
+
+def split(column: pa.Array) -> Iterator[tuple[slice, pa.Array, np.ndarray]]:
+    """Some texts at once: which, their words with A to Z in lower case, and how many each has."""
+    sizes = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy())
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + SLICE, side="right")))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(column[lo:hi].fill_null("")))
+        words = lists.flatten().cast(pa.binary())
+        many = pc.list_value_length(lists).to_numpy()
+        full = pc.greater(pc.binary_length(words), 0)
+        if not pc.all(full).as_py():  # white space around a text gives empty words
+            row = np.repeat(np.arange(len(many)), many)[full.to_numpy(zero_copy_only=False)]
+            words, many = words.filter(full), np.bincount(row, minlength=len(many))
+        yield slice(lo, hi), words, many
+        lo = hi
 
 
 def _known(packed: bytes) -> Words:
@@ -93,20 +116,23 @@ def _known(packed: bytes) -> Words:
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    held: list[pa.Array] = []
+    ends = many = 0
 
     def told() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-        seen.clear()
-        return out
+        counts = pa.chunked_array([*held, pa.array([], pa.binary())]).value_counts()
+        words, n = counts.field("values"), counts.field("counts")
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([b""], pa.binary())]), pa.concat_arrays([n, pa.array([ends], pa.int64())])], names=["word", "n"])
 
     for batch in batches:
-        for text in texts(batch.column(0)):
-            seen.update(split_words(text, lower=True))
-            seen[b""] += 1
-            if len(seen) > 500_000:
+        for some, words, _ in split(batch.column(0)):
+            held.append(words)
+            many, ends = many + len(words), ends + some.stop - some.start
+            if many >= COUNTED:
                 yield told()
-    yield told()
+                held, ends, many = [], 0, 0
+    if ends:
+        yield told()
 
 
 def merged(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,28 +153,29 @@ def _pairs(packed: bytes, buckets: int):
         held: list[np.ndarray] = []
         many = 0
 
-        def told() -> pa.RecordBatch:
-            ids = np.concatenate([np.zeros(1, np.int32), *(x[1:] for x in held)]).astype(np.int64)
-            pair, n = np.unique(ids[:-1] * (known.rest + 1) + ids[1:], return_counts=True)
-            a, b = np.divmod(pair, known.rest + 1)
-            word, partner, side = np.concatenate([b, a]), np.concatenate([a, b]), np.repeat([0, 1], len(a))
-            mine = np.flatnonzero(word < known.rest)
-            bucket, code = word[mine] % buckets, 2 * (word[mine] // buckets) + side[mine]
-            order = np.argsort((bucket * 256 + code) << 32 | partner[mine], kind="stable")
-            bucket, code, partner, n = bucket[order], code[order].astype(np.uint8), partner[mine][order].astype(np.int32), np.tile(n, 2)[mine][order].astype(np.uint32)
-            edge = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-            cuts = list(zip(edge, [*edge[1:], len(bucket)], strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int32()), *(pa.array([x[lo:hi].tobytes() for lo, hi in cuts], pa.binary()) for x in (code, partner, n))], names=["bucket", "code", "partner", "n"])
+        def told() -> Iterator[pa.RecordBatch]:
+            ids = np.concatenate([np.zeros(1, np.int32), *held])
+            pair, n = np.unique(ids[:-1].astype(np.int64) << 32 | ids[1:], return_counts=True)
+            a, b = (pair >> 32).astype(np.int32), pair.astype(np.int32)
+            for side, word, partner in ((0, b, a), (1, a, b)):
+                mine = np.flatnonzero(word < known.rest)
+                bucket, code = word[mine] % buckets, 2 * (word[mine] // buckets) + side
+                order = np.argsort(bucket.astype(np.int64) << 32 | code, kind="stable")
+                bucket, mine = bucket[order], mine[order]
+                edge = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+                cuts = list(zip(edge, [*edge[1:], len(bucket)], strict=True))
+                columns = (code[order].astype(np.uint8), partner[mine], n[mine].astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int32()), *(pa.array([x[lo:hi].tobytes() for lo, hi in cuts], pa.binary()) for x in columns)], names=["bucket", "code", "partner", "n"])
 
         for batch in batches:
-            for text in texts(batch.column(0)):
-                held.append(known.of(split_words(text, lower=True)))
-                many += len(held[-1])
+            for _, _, ids, _ in known.coded(batch.column(0)):
+                held.append(ids)
+                many += len(ids)
                 if many >= CHUNK:
-                    yield told()
+                    yield from told()
                     held, many = [], 0
         if held:
-            yield told()
+            yield from told()
 
     return run
 
@@ -272,23 +299,27 @@ def _rest(packed: bytes, classes: bytes, c: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, of = _known(packed), _classes_of(classes)
+        keys = ["text", "word", "before", "after", "other"]
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for h1, h2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
-                words = split_words(text, lower=True)
-                ids = known.of(words)
+            for some, words, ids, ends in known.coded(batch.column(2)):
                 at = np.flatnonzero(ids == known.rest)
-                if not len(at):
-                    continue
-                near = of[ids]
-                own = [words[i] for i in (at - 1).tolist()]
-                found = Counter(zip(own, near[at - 1].tolist(), near[at + 1].tolist(), [None] * len(own), strict=True))
-                found.update((words[i - 1], -1, -1, words[i]) for i in at[near[at + 1] == c - 1].tolist())
-                for (word, before, after, other), n in found.items():
-                    for column, x in zip(out, (h1, h2, word, before, after, other, n), strict=True):
-                        column.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["h1", "h2", "word", "before", "after", "other", "n"])
+                near = of[np.concatenate([[0], ids])].astype(np.int32)  # the class before a place stands at it
+                row = np.searchsorted(ends, at)
+                word = words.take(pa.array(at - row))
+                pair = np.flatnonzero(near[at + 2] == c - 1)
+                none = np.full(len(pair), -1, np.int32)
+                columns = [
+                    pa.array(np.concatenate([row, row[pair]])),
+                    pa.concat_arrays([word, word.take(pa.array(pair))]),
+                    pa.array(np.concatenate([near[at], none])),
+                    pa.array(np.concatenate([near[at + 2], none])),
+                    pa.concat_arrays([pa.nulls(len(at), pa.binary()), words.take(pa.array((at - row)[pair] + 1))]),
+                ]
+                got = pa.table(columns, names=keys).group_by(keys).aggregate([([], "count_all")]).combine_chunks()
+                own = pa.array(got["text"].to_numpy() + some.start)
+                made = [batch.column(k).take(own) for k in (0, 1)]
+                for table in pa.table([*made, *(got[k] for k in keys[1:]), got["count_all"]], names=["h1", "h2", *keys[1:], "n"]).to_batches(max_chunksize=50_000):
+                    yield table
 
     return run
 
@@ -339,20 +370,18 @@ def _told(packed: bytes, classes: bytes, counts: np.ndarray, moves: np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, of = _known(packed), _classes_of(classes)
-        plain = np.log10(counts + 1.0)
-        c = len(moves)
+        last = len(moves) - 1
+        step = np.where(np.arange(last + 1) == last, 0.0, np.where(np.arange(last + 1)[:, None] == last, 0.0, moves))
+        plain, seen = np.log10(counts + 1.0), counts > 0
         for batch in batches:
-            out = []
-            for text in texts(batch.column(batch.num_columns - 1)):
-                ids = known.of(split_words(text, lower=True))
+            out: list[list[np.ndarray]] = [[np.zeros(0)] for _ in range(4)]
+            for _, _, ids, ends in known.coded(batch.column(batch.num_columns - 1)):
                 near = of[ids]
-                said = ids[1:]
-                own = said[said != known.rest]
-                both = (near[1:] != c - 1) & (near[:-1] != c - 1)
-                steps = np.bincount(near[:-1][both].astype(np.int64) * c + near[1:][both], minlength=c * c)
-                got = np.flatnonzero(steps)
-                out.append((len(said), int((counts[own] > 0).sum()), float(plain[own].sum()), float(emits[own].sum() + steps[got] @ moves.ravel()[got])))
-            columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+                model = emits[ids] + step[np.concatenate([near[:0], np.zeros(1, np.uint8), near[:-1]]), near]
+                first = np.concatenate([[0], ends[:-1] + 1])
+                for column, x in zip(out, (np.diff(ends, prepend=-1), *(np.add.reduceat(x, first) for x in (seen[ids].astype(np.int64), plain[ids], model))), strict=True):
+                    column.append(x)
+            columns = [pa.array(np.concatenate(x).astype(t.to_pandas_dtype()), t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "tokens", "found", "plain", "model"])
 
     return run

@@ -88,6 +88,21 @@ CASES = [
     ("secret = 'xxxxxxxx'; token = '${TOKEN}'; passwd = 'your password here'", []),
     ("", []),
     ("= : := => += ' \" ` ] [ }", []),
+    ("passwords = os.getenv('PW', 'Zx9kQ72pLmVt')", []),
+    ("db_password = os.getenv('PW', 'Zx9kQ72pLmVt')", ["Zx9kQ72pLmVt"]),
+    ("token = conf.get('a8Fz90Qk', None)\nname = 'b7Gy81Rl'", []),
+    ("secret = env('KEY', fallback('q'), 'Zx9kQ72pLmVt'); user = 'plainUser1'", []),
+    ("env:\n  - name: DB_TOKEN\n    value: Zx9kQ72pLmVt\n  - name: USER\n    value: plainUser1\n", ["Zx9kQ72pLmVt"]),
+    ('[{"name": "API_PASSWORD", "value": "Zx9kQ72pLmVt"}, {"name": "COLOUR", "value": "a8Fz90Qk77"}]', ["Zx9kQ72pLmVt"]),
+    ("db:\n  credential: >-\n    Zx9kQ72pLmVt\n    b7Gy81Rl\n  user: plainUser1\n", ["Zx9kQ72pLmVt\n    b7Gy81Rl"]),
+    ("note: |\n  a8Fz90Qk77\npassphrase: |\n\n  correct 7 horse\nend: 1", ["correct 7 horse"]),
+    ("key = b64('Zx9kQ72pLmVt')\nmy_password = key", ["Zx9kQ72pLmVt"]),
+    ("key = digest('Zx9kQ72pLmVt')\nmy_password = key", []),
+    ("pw = 'Zx9kQ72pLm'; credential = f'{pw}-x'", ["Zx9kQ72pLm", "-x"]),
+    ("PW='Zx9kQ72pLm'\nexport TOKEN=\"$PW\"\n", ["Zx9kQ72pLm"]),
+    ("PW=Zx9kQ72pLm\nAPI_TOKEN=${PW}\n", ["Zx9kQ72pLm"]),
+    ("pw = 'Zx9kQ72pLm'; colour = f'{pw}-x'", []),
+    ("pw = 'Zx9kQ72pLm'; credential = '{pw}-none9'", ["{pw}-none9"]),
 ]
 
 
@@ -161,6 +176,66 @@ def test_time_is_linear():
     assert len(secrets.added(base, literal)) == 40_000 and time.perf_counter() - start < 1
 
 
+@pytest.mark.parametrize("sign", list("~-.=*_|>#/:+$%^&@!?<{[(,;\\") + ["..", "-.", "~=", "$a", "=> "])
+def test_a_run_of_one_sign_takes_time_in_proportion(sign):
+    for head in ("x = ", "password: ", "api_token = 'a8Fz90Qk' + ", ""):
+        start = time.perf_counter()
+        secrets.scan(head + sign * (60_000 // len(sign)))
+        assert time.perf_counter() - start < 3, head + sign
+
+
+@pytest.mark.parametrize("sign", "~-.=*|>")
+def test_rules_of_ten_million_signs(sign):
+    start = time.perf_counter()
+    assert secrets.lexed("db_passphrase = 'a8Fz90Qk'\nx = " + sign * 10_000_000) == [(17, 25)]
+    assert time.perf_counter() - start < 5
+
+
+def grown(rng):
+    """A random text of statements, and the spans that its secrets have, told as it is written: a slow second reading of the rules."""
+    text, spans, known = "", [], {}
+    word = lambda: "".join(rng.choice("abcdXYZ") for _ in range(6)) + "".join(rng.choice("0123456789") for _ in range(5)) + "!"
+    for _ in range(rng.randrange(1, 14)):
+        hot = rng.random() < 0.5
+        name = rng.choice(["db_password", "apiToken", "client_secret", "pwd"] if hot else ["colour", "user", "path", "title"]) + rng.choice("abc") * 0
+        w, kind = word(), rng.randrange(9)
+        if kind == 0:
+            line, own = f"{name} = '{w}'", [w]
+        elif kind == 1:
+            line, own = f'"{name}": "{w}",', [w]
+        elif kind == 2 and known:
+            k = rng.choice(sorted(known))
+            line, own = f"{name} = {k}", known[k]
+        elif kind == 3:
+            k = f"K{len(known)}"
+            known[k] = [w]
+            line, own, hot = f"{k} = '{w}'", [], False
+        elif kind == 4:
+            line, own = f"{name} = os.getenv('{rng.choice(['A', 'B'])}', '{w}')", [w]
+        elif kind == 5 and known:
+            k = rng.choice(sorted(known))
+            line, own = f"{name} = f'{{{k}}}'", known[k]
+        elif kind == 6:
+            line, own = f"- name: {name}\n  value: '{w}'", [w]
+        elif kind == 7:
+            line, own = f"{name}: >\n    {w}\nend: 1", [w]
+        else:
+            line, own, hot = f"# plain words about {w} here", [], False
+        text += line + "\n"
+        spans += own if hot else []
+    return text, sorted({(text.index(w), text.index(w) + len(w)) for w in spans})
+
+
+def test_spans_equal_those_of_grown_texts():
+    rng = random.Random(12)
+    found = 0
+    for _ in range(1500):
+        text, want = grown(rng)
+        assert secrets.lexed(text) == want, text
+        found += len(want)
+    assert found > 3000
+
+
 def test_long_text_is_scanned_whole():
     text = "plain words: here = there, " * 100_000 + "\ndb_passphrase = 'a8Fz90Qk'"
     assert [text[s:e] for s, e in secrets.lexed(text)] == ["a8Fz90Qk"]

@@ -7,13 +7,12 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import kept, texts
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -36,6 +35,7 @@ CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 LEXEME = re.compile(
     r"""(?P<gap>[^\S\n]+)|(?P<line>\n)|(?P<string>[rbufRBUF]{0,2}(?:\"{3}|'{3}|["'`]))|(?P<block>/\*|<!--)|(?P<end>\*/|-->)"""
     r"""|(?P<define>\#[^\S\n]*define[^\S\n]+[^\W\d]\w*[^\S\n]+|define\s*\(\s*["'][^\W\d]\w*["']\s*,)|(?P<note>//|\#|--(?=[^\S\n]))|(?P<element><[^\W\d][\w.\-]*>)"""
+    r"""|(?P<rule>~{16,}|\.{16,}|-{16,}|\*{16,}|={16,}|%{16,}|\^{16,}|&{16,}|@{16,}|!{16,}|\?{16,}|\|{16,}|\+{16,}|<{16,}|>{16,}|\${16,}|:{16,}|\\{16,})"""
     r"""|(?P<number>\d\w*)|(?P<name>[^\W\d][\w$]*(?:(?:\.|-|::|->|\?\.)[^\W\d][\w$]*)*)|(?P<other>[=!]==?|<=|>=|=>|:=|::|\+=|\.\.|\|\||\?\?|\\\n|.)""",
     re.DOTALL,
 )
@@ -46,7 +46,18 @@ KEY = re.compile(r"[^\W\d][\w.\- ]*")
 DEFINED = re.compile(r"define[\s(\"']*(\w+)")
 
 
-@lru_cache(10_000)
+#: A constant inside a string: ${name} and $name, or {name} in a string that is marked as a template.
+INSERTED = re.compile(r"\$\{[^\S\n]*(?P<braced>[^\W\d][\w.]*)[^\S\n]*\}|\$(?P<plain>[^\W\d]\w*)|\{[^\S\n]*(?P<field>[^\W\d][\w.]*)[^\S\n]*(?:![rsa])?(?::[^{}\n]*)?\}")
+VARIABLE = re.compile(r"\$(?:\{([^\W\d]\w*)\}|([^\W\d]\w*))")
+#: A sign that opens indented lines as a value, at the end of its line.
+BLOCK = re.compile(r"[+\-0-9]{0,3}[^\S\n]*(?:\n|\Z)")
+#: Last parts of calls that give a named setting, or what follows its name; and of calls that give their argument in another form.
+GETTERS = {"getenv", "get", "env", "config", "setting", "setdefault", "getOrDefault", "getOrElse", "getProperty", "fetch", "lookup", "get_or_default"}
+FORMS = {"b64", "base64", "b64decode", "b64encode", "decode", "encode", "bytes", "str", "String", "valueOf", "unhexlify", "fromhex", "fromHex", "from_hex", "fromBase64", "atob", "btoa", "strip", "trim", "quote", "SecretStr", "Secret", "Some"}
+#: Keys whose value names the setting that a later VALUE_KEYS key of the same list item or object holds.
+NAME_KEYS, VALUE_KEYS = {"name", "key"}, {"value"}
+
+
 def name_weight(name: str) -> float:
     """How far a target's name marks its value as a secret: by the last part of a dotted name."""
     parts: list[str] = []
@@ -70,18 +81,35 @@ class Value:
     text is long, whatever it would spell.
     """
 
-    __slots__ = ("kinds", "length", "letters", "parts", "span", "told")
+    __slots__ = ("kinds", "length", "letters", "parts", "span", "text", "told")
 
     def __init__(self, parts: list[Value], span: tuple[int, int] | None = None, text: str = ""):
-        self.parts, self.span, self.told = parts, span, False
+        self.parts, self.span, self.text, self.told = parts, span, text, False
+        self.length = -1  # not told yet
+
+    def summed(self) -> Value:
+        """Itself, with length, kinds and letters told for it and all that it is made of, each once."""
+        stack = [self]
+        while stack:
+            v = stack[-1]
+            if v.length < 0 and (open_ := [p for p in v.parts if p.length < 0]):
+                stack += open_
+                continue
+            stack.pop()
+            if v.length < 0:
+                v._sum()
+        return self
+
+    def _sum(self) -> None:
         self.length = self.kinds = self.letters = 0
-        if span and not PLACEHOLDER.match(text):
+        text = self.text
+        if self.span and not PLACEHOLDER.match(text):
             found = set(text)
             self.length = min(40, len(text.strip()))
-            self.kinds = any(c.islower() for c in found) | any(c.isupper() for c in found) << 1 | any(c.isdigit() for c in found) << 2 | any(not c.isalnum() for c in found) << 3
+            self.kinds = (text != text.upper()) | (text != text.lower()) << 1 | any(map(str.isdigit, found)) << 2 | (not text.isalnum()) << 3
             for c in found:
                 self.letters |= 1 << ord(c) % 64
-        for p in parts:
+        for p in self.parts:
             self.length = min(40, self.length + p.length)
             self.kinds |= p.kinds
             self.letters |= p.letters
@@ -91,7 +119,7 @@ class Value:
 
         White space stands in quoted literals only, and doesn't speak against a passphrase.
         """
-        return 0.0 if self.length < 6 else min(1.0, 0.25 * self.kinds.bit_count() + 0.1 * math.log2(self.letters.bit_count()) + 0.01 * self.length)
+        return 0.0 if self.summed().length < 6 else min(1.0, 0.25 * self.kinds.bit_count() + 0.1 * math.log2(self.letters.bit_count()) + 0.01 * self.length)
 
 
 def literal_weight(value: str) -> float:
@@ -109,15 +137,27 @@ class Lexer:
         self.text, self.known, self.found = text, {}, []
         self.dead: dict[str, int] = {}
         self.before: list[tuple[str, str]] = []  # the last lexemes of the statement
-        self.comment = ""
+        self.comment = self.label = ""
+        self.quoted = (-1, -1)  # the last string
+        self.bare = self.solid = self.spoken = -1  # end of the last bare run, and its last characters that aren't punctuation or are letters
+        self.weights: dict[str, float] = kept(("weights of names",), dict)
         self.stop()
 
+    def weight(self, name: str) -> float:
+        """name_weight(), kept in this worker for a bounded number of names."""
+        if name not in self.weights:
+            if len(self.weights) >= 10_000:
+                self.weights.clear()
+            self.weights[name] = name_weight(name)
+        return self.weights[name]
+
     def stop(self) -> None:
         """No value is being read."""
         self.targets: list[tuple[str, bool]] = []
         self.parts: list[Value] = []
         self.wanted = self.typed = self.choice = False
-        self.depth = 0
+        self.depth = self.getter = 0
+        self.taken = ""  # the last name that was taken as a part
 
     def finish(self) -> None:
         """The value that was being read is whole."""
@@ -127,7 +167,7 @@ class Lexer:
             for name, variable in self.targets:
                 if variable and not self.comment:
                     self.known[name] = value
-                if name_weight(name) * value.weight() >= LEAST:
+                if (weight := self.weight(name)) >= LEAST and weight * value.weight() >= LEAST:
                     self.tell(value)
         self.stop()
 
@@ -177,10 +217,17 @@ class Lexer:
             self.wanted = True
             return
         new = self.target()
+        if self.parts and self.parts[-1].span == self.quoted and self.before[-1:] and self.before[-1][0] == "string":  # the last string is a key, not a part of the value before it
+            self.parts.pop()
+        if self.parts and self.taken and self.before[-1:] == [("name", self.taken)]:  # nor is a name on a line behind a comma
+            self.parts.pop()
         if op != "=" or self.parts or not self.targets:  # else a chain, or name: type = value
             self.finish()
         if new:
             self.targets.append(new)
+            if new[0].lower() in VALUE_KEYS and self.label:
+                self.targets.append((self.label, False))
+                self.label = ""
         if self.targets:
             self.wanted, self.typed = True, op == ":"
             if op == "+=" and new and new[0] in self.known:
@@ -195,27 +242,93 @@ class Lexer:
             if not self.typed and not (kind == "name" and word in ("if", "and", "not")):
                 self.finish()
             return end
-        m = BARE.match(self.text, start)
-        run = m[0] if m else word
-        if run != word and run[len(word) :].strip(".:=+-|?") == "" or not m:
-            run = word
-        if kind == "name" and run == word:
-            if self.text[end : end + 1] == "(":  # what a call gives isn't known, nor are its arguments the value
-                self.finish()
-                return end
+        if word == "$" and (m := VARIABLE.match(self.text, start)) and (value := self.known.get(m[1] or m[2])) is not None:
+            self.parts.append(value)
+            self.wanted = False
+            return m.end()
+        run = self.run_end(start, end)
+        if self.solid < end:
+            run = end
+        if kind == "name" and run == end:
+            if self.text[end : end + 1] == "(":
+                return self.call(word, end)
+            if self.targets[-1][0].lower() in NAME_KEYS and not self.parts:
+                self.label = word
             if (value := self.known.get(word)) is not None:
                 self.parts.append(value)
-                self.wanted = False
+                self.wanted, self.taken = False, word
                 return end
             if not any(c.isdigit() for c in word):
                 self.wanted = False
                 return end
-        if kind == "name" or any(c.isalnum() for c in run):
-            self.parts.append(Value([], (start, start + len(run)), run))
-            self.wanted = False
-            return start + len(run)
+        if kind == "name" or (self.spoken >= start if run > end else any(c.isalnum() for c in word)):
+            self.parts.append(Value([], (start, run), self.text[start:run]))
+            self.wanted, self.taken = False, word if kind == "name" and run == end else ""
+            return run
         return end
 
+    def run_end(self, start: int, end: int) -> int:
+        """End of the bare run from a place on, end at least. A run is read once, however many of its places are asked for."""
+        if start >= self.bare:
+            m = BARE.match(self.text, start)
+            self.bare = m.end() if m else end
+            self.solid = self.spoken = -1
+            for at in range(self.bare - 1, start - 1, -1):
+                if self.solid < 0 and self.text[at] not in ".:=+-|?":
+                    self.solid = at
+                if self.text[at].isalnum():
+                    self.spoken = at
+                    break
+        return max(end, self.bare)
+
+    def call(self, word: str, end: int) -> int:
+        """A call where a value may stand. What it gives isn't known, nor are its arguments the value, but for a getter's default behind the
+        name of what it gets, and for calls that give their argument in another form."""
+        name = re.split(r"\.|::|->", word)[-1]
+        if name in FORMS:
+            self.depth += 1
+            return end + 1
+        if name in GETTERS and not self.getter:
+            self.depth += 1
+            self.getter, self.wanted = self.depth, False
+            return end + 1
+        self.finish()
+        return end
+
+    def block(self, start: int, end: int) -> int:
+        """The indented lines under the line of a place, as a value: its end, or -1 where there are none."""
+        line = self.text.rfind("\n", 0, start) + 1
+        depth = len(self.text[line:start]) - len(self.text[line:start].lstrip())
+        first, last, at = -1, -1, self.text.find("\n", end) + 1
+        while 0 < at < len(self.text):
+            stop = self.text.find("\n", at)
+            stop = len(self.text) if stop < 0 else stop
+            said = self.text[at:stop]
+            if said.strip():
+                if len(said) - len(said.lstrip()) <= depth:
+                    break
+                first = at + len(said) - len(said.lstrip()) if first < 0 else first
+                last = at + len(said.rstrip())
+            at = stop + 1
+        if first < 0:
+            return -1
+        self.parts.append(Value([], (first, last), self.text[first:last]))
+        self.finish()
+        return last
+
+    def spelt(self, lo: int, hi: int, template: bool) -> list[Value]:
+        """Values of a string between two places: itself, or the constants that are put into it and what stands between."""
+        found = [m for m in INSERTED.finditer(self.text, lo, hi) if (m["braced"] or m["plain"] or template and m["field"]) and (m["braced"] or m["plain"] or m["field"]) in self.known]
+        if not found:
+            return [Value([], (lo, hi), self.text[lo:hi])]
+        out, at = [], lo
+        for m in found:
+            if m.start() > at:
+                out.append(Value([], (at, m.start()), self.text[at : m.start()]))
+            out.append(self.known[m["braced"] or m["plain"] or m["field"]])
+            at = m.end()
+        return [*out, Value([], (at, hi), self.text[at:hi])] if at < hi else out
+
     def other(self, word: str, start: int, end: int) -> int:
         if word in ("=", ":", ":=", "=>", "+="):
             if word == ":" and self.text[end : end + 2] == "//":  # an address
@@ -232,9 +345,18 @@ class Lexer:
         elif word == "(" or word == "[" and (self.wanted or self.typed):
             self.depth += 1
         elif word in ")]" and self.depth:
+            if self.getter == self.depth:
+                self.getter = 0
+                if not self.parts:  # without a default what it gives isn't known
+                    self.finish()
+                    return end
             self.depth -= 1
+        elif word == "," and self.getter:
+            self.wanted = self.depth == self.getter
         elif word == "," and (self.depth or self.typed):
             self.wanted = self.wanted or bool(self.parts)
+        elif word in "|>" and self.wanted and self.typed and not self.parts and BLOCK.match(self.text, end) and (stop := self.block(start, end)) > 0:
+            return stop
         elif word in ",;{})]":
             self.finish()
         elif self.wanted and word not in "\\&*|<>":
@@ -247,7 +369,7 @@ class Lexer:
         while at < size:
             m = match(text, at)
             kind, word, start, at = m.lastgroup, m[0], at, m.end()
-            if kind == "gap":
+            if kind in ("gap", "rule"):  # a long run of one sign is a line between things
                 continue
             if kind == "line":
                 if self.comment == "line":
@@ -272,8 +394,15 @@ class Lexer:
                         continue
                 else:
                     value = text[at : end - len(mark)]
+                    self.quoted = (at, end - len(mark))
                     if self.targets and (self.wanted or self.parts and self.before[-1:] and self.before[-1][0] == "string"):
-                        self.parts.append(Value([], (at, end - len(mark)), value))
+                        template = "f" in word[: -len(mark)].lower()
+                        if "$" in value and mark != "'" or template:
+                            self.parts += self.spelt(at, end - len(mark), template)
+                        else:
+                            self.parts.append(Value([], (at, end - len(mark)), value))
+                        if self.targets[-1][0].lower() in NAME_KEYS and len(self.parts) == 1 and len(value) <= 400:
+                            self.label = value
                         self.wanted = False
                     self.before = [*self.before[-3:], ("string", value if len(value) <= 400 else "")]
                     at = end
@@ -384,8 +513,9 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Base kinds: assign, access, hex. Kind literal: the text is lexed (strings, comments, names, operators) for name-literal pairs:
     name = "literal", name: literal, JSON, YAML, INI and := forms, chains, annotated targets, keys in brackets, elements, macros, joined
-    and alternative literals. Names bound to literals outside comments are constants and carry them to later assignments; a literal that
-    reaches a name with a sensitive part and looks like a secret is a span where it is written.
+    and alternative literals, defaults of getters, arguments of calls that only change a value's form, indented blocks, and pairs of a key "name" and a
+    key "value". Names bound to literals outside comments are constants and carry them to later assignments, also from inside
+    strings that name them; a literal that reaches a name with a sensitive part and looks like a secret is a span where it is written.
 
     Nulls: a null text is empty (no spans); a null id is carried. Repeated rows each get a result; an empty table an empty one.
     Ties: spans are ordered by start, then kind. Very long texts are scanned whole, in time in proportion to their length.

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions.simplify import simplify
 from ..functions.symbols import SymbolLibrary
-from ..functions.tree import as_tree, constants as count_constants
+from ..functions.tree import Node, as_tree, constants as count_constants
 from ..plans.compile import evaluate as run_expression
+from ..plans.gradient import NoDerivative, Tape
 from .fit import MOST_SENT, Settings, fit_distributed, fit_many, refused
+from .quasi_newton import fit_together
 from .score import latin_hypercube, score_many, wasserstein_arrays
 
 MODEL = "expr_key string, tokens array<string>, error double, parameters array<double>"
@@ -195,20 +197,31 @@ class Evaluator:
             return {}
         return {r["expr_key"]: (r["error"], []) for r in score_many(self.data, free, self.columns, self.target, self.library).collect()}
 
+    def _fit_distributed(self, todo: list[tuple[str, list[str]]]) -> dict[str, tuple[float, list[float]]]:
+        """The candidates with constants, fitted in step over data that stay distributed; those without a known derivative one by one."""
+        out: dict[str, tuple[float, list[float]]] = {}
+        together: dict[str, Node] = {}
+        for key, tokens in todo:
+            try:
+                tree = as_tree(tokens, self.library)
+                if count_constants(tree, self.library):
+                    Tape(tree, self.columns, self.library)
+                    together[key] = tree
+                elif refused(tree, 0, self.settings, self.library):
+                    out[key] = (float("nan"), [])
+            except NoDerivative:
+                out[key] = fit_distributed(self.data, tokens, self.columns, self.target, self.settings, self.seed, self.library)
+            except (ValueError, IndexError):
+                out[key] = (float("nan"), [])
+        found = fit_together(self.data, list(together.values()), self.columns, self.target, self.settings, self.seed, self.library)
+        return out | dict(zip(together, found, strict=True))
+
     def _score(self, todo: list[tuple[str, list[str]]]) -> dict[str, tuple[float, list[float]]]:
         if self.ranking == "bed":
             return self._gaps(todo)
         rows = self._rows()
         if rows is None:
-            out = self._score_free(todo)
-            for key, tokens in todo:
-                if key in out:
-                    continue
-                try:
-                    out[key] = fit_distributed(self.data, tokens, self.columns, self.target, self.settings, self.seed, self.library)
-                except (ValueError, IndexError):
-                    out[key] = (float("nan"), [])
-            return out
+            return self._score_free(todo) | self._fit_distributed(todo)
         spark = self.data.sparkSession
         frame = spark.createDataFrame(todo, "expr_key string, tokens array<string>").repartition(min(len(todo), spark.sparkContext.defaultParallelism))
         return {r["expr_key"]: (r["error"], list(r["parameters"])) for r in fit_many(frame, *rows, self.settings, self.seed, self.library).collect()}

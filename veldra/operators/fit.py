@@ -224,10 +224,14 @@ def fit_rows(expr: Node | list[str], rows: np.ndarray, target: np.ndarray, setti
 
 
 def fit_distributed(df: DataFrame, expr: Node | list[str], columns: Sequence[str] | dict, target: str, settings: Settings = Settings(), seed: int | None = None, library: SymbolLibrary | None = None) -> tuple[float, list[float]]:
-    """(rmse, constants) over data of any size: a step is one pass for the products of derivatives and one that scores its points together.
+    """(rmse, constants) over data of any size, from the starts and in the box of fit_rows.
 
-    Same rules, starts, solvers and tolerances as fit_rows.
+    A step is one pass for the error, its exact gradient and the products of derivatives. An expression with a symbol whose derivative isn't known takes
+    differences instead: a pass for their products and one that scores a step's points together.
     """
+    from ..plans.gradient import NoDerivative
+    from .quasi_newton import fit_together
+
     library = SymbolLibrary.or_default(library)
     tree = as_tree(expr, library)
     k = count_constants(tree, library)
@@ -237,6 +241,10 @@ def fit_distributed(df: DataFrame, expr: Node | list[str], columns: Sequence[str
         return float(rmse(df, tree, columns, target, (), library).first()["rmse"]), []
     if linear_parts(tree, library):
         return fit_linear(df, tree, columns, target, settings, library)
+    try:
+        return fit_together(df, [tree], columns, target, settings, seed, library)[0]
+    except NoDerivative:
+        pass
 
     def errors(points: np.ndarray) -> np.ndarray:
         got = {r["expr_key"]: r["error"] for r in score_many(df, [(str(i), tree, p.tolist()) for i, p in enumerate(points)], columns, target, library).collect()}

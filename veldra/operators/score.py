@@ -7,12 +7,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.symbols import SymbolLibrary
 from ..functions.tree import Node, as_tree, constants as count_constants, key_of
-from ..plans.compile import bindings, hoisted, to_column, to_program
+from ..plans.compile import bindings, hoisted, to_column
+from ..plans.shared import Graph
+from ..sources.folders import written
 
 #: Candidates that one pass over the data scores together.
 BATCH = 2000
@@ -66,22 +68,19 @@ def score_constants(df: DataFrame, expr: Node | list[str], columns: Sequence[str
     return out if out is not None else df.sparkSession.createDataFrame([], "sample_id long, error double")
 
 
-def _partial_errors(programs: list, n_columns: int):
-    """For each candidate the sum of squared differences over a partition; rows are taken batch by batch."""
+def _partial_errors(keys: list[str], graph: Graph, n_columns: int):
+    """For each candidate the sum of squared differences over a partition; rows are taken batch by batch, shared parts computed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, n = np.zeros(len(programs)), 0
+        sums, n = np.zeros(len(keys)), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             m = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in range(n_columns + 1)])
             n += len(m)
-            for k, (_, program, c) in enumerate(programs):
-                with np.errstate(all="ignore"):
-                    d = program.run(m[:, :-1], c) - m[:, -1]
-                    sums[k] += d @ d
+            sums += graph.squared_errors(m[:, :-1], m[:, -1])
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in programs]), pa.array(sums), pa.array([n] * len(programs), pa.int64())], names=["expr_key", "sum_sq", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums), pa.array([n] * len(keys), pa.int64())], names=["expr_key", "sum_sq", "n"])
 
     return run
 
@@ -89,8 +88,8 @@ def _partial_errors(programs: list, n_columns: int):
 def score_many(df: DataFrame, candidates: list[tuple[str, Node | list[str], Sequence[float]]], columns: Sequence[str] | dict, target: str, library: SymbolLibrary | None = None) -> DataFrame:
     """Many candidates of any shape, (key, expression, constants): (expr_key, error).
 
-    The data stay where they are: every partition runs all programs of a batch over its rows and gives one partial sum for
-    each, and sums of these are the result. Candidates, not data, are sent out.
+    The data stay where they are: every partition runs a batch of candidates, as one graph in which equal parts are one node, over its rows
+    and gives one partial sum for each, and sums of these are the result. Candidates, not data, are sent out.
     """
     library = SymbolLibrary.or_default(library)
     names = bindings(library, columns)
@@ -98,8 +97,9 @@ def score_many(df: DataFrame, candidates: list[tuple[str, Node | list[str], Sequ
     data = df.select(*[F.col(f"`{c}`").cast("double") for c in used], F.col(f"`{target}`").cast("double").alias("_y"))
     out = None
     for k in range(0, len(candidates), BATCH):
-        programs = [(key, to_program(e, library), list(c)) for key, e, c in candidates[k : k + BATCH]]
-        got = data.mapInArrow(_partial_errors(programs, len(used)), "expr_key string, sum_sq double, n long").groupBy("expr_key").agg(F.sqrt(F.sum("sum_sq") / F.sum("n")).alias("error"))
+        part = candidates[k : k + BATCH]
+        graph = Graph([(e, c) for _, e, c in part], library)
+        got = data.mapInArrow(_partial_errors([key for key, _, _ in part], graph, len(used)), "expr_key string, sum_sq double, n long").groupBy("expr_key").agg(F.sqrt(F.sum("sum_sq") / F.sum("n")).alias("error"))
         out = got if out is None else out.union(got)
     return out if out is not None else df.sparkSession.createDataFrame([], "expr_key string, error double")
 
@@ -130,6 +130,36 @@ def wasserstein_arrays(u: np.ndarray, v: np.ndarray) -> float:
     return float(np.sum(np.abs(gap) * np.diff(at)))
 
 
+def wasserstein_columns(df: DataFrame, a: Column | str, b: Column | str) -> DataFrame:
+    """One row, w1: the first Wasserstein distance of two whole columns, the area between their distribution functions.
+
+    Equal values are counted first. The distinct ones are dealt to ranges and written; a range's totals tell where its part of both
+    functions begins, so that each range is summed by itself. The driver holds a row for each range. Counts are whole
+    numbers up to the last division. Nulls, NaN and infinite values are left out; w1 is NULL if a column has no value left.
+    """
+    as_column = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
+    values = F.explode(F.array(F.struct(as_column(a).alias("x"), F.lit(1).alias("u"), F.lit(0).alias("v")), F.struct(as_column(b).alias("x"), F.lit(0).alias("u"), F.lit(1).alias("v"))))
+    each = df.select(values.alias("e")).select("e.*").where(F.abs("x") < F.lit(math.inf))
+    spark = df.sparkSession
+    each = each.select((F.col("x") + 0.0).alias("x"), "u", "v").groupBy("x").agg(F.sum("u").alias("u"), F.sum("v").alias("v"))  # -0.0 is 0.0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(each.repartitionByRange(parts, "x").withColumn("part", F.spark_partition_id()), "w1")
+    ranges = sorted(map(tuple, dealt.groupBy("part").agg(F.sum("u"), F.sum("v"), F.min("x")).collect()))
+    n_u, n_v = sum(r[1] for r in ranges), sum(r[2] for r in ranges)
+    if not n_u or not n_v:
+        return spark.range(1).select(F.lit(None).cast("double").alias("w1"))
+    starts, u, v = [], 0, 0
+    for k, (part, du, dv, _) in enumerate(ranges):
+        starts.append((part, u, v, ranges[k + 1][3] if k + 1 < len(ranges) else None))
+        u, v = u + du, v + dv
+    of = F.broadcast(spark.createDataFrame(starts, "part int, u0 long, v0 long, next double"))  # a row for each range
+    w = Window.partitionBy("part").orderBy("x")
+    exact = lambda c, n: F.col(c).cast("decimal(19,0)") * F.lit(n).cast("decimal(19,0)")
+    steps = dealt.join(of, "part").select("x", F.coalesce(F.lead("x").over(w), "next").alias("to"), (F.sum("u").over(w) + F.col("u0")).alias("u"), (F.sum("v").over(w) + F.col("v0")).alias("v"))
+    gap = F.abs(exact("u", n_v) - exact("v", n_u)).cast("double")
+    return steps.agg((F.coalesce(F.sum(gap * (F.col("to") - F.col("x"))), F.lit(0.0)) / (float(n_u) * float(n_v))).alias("w1"))
+
+
 def latin_hypercube(n: int, bounds: Sequence[tuple[float, float]], seed: int | None = None, spread: bool = False) -> np.ndarray:
     """n points, one in each of n equal slices of every dimension. spread: the best of several draws by centred discrepancy."""
     rng = np.random.default_rng(seed)

@@ -7,7 +7,6 @@ different orders.
 from __future__ import annotations
 
 import json
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +22,9 @@ from .operators import grid as GRID
 from .operators import results as R
 from .operators import score as S
 from .operators.evaluator import Evaluator, results_frame
+from .operators.quasi_newton import fit_lbfgs as quasi_newton, fit_together
 from .plans.compile import hoisted, to_column, to_sql
+from .plans.gradient import Tape, mean_squares
 from .sources import catalogue, sample_source, samplers
 
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -190,14 +191,62 @@ def fit_linear_two_constants(spark, sf):
 
 @query()
 def fit_nonlinear(spark, sf):
-    """Constants inside functions, fitted over the whole table: the data stay distributed, candidates run side by side."""
+    """Constants inside functions, fitted over the whole table: the data stay distributed, candidates take their steps in the same passes."""
     df = lineitem(spark, sf).select(*COLUMNS, to_column("2 * X_0 + 3 * ( X_2 + 0.5 ) ^2".split(), COLUMNS, (), LIB).alias("y"))
     todo = ["C * X_0 + C * ( X_2 + C ) ^2", "C * X_0", "sin ( C * X_0 )", "exp ( C * X_2 ) + C"]
-    with ThreadPoolExecutor(len(todo)) as pool:
-        found = list(pool.map(lambda e: FIT.fit_distributed(df, e.split(), COLUMNS, "y", FIT.Settings(), 1, LIB), todo))
+    found = fit_together(df, [e.split() for e in todo], COLUMNS, "y", FIT.Settings(), 1, LIB)
     return spark.createDataFrame([(e.replace(" ", ""), error, len(c)) for e, (error, c) in zip(todo, found, strict=True)], "expr_key string, error double, constants int")
 
 
+SLOPED, AT = "C * X_0 + C * ( X_2 + C ) ^2 + sin ( C * X_3 ) / ( X_0 + C )", (0.5, 2.0, 1.5, 3.0, 0.25)
+#: Value and derivatives of SLOPED by its constants at AT, by hand.
+BY_HAND = ["0.5 * x0 + 2 * pow(x2 + 1.5, 2) + sin(3 * x3) / (x0 + 0.25)", "x0", "pow(x2 + 1.5, 2)", "4 * (x2 + 1.5)", "cos(3 * x3) * x3 / (x0 + 0.25)", "-sin(3 * x3) / pow(x0 + 0.25, 2)"]
+
+
+@query("SELECT round(avg(pow(v - y, 2)), 3) AS mean_square, " + ", ".join(f"round(avg(2 * (v - y) * d{k}), 3) AS slope{k}" for k in range(5)) + " FROM (SELECT y, " + ", ".join(f"{e} AS {n}" for e, n in zip(BY_HAND, ["v", *(f"d{k}" for k in range(5))])) + f" FROM (SELECT l_quantity::DOUBLE AS x0, l_discount::DOUBLE AS x2, l_tax::DOUBLE AS x3, l_extendedprice / 1000 AS y FROM lineitem))")
+def fit_gradient(spark, sf):
+    """The mean square and its exact gradient at given constants, by one aggregate."""
+    df = lineitem(spark, sf).select(*COLUMNS, (F.col("l_extendedprice") / 1000).alias("y"))
+    f, g, _ = mean_squares(df, [Tape(SLOPED.split(), COLUMNS, LIB)], "y", [AT])[0]
+    return spark.createDataFrame([(round(f, 3), *(round(float(x), 3) for x in g))], "mean_square double, " + ", ".join(f"slope{k} double" for k in range(5)))
+
+
+def bisected(y: str) -> str:
+    """Where the slope of the mean square of exp(c * l_discount) is zero in the box, or the bound that it points to, by halving."""
+    m = "((lo + hi) / 2)"
+    return f"""(WITH RECURSIVE d AS (SELECT l_discount::DOUBLE AS x, {y} AS y FROM lineitem), b(k, lo, hi) AS (SELECT 0, -5.0::DOUBLE, 5.0::DOUBLE UNION ALL
+  SELECT k + 1, CASE WHEN s < 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN s < 0 THEN hi ELSE (lo + hi) / 2 END
+  FROM (SELECT k, lo, hi, sum((exp({m} * x) - y) * x * exp({m} * x)) AS s FROM b, d WHERE k < 45 GROUP BY k, lo, hi))
+  SELECT round(sqrt(avg(pow(exp(lo * x) - y, 2))), 6) AS rmse, round(any_value(lo), 4) AS c FROM b, d WHERE k = 45)"""
+
+
+CURVES = {"inside": ("exp ( 0.7 * X_2 ) + X_3", "exp(0.7 * l_discount) + l_tax"), "at the bound": ("exp ( 7 * X_2 )", "exp(7 * l_discount)")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS curve, rmse, c FROM {bisected(y)}" for k, (_, y) in CURVES.items()))
+def fit_lbfgs(spark, sf):
+    """A constant inside a function by limited-memory BFGS, inside the box and at its bound; SQL halves the box instead."""
+    out = []
+    for k, (e, _) in CURVES.items():
+        df = lineitem(spark, sf).select(*COLUMNS, to_column(e.split(), COLUMNS, (), LIB).alias("y"))
+        error, c = quasi_newton(df, "exp ( C * X_2 )".split(), COLUMNS, "y", FIT.Settings(), 1, LIB)
+        out.append((k, round(error, 6), round(c[0], 4)))
+    return spark.createDataFrame(out, "curve string, rmse double, c double")
+
+
+#: Candidates that share most of their parts: every outer form of every product of two inner ones.
+INNER = ["X_0", "X_1", "( 1 - X_2 )", "( 1 + X_3 )", "sqrt ( X_1 )", "ln ( X_0 )", "( X_2 + X_3 ) ^2"]
+OUTER = ["{}", "{} + X_0", "{} - X_1", "u- {}", "{} * ( 1 - X_2 )", "2 * {}"]
+FAMILY = {f"{i}-{j}-{k}": o.format(f"( {a} * {b} )") for i, a in enumerate(INNER) for j, b in enumerate(INNER) for k, o in enumerate(OUTER)}
+
+
+@query("SELECT r.k AS expr_key, round(r.e, 3) AS error FROM (SELECT unnest([" + ", ".join(f"{{'k': '{k}', 'e': sqrt(avg(pow({to_sql(e.split(), COLUMNS, (), LIB)} - y, 2)))}}" for k, e in FAMILY.items()) + f"]) AS r FROM {Y})")
+def rmse_shared_parts(spark, sf):
+    """Hundreds of candidates as one graph: parts that several of them have are computed once for a row."""
+    out = S.score_many(with_target(spark, sf), [(k, e.split(), []) for k, e in FAMILY.items()], COLUMNS, "y", LIB)
+    return out.withColumn("error", F.round("error", 3))
+
+
 # results: events are the evaluations, user_id the experiment
 
 
@@ -327,6 +376,24 @@ def wasserstein_unequal(spark, sf):
     return vectors(spark, sf).select("vec_id", F.round(S.wasserstein(F.slice("e", 1, 40), F.slice("e", 41, 24)), 6).alias("w1"))
 
 
+PAIRS = {"tax and discount": ("l_tax", "l_discount"), "price and quantity": ("l_extendedprice / 1000", "l_quantity"), "repeats": ("l_linenumber", "l_quantity")}
+
+
+def area_sql(a: str, b: str) -> str:
+    return f"""(WITH n AS (SELECT count({a}) AS u, count({b}) AS v FROM lineitem), x AS (SELECT ({a})::DOUBLE AS x, 1.0::DOUBLE / u AS d FROM lineitem, n UNION ALL SELECT ({b})::DOUBLE, -1.0::DOUBLE / v FROM lineitem, n),
+  g AS (SELECT x, sum(d) AS d FROM x GROUP BY x), s AS (SELECT abs(sum(d) OVER (ORDER BY x)) AS gap, lead(x) OVER (ORDER BY x) - x AS wide FROM g) SELECT round(sum(gap * wide), 6) AS w1 FROM s)"""
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS pair, w1 FROM {area_sql(a, b)}" for k, (a, b) in PAIRS.items()))
+def wasserstein_columns(spark, sf):
+    """The distance of whole columns: ranges of values are summed by themselves, from where the ranges before end."""
+    out = None
+    for k, (a, b) in PAIRS.items():
+        one = S.wasserstein_columns(lineitem(spark, sf), F.expr(a), F.expr(b)).select(F.lit(k).alias("pair"), F.round("w1", 6).alias("w1"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 POINTS = "(SELECT l_orderkey * 10 + l_linenumber AS point_id, * FROM lineitem)"
 SAMPLES = [[-2.0], [0.5], [1.5], [3.0]]
 BEHAVES = "X_2 * C + sin ( X_0 )".split()

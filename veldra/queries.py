@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -419,117 +420,131 @@ def bed_pair(spark, sf):
     return S.behaviour_distance_of(points(spark, sf), BEHAVES, OTHER, COLUMNS, SAMPLES, None, LIB).select(F.round("bed", 6).alias("bed"))
 
 
-@query("SELECT 'mismatch' AS which, 'inf' AS bed UNION ALL SELECT 'both', '0.0' UNION ALL SELECT 'infinite', 'inf' UNION ALL SELECT 'partial', '0.583333'")
+GUARDED = {"mismatch": ("ln ( X_2 )", "X_2"), "same": ("X_2 * C", "X_2 * C"), "infinite": ("X_0 / ( X_1 * C )", "X_0"), "nowhere": ("ln ( u- X_1 ) * C", "sqrt ( u- X_1 )")}
+
+
+@query("""SELECT 'mismatch' AS which, CASE WHEN bool_or(l_discount = 0) THEN 'inf' END AS bed FROM lineitem UNION ALL SELECT 'same', round(avg(abs(l_discount - l_discount)), 6)::VARCHAR FROM lineitem
+UNION ALL SELECT 'infinite', CASE WHEN bool_and(l_quantity > 0 AND l_extendedprice > 0) THEN 'inf' END FROM lineitem UNION ALL SELECT 'nowhere', CASE WHEN bool_and(l_extendedprice > 0) THEN '0.0' END FROM lineitem""")
 def bed_nonfinite_guard(spark, sf):
-    """Behaviours with NaN and infinities against known answers."""
-    nan, inf = float("nan"), float("inf")
-    cases = {"mismatch": ([[1.0, 2.0], [inf, inf]], [[1.0, 2.0], [1.0, 2.0]]), "both": ([[nan, nan], [inf, inf]], [[nan, nan], [nan, inf]]), "infinite": ([[1.0, inf, 3.0]], [[1.0, 2.0, 3.0]]), "partial": ([[1.0, nan, 3.0, 2.0]], [[1.5, 2.5, 3.5, 2.5]])}
+    """Behaviours with NaN and infinities: finite on one side only, equal, infinite beside finite, finite nowhere."""
     out = None
-    for name, (a, b) in cases.items():
-        x, y = (spark.createDataFrame([(k, v) for k, v in enumerate(m)], "point_id long, values array<double>") for m in (a, b))
-        one = S.behaviour_distance(x, y).select(F.lit(name).alias("which"), F.round("bed", 6).cast("string").alias("bed"))
+    for name, (a, b) in GUARDED.items():
+        one = S.behaviour_distance_of(points(spark, sf), a.split(), b.split(), COLUMNS, [[0.0], [1.0]], None, LIB)
+        one = one.select(F.lit(name).alias("which"), F.round("bed", 6).cast("string").alias("bed"))
         out = one if out is None else out.union(one)
     return out.withColumn("bed", F.when(F.col("bed") == "Infinity", "inf").otherwise(F.col("bed")))
 
 
 # expressions as data
 
-EXPRESSIONS = ["X_0 + 1", "X_0 - 1", "X_0 + X_1 * X_2", "( X_0 + X_1 ) ^2", "sin ( X_0 ) * C", "C + C * X_0", "X_0 * ( X_0 * X_0 )", "exp ( u- X_0 ) / ( 1 + X_1 )", "sqrt ( X_0 ^2 + X_1 ^2 )", "X_0 ^ X_1 ^ X_2"]
+def formulas(spark, sf) -> DataFrame:
+    """An expression for each part, of four forms, with the part's size as a number."""
+    form = F.pmod("p_partkey", F.lit(4))
+    size = F.col("p_size").cast("string")
+    text = F.when(form == 0, F.concat(F.lit("X_0 + "), size)).when(form == 1, F.concat(size, F.lit(" * X_1"))).when(form == 2, F.concat(F.lit("sin ( X_0 * "), size, F.lit(" )"))).otherwise(F.concat(F.lit("( X_0 + "), size, F.lit(" ) ^2")))
+    return table(spark, sf, "part").select("p_partkey", "p_size", F.split(text, " ").alias("tokens"))
 
 
-def values(rows: list[tuple], names: str) -> str:
-    quote = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(quote(v) for v in r) + ")" for r in rows) + f") AS t({names})"
+def on_tokens(f, kind: str):
+    """A function of one expression's tokens as a column function, a batch at a time."""
 
+    @F.pandas_udf(kind)
+    def run(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda t: f(list(t)))
 
-def postfix(e: str) -> list[str]:
-    return parse(e.split(), LIB).to_list(LIB, "postfix")
+    return run
 
 
-_CODES = {t: chr(65 + k) for k, t in enumerate(sorted({t for e in EXPRESSIONS for t in postfix(e)}))}
+KINDS = ("click", "error", "purchase", "signup", "view")
 
 
-@query("WITH e AS (" + values([(k, "".join(_CODES[t] for t in postfix(e))) for k, e in enumerate(EXPRESSIONS)], "i, s") + ") SELECT a.i::INTEGER AS a, b.i::INTEGER AS b, levenshtein(a.s, b.s)::INTEGER AS distance FROM e a, e b WHERE a.i < b.i")
+@query(f"""WITH d AS (SELECT user_id, ts::DATE AS day, string_agg(CASE event_type {' '.join(f"WHEN '{k}' THEN '{chr(97 + i)}'" for i, k in enumerate(KINDS))} END, '' ORDER BY event_id) AS s FROM events GROUP BY ALL)
+SELECT a.user_id, a.day::VARCHAR AS day, levenshtein(a.s, b.s)::INTEGER AS distance FROM d a JOIN d b ON a.user_id = b.user_id AND b.day = a.day + 1""")
 def token_edit_distance(spark, sf):
-    """All pairs of ten expressions, by a built-in function over token arrays."""
-    e = spark.createDataFrame([(k, postfix(x)) for k, x in enumerate(EXPRESSIONS)], "i int, t array<string>")
-    a, b = e.select(F.col("i").alias("a"), F.col("t").alias("u")), e.select(F.col("i").alias("b"), F.col("t").alias("v"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", token_distance_column(F.col("u"), F.col("v"), sorted(_CODES)).alias("distance"))
+    """Edits between what a user does on a day and on the next, by a built-in function over token arrays."""
+    each = table(spark, sf, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).getField("event_type").alias("u"))
+    after = each.select("user_id", F.date_sub("day", 1).alias("day"), F.col("u").alias("v"))
+    return each.join(after, ["user_id", "day"]).select("user_id", F.col("day").cast("string").alias("day"), token_distance_column(F.col("u"), F.col("v"), list(KINDS)).alias("distance"))
 
 
-@query(values([(0, 1, 1), (0, 0, 0), (4, 5, 5), (2, 3, 3)], "a, b, distance"))
+@query("SELECT a.p_partkey, ((a.p_size % 2 <> b.p_size % 2)::INTEGER + (a.p_size <> b.p_size)::INTEGER)::INTEGER AS distance FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
 def tree_edit_distance(spark, sf):
-    """Pairs with distances that are known by hand."""
-    rows = [(a, b, EXPRESSIONS[a].split(), EXPRESSIONS[b].split()) for a, b in ((0, 1), (0, 0), (4, 5), (2, 3))]
-    return spark.createDataFrame(rows, "a int, b int, u array<string>, v array<string>").select("a", "b", tree_distance_udf(LIB)("u", "v").alias("distance"))
-
+    """A sum or product of each part's size and that of the next part: an operator and a leaf may differ."""
+    tokens = F.array(F.lit("X_0"), F.when(F.col("p_size") % 2 == 0, "+").otherwise("*"), F.col("p_size").cast("string"))
+    each = table(spark, sf, "part").select("p_partkey", tokens.alias("u"))
+    after = each.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("u").alias("v"))
+    return each.join(after, "p_partkey").select("p_partkey", tree_distance_udf(LIB)("u", "v").alias("distance"))
 
-LATEX = [("C + C * X_0", r"$C_{0} + C_{1} \cdot X_{0}$"), ("1 + X_1 * X_0", r"$1 + X_{1} \cdot X_{0}$"), ("sin ( X_0 )", r"$\sin X_{0}$"), ("( X_0 + 1 ) * X_1", r"$(X_{0} + 1) \cdot X_{1}$"), ("X_0 / X_1", r"$\frac{X_{0}}{X_{1}}$")]
 
-
-@query(values(LATEX, "expr, latex"))
+@query(r"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '$X_{0} + ' || p_size || '$' WHEN 1 THEN '$' || p_size || ' \cdot X_{1}$' WHEN 2 THEN '$\sin (X_{0} \cdot ' || p_size || ')$' ELSE '$(X_{0} + ' || p_size || ')^2$' END AS latex FROM part")
 def latex_render(spark, sf):
-    render = F.udf(lambda t: latex(t.split(), LIB), "string", useArrow=True)
-    return spark.createDataFrame([(e,) for e, _ in LATEX], "expr string").select("expr", render("expr").alias("latex"))
-
+    return formulas(spark, sf).select("p_partkey", on_tokens(lambda t: latex(t, LIB), "string")("tokens").alias("latex"))
 
-SIMPLE = [("C + C * C + X_0 * X_1 / X_0", "C+X_1"), ("X_0 * X_1 / X_0", "X_1"), ("C + C", "C"), ("X_0 * 1", "X_0"), ("X_0 + X_0", "2*X_0"), ("X_0 - X_0", "0")]
 
-
-@query(values(SIMPLE, "expr, simple"))
+@query("SELECT p_partkey, (p_size + 1) || '*X_0' AS simple FROM part")
 def simplify_tokens(spark, sf):
-    f = F.udf(lambda e: "".join(simplify(e.split(), LIB)), "string", useArrow=True)
-    return spark.createDataFrame([(e,) for e, _ in SIMPLE], "expr string").select("expr", f("expr").alias("simple"))
+    """Like terms of each part's formula are gathered."""
+    size = F.col("p_size").cast("string")
+    tokens = F.split(F.concat(F.lit("X_0 * X_1 / X_1 + "), size, F.lit(" * X_0")), " ")
+    return table(spark, sf, "part").select("p_partkey", on_tokens(lambda t: "".join(simplify(t, LIB)), "string")(tokens).alias("simple"))
 
 
-@query(f"SELECT count(*) AS n, count(*) AS same FROM (SELECT unnest(range({len(EXPRESSIONS)})))")
+@query("SELECT count(*) AS n, count(*) AS same FROM part")
 def parse_roundtrip(spark, sf):
-    """Expressions that read back from what they print as: all of them."""
-    f = F.udf(lambda e: parse(parse(e.split(), LIB).to_list(LIB), LIB) == parse(e.split(), LIB), "boolean", useArrow=True)
-    return spark.createDataFrame([(e,) for e in EXPRESSIONS], "expr string").agg(F.count("*").alias("n"), F.sum(f("expr").cast("long")).alias("same"))
+    """Formulas that read back from what they print as: all of them."""
+    same = on_tokens(lambda t: parse(parse(t, LIB).to_list(LIB), LIB) == parse(t, LIB), "boolean")
+    return formulas(spark, sf).agg(F.count("*").alias("n"), F.sum(same("tokens").cast("long")).alias("same"))
 
 
 # grammars
 
 
-@query(values([("E", "E '+' T", 0.4), ("E", "T", 0.6), ("T", "'X_0'", 0.25), ("T", "'X_1'", 0.75)], "lhs, rhs, chance").replace("0.4)", "0.4::DOUBLE)").replace("0.6)", "0.6::DOUBLE)"))
+@query("SELECT 'S' AS lhs, chr(39) || event_type || chr(39) AS rhs, round(count(*) / sum(count(*)) OVER (), 12) AS chance FROM events GROUP BY event_type")
 def pcfg_normalised_weights(spark, sf):
+    """A grammar whose weights are how often each kind of event comes."""
     from pyspark.sql import Window as W
 
-    g = G.Grammar.read("E -> E '+' T [2] | T [3]\nT -> 'X_0' [1] | 'X_1' [3]")
-    shown = F.array_join(F.transform("rhs", lambda s: F.when(s.isin("E", "T"), s).otherwise(F.concat(F.lit("'"), s, F.lit("'")))), " ")
-    return g.frame(spark).select("lhs", shown.alias("rhs"), (F.col("weight") / F.sum("weight").over(W.partitionBy("lhs"))).alias("chance"))
+    counts = table(spark, sf, "events").groupBy("event_type").count().collect()  # a row for each kind
+    g = G.Grammar.read("S -> " + " | ".join(f"'{r['event_type']}' [{r['count']}]" for r in counts))
+    shown = F.array_join(F.transform("rhs", lambda s: F.concat(F.lit("'"), s, F.lit("'"))), " ")
+    return g.frame(spark).select("lhs", shown.alias("rhs"), F.round(F.col("weight") / F.sum("weight").over(W.partitionBy("lhs")), 12).alias("chance"))
+
+
+def part_keys(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("sample_id"))
 
 
 @query()
 def grammar_sample(spark, sf):
-    """A thousand expressions from the library's own grammar, made in parallel."""
-    return G.generate(spark, LIB, 1000, 7).select("sample_id", "expr_key", F.size("tokens").alias("length"))
+    """An expression from the library's own grammar for each part, made in parallel."""
+    return G.generate(spark, LIB, part_keys(spark, sf), 7).select("sample_id", "expr_key", F.size("tokens").alias("length"))
 
 
 @query()
 def grammar_distinct(spark, sf):
-    return G.generate_distinct(spark, LIB, 200, 7).select("expr_key", F.size("tokens").alias("length"))
+    """As many different expressions as there are suppliers."""
+    return G.generate_distinct(spark, LIB, table(spark, sf, "supplier").count(), 7).select("expr_key", F.size("tokens").alias("length"))
 
 
-@query()
+@query("SELECT count(*) AS n, true AS within FROM part")
 def grammar_constraint_check(spark, sf):
-    """Constrained samples: none is too deep, too large, has too many sines or nests them."""
+    """Constrained samples, one for each part: none is too deep, too large, has too many sines or nests them."""
     g = G.Grammar.of_library(SymbolLibrary.of(["+", "*", "sin", "cos", "C"], 2), None)
     for c in (MaxDepth(12), MaxNodes(60), MaxOccurrences("sin", 2), NoNested(["sin", "cos"])):
         g.constrain(c)
     sines = lambda t: F.size(F.filter(t, lambda x: x == "sin"))
-    return G.generate(spark, g, 500, 3).agg(F.count("*").alias("n"), F.max(sines(F.col("tokens"))).alias("most_sines"))
+    nested = F.col("text").rlike(r"(sin|cos) \( [^()]*(sin|cos)")
+    return G.generate(spark, g, part_keys(spark, sf), 3).withColumn("text", F.array_join("tokens", " ")).agg(F.count("*").alias("n"), F.bool_and((sines(F.col("tokens")) <= 2) & ~nested).alias("within"))
 
 
 # sources
 
 
-@query("SELECT " + ", ".join(f"true AS {c}_inside, 100000::BIGINT AS {c}_n" for c in ("uniform", "log_uniform", "integer_uniform")))
+@query("SELECT " + ", ".join(f"true AS {c}_inside, count(*) AS {c}_n" for c in ("uniform", "log_uniform", "integer_uniform")) + " FROM lineitem")
 def sampler_ranges(spark, sf):
     """Whether all drawn values lie inside their sampler's bounds, and reach near both ends."""
     kinds = {"uniform": samplers.uniform(1, 5), "log_uniform": samplers.log_uniform(0.1, 10, True, False), "integer_uniform": samplers.integer_uniform(1, 10, False, True)}
-    df = samplers.sample(spark, list(kinds.values()), 100_000, 5, list(kinds))
+    df = samplers.sample(spark, list(kinds.values()), lineitem(spark, sf).count(), 5, list(kinds))
     ends = {"uniform": (-5, -4.99, 4.99, 5), "log_uniform": (0.1, 0.11, 9.9, 10), "integer_uniform": (-9, -9, -1, -1)}
 
     def inside(k):
@@ -539,31 +554,53 @@ def sampler_ranges(spark, sf):
     return df.agg(*[x for k in kinds for x in (inside(k).alias(f"{k}_inside"), F.count(k).alias(f"{k}_n"))])
 
 
-@query()
+@query("SELECT count(*) AS n, true AS inside FROM lineitem")
 def sample_source_read(spark, sf):
-    return sample_source.read(spark, [samplers.uniform(0, 1, True, False), samplers.log_uniform(1, 100)], 20_000, 3).agg(F.count("*").alias("n"), F.min("x0").alias("lo"), F.max("x0").alias("hi"))
+    """As many drawn rows as there are line items, from the Python data source."""
+    found = sample_source.read(spark, [samplers.uniform(0, 1, True, False), samplers.log_uniform(1, 100)], lineitem(spark, sf).count(), 3)
+    return found.agg(F.count("*").alias("n"), F.bool_and(F.col("x0").between(0, 1) & F.abs("x1").between(1, 100)).alias("inside"))
 
 
-@query(values([(b, n, m) for b, n, m in (("Nguyen", 10, 2), ("Feynman", 100, 15), ("SRSD", 120, 37))], "benchmark, datasets, two_variables"))
+#: Equations of the catalogue with up to two variables, which are bound to two columns.
+BOUND, AIM = ["l_discount", "l_tax"], "l_quantity"
+TOLD = {b.name: [d for d in b if d.num_variables <= 2] for b in catalogue.catalogue().values()}
+
+
+def equation_sql(d) -> str:
+    return f"sqrt(avg(pow({to_sql(d.tokens, BOUND, (), d.library)} - {AIM}, 2)))"
+
+
+def scored(spark, sf, datasets) -> DataFrame:
+    return S.score_many(lineitem(spark, sf), [(d.name, d.tokens, []) for d in datasets], BOUND, AIM, SymbolLibrary.default(2))
+
+
+@query(" UNION ALL ".join(f"SELECT '{b}' AS benchmark, count(*)::INTEGER AS datasets, count(*) FILTER (isfinite(e))::INTEGER AS finite, round(min(e) FILTER (isfinite(e)), 6) AS least FROM (SELECT unnest([{', '.join(map(equation_sql, found))}]) AS e FROM lineitem)" for b, found in TOLD.items()))
 def catalog_counts(spark, sf):
+    """Each benchmark's equations of up to two variables over two columns: how many, how many give finite errors, the least error."""
     out = None
-    for b in catalogue.catalogue().values():
-        one = b.frame(spark).groupBy("benchmark").agg(F.count("*").cast("int").alias("datasets"), F.sum((F.col("num_variables") == 2).cast("int")).cast("int").alias("two_variables"))
+    finite = F.abs("error") < F.lit(float("inf"))
+    for b, found in TOLD.items():
+        one = scored(spark, sf, found).agg(F.lit(b).alias("benchmark"), F.count("*").cast("int").alias("datasets"), F.sum(finite.cast("int")).cast("int").alias("finite"), F.round(F.min(F.when(finite, F.col("error"))), 6).alias("least"))
         out = one if out is None else out.union(one)
     return out
 
 
-@query(values([(k, n) for k, n in enumerate(("NG-10", "NG-9"))], "place, name"))
+@query("SELECT row_number() OVER (ORDER BY error, name)::INTEGER AS place, name FROM (" + " UNION ALL ".join(f"SELECT '{d.name}' AS name, round({equation_sql(d)}, 6) AS error FROM lineitem" for d in TOLD["Nguyen"] if d.num_variables == 1) + ")")
 def catalog_filter_sort(spark, sf):
-    """Datasets of one arity in the order of (variables, name)."""
+    """Equations of one variable in the order of their error over a column."""
+    from pyspark.sql import Window as W
+
     b = catalogue.catalogue()["Nguyen"]
-    return spark.createDataFrame(list(enumerate(b.list(2))), "place int, name string")
+    found = scored(spark, sf, [b.datasets[n] for n in b.list(1)]).withColumn("error", F.round("error", 6))
+    return found.select(F.row_number().over(W.orderBy("error", "expr_key")).alias("place"), F.col("expr_key").alias("name"))  # a row for each equation
 
 
-@query("SELECT 'NG-' || n AS name, 0.0::DOUBLE AS error FROM (SELECT unnest(range(1, 11)) AS n)")
+@query(" UNION ALL ".join(f"SELECT '{d.name}' AS name, round(avg({to_sql(d.tokens, BOUND, (), d.library)}), 9) AS mean, count(*) AS n FROM lineitem" for d in TOLD["Nguyen"]))
 def catalog_ground_truth(spark, sf):
-    """Every equation of a benchmark scores zero on its own rows, as many as a dataset has."""
-    return catalogue.ground_truth_errors(spark, catalogue.catalogue()["Nguyen"], catalogue.ROWS).select("name", "error")
+    """What every equation of a benchmark gives over two columns, on average."""
+    found = TOLD["Nguyen"]
+    values_ = [F.struct(F.lit(d.name).alias("name"), F.round(F.avg(to_column(d.tokens, BOUND, (), d.library)), 9).alias("mean"), F.count("*").alias("n")) for d in found]
+    return lineitem(spark, sf).agg(F.array(*values_).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
 # evaluation as a whole
@@ -579,13 +616,20 @@ def evaluator_batch(spark, sf):
     return spark.createDataFrame(rows, "expr_key string, error double")
 
 
+def searched(spark, sf, most: int):
+    """A dataset of two columns of lineitem and what they make."""
+    d = catalogue.Dataset("lineitem", num_variables=2, max_evaluations=most)
+    df = lineitem(spark, sf).select(F.col("l_discount").alias("x0"), F.col("l_tax").alias("x1"), ((1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("y"))
+    d.load = lambda *_, **__: df
+    return d
+
+
 @query()
 def search_sampling(spark, sf):
     """A search by grammar sampling with a budget."""
     from .operators.search import GrammarSampling, run
 
-    d = catalogue.catalogue()["Nguyen"].datasets["NG-8"]
-    d.max_evaluations = 60
+    d = searched(spark, sf, 60)
     r = run(d, spark, GrammarSampling(batch=30), 1, 5, max_iter=20)[0]
     return results_frame(spark, [r])
 
@@ -595,8 +639,7 @@ def search_evolution(spark, sf):
     """Evolution of trees with a budget."""
     from .operators.search import Evolution, run
 
-    d = catalogue.catalogue()["Nguyen"].datasets["NG-8"]
-    d.max_evaluations = 60
+    d = searched(spark, sf, 60)
     r = run(d, spark, Evolution(population=20, generations=3), 1, 5, max_iter=10)[0]
     return results_frame(spark, [r])
 
@@ -606,15 +649,15 @@ def search_latent(spark, sf):
     """Evolution of vectors that the grammar decodes."""
     from .operators.search import LatentEvolution, run
 
-    d = catalogue.catalogue()["Nguyen"].datasets["NG-8"]
-    d.max_evaluations = 40
+    d = searched(spark, sf, 40)
     r = run(d, spark, LatentEvolution(population=20, generations=2, samples=60), 1, 5, max_iter=10)[0]
     return results_frame(spark, [r])
 
 
 @query()
 def grammar_statistics(spark, sf):
-    return G.statistics(spark, LIB, 500, 3)
+    """Single tries, one for each part."""
+    return G.statistics(spark, LIB, part_keys(spark, sf), 3)
 
 
 @query()
@@ -624,10 +667,11 @@ def behaviour_sampled_constants(spark, sf):
     return S.behaviour_distance_of(lineitem(spark, sf).select(*COLUMNS), BEHAVES, OTHER, COLUMNS, c, None, LIB)
 
 
-@query(values([("X_0", "var", 1000), ("+", "op", 100), ("*", "op", 200), ("^", "op", 300), ("sin", "fn", 1000), ("^2", "fn", -1000), ("pi", "lit", 1000), ("C", "const", 1000)], "symbol, type, precedence"))
+@query("SELECT type, sum(n)::BIGINT AS n FROM (SELECT unnest([{'type': 'var', 'n': count(*)}, {'type': 'op', 'n': count(*)}, {'type': 'fn', 'n': count(*) FILTER (p_partkey % 4 >= 2)}], recursive := true) FROM part) GROUP BY type")
 def symbol_table(spark, sf):
-    """Symbols by type and precedence, as a table."""
-    return LIB.frame(spark).where(F.col("symbol").isin("X_0", "+", "*", "^", "sin", "^2", "pi", "C")).select("symbol", "type", "precedence")
+    """How often each type of symbol comes in the parts' formulas: their tokens joined with the library's table."""
+    tokens = formulas(spark, sf).select(F.explode("tokens").alias("symbol"))
+    return tokens.join(F.broadcast(LIB.frame(spark)), "symbol").groupBy("type").agg(F.count("*").alias("n"))  # a row for each symbol of the library
 
 
 @query(RUNNING)

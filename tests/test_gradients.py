@@ -68,10 +68,10 @@ def test_many_tapes_share_a_pass_and_unknown_symbols_are_told(rows, spark):
 
 def alone(steps, f):
     """A minimiser driven by plain functions."""
-    at = next(steps)
+    kind, at = next(steps)
     try:
         while True:
-            at = steps.send(f(at))
+            kind, at = steps.send(f(at) if kind == "slopes" else [f(x)[0] for x in at])
     except StopIteration as end:
         return end.value
 

@@ -6,11 +6,13 @@ from collections.abc import Generator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.symbols import SymbolLibrary
 from ..functions.tree import Node, as_tree, constants as count_constants, key_of
+from ..plans.compile import bindings, to_column
 from ..plans.gradient import Tape, mean_squares
-from .fit import FLAT, Settings, box_least_squares, refused, start_of
+from .fit import DAMPING, FLAT, Settings, box_least_squares, refused, start_of
 from .score import score_columns
 
 #: Steps that the curvature is told from, and expressions whose gradients are columns of one plan.
@@ -21,8 +23,9 @@ ARMIJO, SHORTER = 1e-4, 20
 #: A mean square from which on a fit is exact.
 EXACT = 1e-18
 
-#: Yields points; is sent (value, gradient, products of derivatives) there; returns the best (value, point).
-Steps = Generator[np.ndarray, tuple[float, np.ndarray, np.ndarray], tuple[float, np.ndarray]]
+#: Yields ("slopes", point), and is sent (value, gradient, products of derivatives) there, or ("values", points), and is sent their values;
+#: returns the best (value, point).
+Steps = Generator[tuple[str, np.ndarray], object, tuple[float, np.ndarray]]
 
 
 def two_loops(gradient: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -48,7 +51,7 @@ def lbfgs(start: np.ndarray, lo: float, hi: float, max_iter: int = 100, gtol: fl
     projected slope or the relative gain is small. A start without finite value is its own end.
     """
     x = np.clip(np.asarray(start, float), lo, hi)
-    f, g, _ = yield x
+    f, g, _ = yield "slopes", x
     if not (np.isfinite(f) and np.isfinite(g).all()):
         return f, x
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
@@ -69,7 +72,7 @@ def lbfgs(start: np.ndarray, lo: float, hi: float, max_iter: int = 100, gtol: fl
             moved = to - x
             if not moved.any():
                 break
-            f2, g2, _ = yield to
+            f2, g2, _ = yield "slopes", to
             if np.isfinite(f2) and np.isfinite(g2).all() and f2 <= f + ARMIJO * (g @ moved):
                 break
             bend = f2 - f - g @ moved
@@ -88,36 +91,28 @@ def lbfgs(start: np.ndarray, lo: float, hi: float, max_iter: int = 100, gtol: fl
 
 
 def squares(start: np.ndarray, lo: float, hi: float, max_iter: int = 100) -> Steps:
-    """Minimises a mean square in a box by Gauss-Newton steps, damped only after one that doesn't gain; a step is a pass.
-
-    Ends where a step gains less than a part of FLAT, or none is short enough to gain.
-    """
+    """Minimises a mean square in a box as fit.minimise() does: a round of slopes, then one of the values of steps of several damping weights."""
     x = np.clip(np.asarray(start, float), lo, hi)
-    f, g, gram = yield x
-    weight = 0.0
     for _ in range(max_iter):
+        f, g, gram = yield "slopes", x
         if not (np.isfinite(f) and np.isfinite(g).all() and np.isfinite(gram).all()) or f <= EXACT:
-            break
+            return f, x
         scale = np.maximum(np.diag(gram), 1e-12 * max(1e-300, np.diag(gram).max()))
-        while True:
-            to = np.clip(x + box_least_squares(gram + weight * np.diag(scale), -g / 2, lo - x, hi - x), lo, hi)
-            if (to == x).all() or weight > 1e8:
-                return f, x
-            f2, g2, gram2 = yield to
-            if np.isfinite(f2) and f2 < f:
-                break
-            weight = max(1e-4, 10 * weight)
-        gain, x, f, g, gram = f - f2, to, f2, g2, gram2
-        weight = weight / 10 if weight > 1e-4 else 0.0
-        if gain <= FLAT * f:
-            break
+        points = np.array([np.clip(x + box_least_squares(gram + w * np.diag(scale), -g / 2, lo - x, hi - x), lo, hi) for w in DAMPING])
+        values = np.array((yield "values", points), float)
+        best = int(np.argmin(np.where(np.isfinite(values), values, np.inf)))
+        if not values[best] < f:
+            return f, x
+        gain, x, f = f - values[best], points[best], float(values[best])
+        if gain <= FLAT * f or f <= EXACT:
+            return f, x
     return f, x
 
 
 def fit_together(df: DataFrame, candidates: Sequence[Node | list[str]], columns: Sequence[str] | dict, target: str, settings: Settings = Settings(), seed: int | None = None, library: SymbolLibrary | None = None, method: str = "squares") -> list[tuple[float, list[float]]]:
     """(rmse, constants) of each expression, fitted in step: a round is one pass over the data for all expressions that still move.
 
-    method is "squares" (Gauss-Newton, which needs fewer passes) or "lbfgs" (whose passes have a number less for each pair of constants).
+    method is "squares" (damped Gauss-Newton steps, for which values of several steps are one pass) or "lbfgs" (values and gradients alone).
     A pass is an aggregate of the mean squares and their exact gradients, so its result has a row of numbers whatever the size of the data;
     SIDE_BY_SIDE expressions share a plan. Starts depend on the seed and the expression alone. Refused expressions are (NaN, []); those without
     constants are scored by one aggregate. Without rows, and where the start has no finite value, the error is NaN or infinite.
@@ -130,7 +125,7 @@ def fit_together(df: DataFrame, candidates: Sequence[Node | list[str]], columns:
     out: list[tuple[float, list[float]]] = [(float("nan"), [])] * len(trees)
     plain: dict[str, Node] = {}
     runs: dict[int, Steps] = {}
-    points: dict[int, np.ndarray] = {}
+    asked: dict[int, tuple[str, np.ndarray]] = {}
     tapes: dict[int, Tape] = {}
     for k, tree in enumerate(trees):
         n = count_constants(tree, library)
@@ -141,21 +136,28 @@ def fit_together(df: DataFrame, candidates: Sequence[Node | list[str]], columns:
             continue
         tapes[k] = Tape(tree, columns, library, f"_t{k}_")
         runs[k] = (squares if method == "squares" else lbfgs)(start_of(key_of(tree, library), n, settings, seed), lo, hi, settings.max_iter)
-        points[k] = next(runs[k])
+        asked[k] = next(runs[k])
     if plain:
         for r in score_columns(df, plain, columns, target, library).collect():
             out[int(r["expr_key"])] = (float("nan") if r["error"] is None else float(r["error"]), [])
-    while points:
-        moving = sorted(points)
+    names, y = bindings(library, columns), F.col(f"`{target}`").cast("double")
+    while asked:
+        moving = sorted(asked)
         for some in [moving[k : k + SIDE_BY_SIDE] for k in range(0, len(moving), SIDE_BY_SIDE)]:
-            told = mean_squares(df, [tapes[k] for k in some], target, [points[k].tolist() for k in some], method == "squares")
-            for k, found in zip(some, told, strict=True):
+            sloped = [k for k in some if asked[k][0] == "slopes"]
+            valued = [k for k in some if asked[k][0] == "values"]
+            also = [to_column(trees[k], names, p.tolist(), library) - y for k in valued for p in asked[k][1]]
+            told = mean_squares(df, [tapes[k] for k in sloped], target, [asked[k][1].tolist() for k in sloped], method == "squares", also)
+            answers = dict(zip(sloped, told, strict=False))
+            rest = iter(told[len(sloped) :])
+            answers |= {k: [next(rest) for _ in asked[k][1]] for k in valued}
+            for k, answer in answers.items():
                 try:
-                    points[k] = runs[k].send(found)
+                    asked[k] = runs[k].send(answer)
                 except StopIteration as end:
                     f, x = end.value
                     out[k] = (float(np.sqrt(f)) if f >= 0 else float("nan"), x.tolist())
-                    del points[k]
+                    del asked[k]
     return out
 
 

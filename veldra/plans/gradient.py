@@ -148,10 +148,11 @@ def with_gradients(df: DataFrame, tapes: Sequence[Tape], target: str, constants:
     return df
 
 
-def mean_squares(df: DataFrame, tapes: Sequence[Tape], target: str, points: Sequence[Sequence[float]], products: bool = False) -> list[tuple[float, np.ndarray, np.ndarray]]:
+def mean_squares(df: DataFrame, tapes: Sequence[Tape], target: str, points: Sequence[Sequence[float]], products: bool = False, also: Sequence[Column] = ()) -> list:
     """(mean square of what is left, its gradient, mean products of the value's derivatives) of each tape at its point, by one pass over df.
 
-    The products are left out, as an empty matrix, unless asked for. NaN without rows.
+    The products are left out, as an empty matrix, unless asked for. Values less target in also give their mean squares behind these, in the
+    same pass. NaN without rows.
     """
     full = with_gradients(df, tapes, target, [[F.lit(float(x)) for x in p] for p in points])
     told = {}
@@ -161,6 +162,7 @@ def mean_squares(df: DataFrame, tapes: Sequence[Tape], target: str, points: Sequ
         told |= {f"g{k}_{i}": F.avg(F.col(t.rest) * x) for i, x in enumerate(g)}
         if products:
             told |= {f"p{k}_{i}_{j}": F.avg(g[i] * g[j]) for i in range(len(g)) for j in range(i, len(g))}
+    told |= {f"a{k}": F.avg(c * c) for k, c in enumerate(also)}
     row = full.agg(*[c.alias(n) for n, c in told.items()]).first()
     value = lambda n: float("nan") if row[n] is None else float(row[n])
     out = []
@@ -168,4 +170,4 @@ def mean_squares(df: DataFrame, tapes: Sequence[Tape], target: str, points: Sequ
         n = t.constants
         gram = np.array([[value(f"p{k}_{min(i, j)}_{max(i, j)}") for j in range(n)] for i in range(n)]).reshape(n, n) if products else np.zeros((0, 0))
         out.append((value(f"f{k}"), 2 * np.array([value(f"g{k}_{i}") for i in range(n)]), gram))
-    return out
+    return out + [value(f"a{k}") for k in range(len(also))]

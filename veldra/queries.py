@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import grammar as G
 from .functions.constraints import MaxDepth, MaxNodes, MaxOccurrences, NoNested
+from .functions.egraph import distinct_forms
 from .functions.distance import token_distance_column, tree_distance_udf
 from .functions.simplify import simplify
 from .functions.symbols import SymbolLibrary
@@ -489,6 +490,21 @@ def simplify_tokens(spark, sf):
     return table(spark, sf, "part").select("p_partkey", on_tokens(lambda t: "".join(simplify(t, LIB)), "string")(tokens).alias("simple"))
 
 
+#: Forms of two columns, several of which are equal.
+TWO = ("{0} + {1}", "{1} + {0} * 1", "{0} * {1} + {0}", "{0} * ( 1 + {1} )", "{0} - ( u- {1} )", "( {0} * 2 ) * ( {1} * 0.5 )")
+PAIRED = {f"{i}{j}{k}": form.format(f"X_{i}", f"X_{j}") for i in range(4) for j in range(4) for k, form in enumerate(TWO)}
+
+
+@query("SELECT error, count(*) AS candidates FROM (SELECT unnest([" + ", ".join(f"round(sqrt(avg(pow({to_sql(e.split(), COLUMNS, (), LIB)} - y, 2))), 4)" for e in PAIRED.values()) + f"]) AS error FROM {Y}) GROUP BY error")
+def distinct_candidates(spark, sf):
+    """Candidates from all pairs of columns: those that identities show to be equal are scored once; SQL scores them all."""
+    table_ = spark.createDataFrame([(k, e.split()) for k, e in PAIRED.items()], "expr_key string, tokens array<string>")
+    forms = distinct_forms(table_, LIB).groupBy("form").agg(F.count("*").alias("n"))
+    counts = {r["form"]: r["n"] for r in forms.collect()}  # a row for each candidate at most
+    errors = S.score_many(with_target(spark, sf), [(form, form.split(), []) for form in sorted(counts)], COLUMNS, "y", LIB)
+    return errors.join(F.broadcast(spark.createDataFrame(list(counts.items()), "expr_key string, n long")), "expr_key").groupBy(F.round("error", 4).alias("error")).agg(F.sum("n").alias("candidates"))
+
+
 @query("SELECT count(*) AS n, count(*) AS same FROM part")
 def parse_roundtrip(spark, sf):
     """Formulas that read back from what they print as: all of them."""
@@ -688,5 +704,20 @@ def stream_running_best(spark, sf):
     return run_to_end(follow(ev), name, f"{shared_folder(spark)}/{name}").select("experiment_id", "eval_no", "error", "best_before", "is_new_best")
 
 
+@query(f"SELECT experiment_id, eval_no, error FROM ({RUNNING}) WHERE is_new_best")
+def stream_log_of_bests(spark, sf):
+    """New bests of a stream as a log: a batch that comes again replaces its own rows."""
+    import uuid
+
+    from .sources.folders import shared_folder
+    from .streaming.events import follow, log_bests, read_log
+
+    at = f"{shared_folder(spark)}/bests_{uuid.uuid4().hex}"
+    src = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    ev = src.select(F.col("user_id").alias("experiment_id"), F.col("event_id").alias("eval_no"), F.col("value").alias("error"))
+    log_bests(follow(ev), f"{at}/log", f"{at}/checkpoint").awaitTermination()
+    return read_log(spark, f"{at}/log").select("experiment_id", "eval_no", "error")
+
+
 def describe() -> str:
     return json.dumps({k: (f.__doc__ or "").strip() for k, f in QUERIES.items()}, indent=1)

@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "experiment_id long, eval_no long, error double"
@@ -51,3 +52,26 @@ def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "append")
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+LOG = "experiment_id long, eval_no long, error double, best_before double"
+
+
+def append_bests(path: str):
+    """A writer of one batch's new bests. A batch has a folder of its own, which it replaces, so one that comes again after a failure is in the log once."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        found = batch.where("is_new_best AND NOT stopped").select("experiment_id", "eval_no", "error", "best_before")
+        found.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def log_bests(followed: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Starts a query that logs the new bests of follow()'s stream under a path, batch by batch; over what is there now unless a trigger is given."""
+    return followed.writeStream.foreachBatch(append_bests(path)).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log as a table, with the batch of each row."""
+    return spark.read.schema(f"{LOG}, batch long").option("basePath", path).parquet(path)

@@ -98,3 +98,24 @@ def test_mirrored_values_are_drawn_once(spark):
     for c in ("x0", "x1"):
         got = [r[0] for r in df.select(c).collect()]
         assert len({abs(x) for x in got}) > 19_990 and 9_500 < sum(x > 0 for x in got) < 10_500
+
+
+def test_variants_bring_back_every_number(spark, tmp_path):
+    import struct
+
+    from pyspark.sql.types import StructField, StringType
+
+    from veldra.sources.variants import packed, unpacked
+
+    numbers = [0.1, -0.0, 0.0, 1e308, 5e-324, 123456789.123456789, float("nan"), float("inf"), -float("inf"), None, 2.0**53 + 1, 1e22, -1.5e-7]
+    rows = [(k, x, [x, 1.5], f'say "{k}" \\ é', k * 10**12, None if k == 3 else [[x], []]) for k, x in enumerate(numbers)]
+    df = spark.createDataFrame(rows, "id int, `an error` double, some array<double>, name string, n long, deep array<array<double>>")
+    packed(df, "id").write.parquet(f"{tmp_path}/v")
+    fields = [f for f in df.schema.fields if f.name != "id"]
+    got = sorted(map(tuple, unpacked(spark.read.parquet(f"{tmp_path}/v"), fields).collect()))
+    bits = lambda x: None if x is None else struct.pack(">d", x) if x == x else "nan"
+    for want, row in zip(rows, got, strict=True):
+        assert bits(row[1]) == bits(want[1]) and [bits(x) for x in row[2]] == [bits(x) for x in want[2]]
+        assert row[3:5] == want[3:5] and (row[5] is None if want[5] is None else bits(row[5][0][0]) == bits(want[5][0][0]) and row[5][1] == [])
+    lacking = unpacked(packed(df, "id"), [StructField("absent", StringType())]).first()
+    assert lacking["absent"] is None

@@ -314,6 +314,27 @@ def augment_name_suffix(spark, sf):
     return R.suffixed_names(table(spark, sf, "events"), "user_id", "event_type", "event_id").select("event_id", "user_id", "unique_name")
 
 
+def odd_results(spark, sf) -> DataFrame:
+    """Evaluations whose errors are also NaN, infinite and minus zero, with arrays of them."""
+    at, v = F.col("event_id") % 5, F.col("value")
+    error = F.when(at == 0, F.lit(float("nan"))).when(at == 1, F.lit(float("inf"))).when(at == 2, F.lit(-float("inf"))).when(at == 3, F.lit(-0.0)).otherwise(v)
+    return table(spark, sf, "events").select("event_id", F.col("event_type").alias("expr"), error.alias("error"), F.array(v, error, F.lit(None).cast("double")).alias("parameters"))
+
+
+@query("""SELECT event_id, event_type AS expr, CASE event_id % 5 WHEN 0 THEN 'nan' WHEN 1 THEN 'inf' WHEN 2 THEN '-inf' ELSE 'finite' END AS kind, CASE event_id % 5 WHEN 3 THEN '-inf' ELSE 'other' END AS side,
+value AS first, 3 AS n FROM events""")
+def results_as_variants(spark, sf):
+    """Results with numbers that JSON lacks, written as VARIANT values and read back."""
+    from .sources.folders import written
+    from .sources.variants import packed, unpacked
+
+    df = odd_results(spark, sf)
+    back = unpacked(written(packed(df, "event_id"), "variants"), [f for f in df.schema.fields if f.name != "event_id"])
+    second = F.get("parameters", F.lit(1))
+    side = F.when((second == 0) & (F.pow(second, F.lit(-1.0)) < 0), "-inf").otherwise("other")  # one divided by minus zero
+    return back.select("event_id", "expr", kind_of(F.col("error")).alias("kind"), side.alias("side"), F.get("parameters", F.lit(0)).alias("first"), F.size("parameters").alias("n"))
+
+
 # grids: nations are datasets, regions approaches
 
 

@@ -21,6 +21,7 @@ import struct
 import sys
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,8 +154,8 @@ class Block:
         return self.opener.decompress(self.frames[start : self.index[k][2]])
 
     def find(self, doc: int) -> bytes | None:
-        lo = next((k for k, (i, _, _) in enumerate(self.index) if i == doc), None)
-        return None if lo is None else self.ids(lo)
+        k = bisect_left(self.index, (doc,))  # documents are in the order of their ids
+        return self.ids(k) if k < len(self.index) and self.index[k][0] == doc else None
 
 
 def _packed(path: str, end: int, dictionary: bytes):
@@ -238,9 +239,12 @@ def read(blocks: DataFrame, dictionary: bytes) -> DataFrame:
 
 
 def lookup(blocks: DataFrame, dictionary: bytes, doc: int) -> bytes | None:
-    """Ids of one document: the blocks that may hold it are found by first, then its one frame is opened."""
-    near = blocks.where(F.col("first") <= doc).orderBy(F.desc("first"), F.desc("shard"), F.desc("block")).limit(1).collect()
-    return Block(bytes(near[0]["data"]), dictionary).find(doc) if near else None
+    """Ids of one document: the block that may hold it is found by the keys alone, then its data are read and the document's one frame is opened."""
+    keys = blocks.select("first", "shard", "block").where(F.col("first") <= doc).orderBy(F.desc("first"), F.desc("shard"), F.desc("block")).limit(1).collect()
+    if not keys:
+        return None
+    own = blocks.where((F.col("shard") == keys[0]["shard"]) & (F.col("block") == keys[0]["block"])).select("data").first()
+    return Block(bytes(own["data"]), dictionary).find(doc)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

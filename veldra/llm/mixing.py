@@ -51,7 +51,8 @@ def targets(sizes: list[int], weights: list[float], share: float, most: float) -
         for i in full:
             out[i] = float(most * sizes[i])
         left -= sum(out[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
+        gone = set(full)
+        open_ = [i for i in open_ if i not in gone]
     return out
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import grammar as G
+from .functions.charts import rule_counts
 from .functions.constraints import MaxDepth, MaxNodes, MaxOccurrences, NoNested
 from .functions.egraph import distinct_forms
 from .functions.distance import token_distance_column, tree_distance_udf
@@ -547,6 +548,18 @@ def pcfg_normalised_weights(spark, sf):
     return g.frame(spark).select("lhs", shown.alias("rhs"), F.round(F.col("weight") / F.sum("weight").over(W.partitionBy("lhs")), 12).alias("chance"))
 
 
+DAYS = "S -> S E [0.5] | E [0.5]\nE -> " + " | ".join(f"'{k}' [1]" for k in KINDS)
+
+
+@query("WITH d AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL) SELECT 'S -> S E' AS rule, sum(n - 1)::DOUBLE AS n FROM d UNION ALL SELECT 'S -> E', count(*)::DOUBLE FROM d UNION ALL SELECT 'E -> ' || event_type, count(*)::DOUBLE FROM events GROUP BY event_type")
+def grammar_rule_counts(spark, sf):
+    """What users do in a day, parsed by a grammar: how often each rule is applied."""
+    each = table(spark, sf, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).getField("event_type").alias("t"))
+    g = G.Grammar.read(DAYS)
+    names = F.array(*[F.lit(f"{r.lhs} -> {' '.join(r.rhs)}") for r in g.rules])
+    return rule_counts(each, "t", g).select(F.get(names, "rule_id").alias("rule"), F.round("n", 6).alias("n"))
+
+
 def part_keys(spark, sf) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("sample_id"))
 

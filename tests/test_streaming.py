@@ -1,7 +1,8 @@
 import math
 
+from veldra import queries as Q
 from veldra.operators import results as R
-from veldra.streaming.events import EVENTS, append_bests, best_so_far, follow, log_bests, read_log, run_to_end
+from veldra.streaming.events import EVENTS, append_bests, best_so_far, follow, log_bests, read_log, run_to_end, table_of
 
 
 def test_state_is_kept_between_batches(spark, tmp_path):
@@ -46,3 +47,14 @@ def test_a_log_holds_each_new_best_once(spark, tmp_path):
     assert sorted((r.experiment_id, r.eval_no, r.error) for r in read_log(spark, log).collect()) == want
     append_bests(log)(again.limit(0), last + 1)  # a batch without a new best
     assert read_log(spark, log).count() == len(want)
+
+
+def test_the_running_best_is_a_table_of_files(spark, tmp_path):
+    """Rows go from the tasks to files; a sink in memory would gather them in the driver."""
+    before = {t.name for t in spark.catalog.listTables()}
+    got = Q.stream_running_best(spark, "/root/testdata/sf0.001")
+    assert {t.name for t in spark.catalog.listTables()} == before and got.inputFiles()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, Q.running_best(spark, "/root/testdata/sf0.001").collect()))
+    spark.createDataFrame([], EVENTS).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
+    assert table_of(follow(stream), str(tmp_path / "out"), str(tmp_path / "c")).count() == 0

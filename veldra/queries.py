@@ -730,12 +730,12 @@ def stream_running_best(spark, sf):
     import uuid
 
     from .sources.folders import shared_folder
-    from .streaming.events import follow, run_to_end
+    from .streaming.events import follow, table_of
 
-    name = f"running_{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/running_{uuid.uuid4().hex}"
     src = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
     ev = src.select(F.col("user_id").alias("experiment_id"), F.col("event_id").alias("eval_no"), F.col("value").alias("error"))
-    return run_to_end(follow(ev), name, f"{shared_folder(spark)}/{name}").select("experiment_id", "eval_no", "error", "best_before", "is_new_best")
+    return table_of(follow(ev), f"{at}/table", f"{at}/checkpoint").select("experiment_id", "eval_no", "error", "best_before", "is_new_best")
 
 
 @query(f"SELECT experiment_id, eval_no, error FROM ({RUNNING}) WHERE is_new_best")

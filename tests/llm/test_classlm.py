@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,32 @@ def test_gains_equal_changes_of_the_likelihood():
             assert got - got[of[w]] == pytest.approx(np.array(want) - want[of[w]], abs=1e-6)
 
 
+def test_moves_hold_few_words_and_entries_at_once(monkeypatch):
+    """The moves don't depend on how many words are told at once, and no call sees more."""
+    rng = np.random.default_rng(4)
+    n, buckets, c = 9000, 90, 6
+    classes = np.concatenate([[0], 1 + rng.integers(0, c - 2, n), [c - 1]]).astype(np.uint8)
+    columns: dict = {k: [] for k in ("bucket", "code", "partner", "n")}
+    for b in range(buckets):
+        code = np.sort(rng.integers(0, 2 * (n // buckets), 400)).astype(np.uint8)
+        for k, x in zip(columns, (b, code.tobytes(), rng.integers(0, n + 2, 400).astype(np.int32).tobytes(), rng.integers(1, 9, 400).tobytes()), strict=True):
+            columns[k].append(x)
+    batch = pa.RecordBatch.from_pydict(columns)
+    matrix = rng.integers(100, 900, (c, c)).astype(float)
+    sizes, plain = [], classlm.gains
+    monkeypatch.setattr(classlm, "gains", lambda m, left, *a: sizes.append(len(left)) or plain(m, left, *a))
+
+    def moves():
+        return {w: to for out in classlm._moves(classes.tobytes(), matrix, buckets, 0)(iter([batch])) for w, to in zip(*(out.column(k).to_pylist() for k in (0, 1)), strict=True)}
+
+    want = moves()
+    assert want and max(sizes) <= 4096
+    monkeypatch.setattr(classlm, "TOLD", 70)
+    monkeypatch.setattr(classlm, "OPENED", 3000)
+    sizes.clear()
+    assert moves() == want and max(sizes) <= 70
+
+
 def test_probabilities_sum_to_one_after_every_class():
     rng = np.random.default_rng(1)
     matrix = rng.integers(0, 5, (6, 6)).astype(float)

@@ -18,7 +18,9 @@ HEAD, LONGEST = 1 << 18, 64
 #: Classes beside that of the end of a text, and half rounds of exchange (each moves every other word).
 CLASSES, ROUNDS = 32, 6
 #: Words whose neighbours stand in one row, tokens whose pairs a task counts together, and entries it merges together.
-TOGETHER, CHUNK, MERGE = 64, 1 << 20, 1 << 21
+TOGETHER, CHUNK, MERGE = 64, 1 << 20, 1 << 20
+#: Entries of the table of neighbours that are opened at once, and words whose gains are told at once: what a task holds beside its batch.
+OPENED, TOLD = 1 << 19, 4096
 #: Steps of an octave in which frequencies are told apart when the known words are chosen.
 STEPS = 64
 SALT = 32
@@ -209,14 +211,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _opened(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Words, sides, partners and counts of rows of the table of neighbours, a few million entries together."""
+    """Words, sides, partners and counts of rows of the table of neighbours, OPENED entries together (a row is opened whole)."""
     held: list[tuple[np.ndarray, ...]] = []
     many = 0
     for row in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("bucket", "code", "partner", "n")), strict=True):
         code, partner, n = (np.frombuffer(x.as_py(), t) for x, t in zip(row[1:], (np.uint8, np.int32, np.int64), strict=True))
         held.append((code.astype(np.int32) // 2 * buckets + row[0].as_py(), code % 2, partner, n))
         many += len(n)
-        if many >= 1 << 21:
+        if many >= OPENED:
             yield tuple(map(np.concatenate, zip(*held, strict=True)))
             held, many = [], 0
     if held:
@@ -260,10 +262,13 @@ def _moves(classes: bytes, matrix: np.ndarray, buckets: int, turn: int):
                 tell = lambda rows: np.bincount(at[rows] * c + to[rows], n[rows], len(names) * c).reshape(-1, c)  # noqa: B023, E731
                 left, right = tell((side == 0) & ~self_), tell((side == 1) & ~self_)
                 twice, own = np.bincount(at, n * (self_ & (side == 1)), len(names)), of[names].astype(np.int64)
-                gain = gains(matrix, left, right, twice, own)[:, 1 : c - 1]
-                best = gain.argmax(axis=1)
-                rows = np.arange(len(names))
-                moved = np.flatnonzero(gain[rows, best] > gain[rows, own - 1] + 1e-6)
+                best, moved = np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+                for lo in range(0, len(names), TOLD):
+                    some = slice(lo, lo + TOLD)
+                    gain = gains(matrix, left[some], right[some], twice[some], own[some])[:, 1 : c - 1]
+                    rows = np.arange(len(gain))
+                    best[some] = gain.argmax(axis=1)
+                    moved[some] = gain[rows, best[some]] > gain[rows, own[some] - 1] + 1e-6
                 yield pa.RecordBatch.from_arrays([pa.array(names[moved], pa.int32()), pa.array(best[moved] + 1, pa.int32())], names=["word", "to"])
 
     return run
@@ -334,9 +339,9 @@ def _joined(matrix: np.ndarray):
             fields = near.flatten()
             row = np.repeat(np.arange(len(near)), np.diff(near.offsets.to_numpy()))
             before, after, n = (fields.field(k).to_numpy() for k in range(3))
-            for lo in range(0, len(near), 4096):
-                own = (row >= lo) & (row < lo + 4096)
-                size = min(4096, len(near) - lo)
+            for lo in range(0, len(near), TOLD):
+                own = (row >= lo) & (row < lo + TOLD)
+                size = min(TOLD, len(near) - lo)
                 left, right = (np.bincount((row[own] - lo) * c + x[own], n[own], size * c).reshape(size, c) for x in (before, after))
                 best = gains(matrix, left, right, np.zeros(size))[:, 1 : c - 1].argmax(axis=1) + 1
                 counts = left.sum(axis=1).astype(np.int64)

@@ -9,25 +9,37 @@ import pytest
 from veldra.llm import queries, toxicity, toxicity_terms
 
 
-def test_nearest_equals_brute_force():
+@pytest.mark.parametrize("wide", [0, 60, 250])
+def test_nearest_equals_brute_force(wide, monkeypatch):
+    monkeypatch.setattr(toxicity_terms, "WIDE", wide)
     rng = random.Random(5)
-    idfs = np.linspace(1, 4, 60)
+    weights = np.geomspace(0.05, 6, 60)
     vectors = [{min(59, int(rng.expovariate(0.08))): rng.randrange(1, 400) for _ in range(rng.randrange(1, 9))} for _ in range(1500)]
-    flat = lambda vs: (np.cumsum([len(v) for v in vs]), np.array([t for v in vs for t in sorted(v)], np.int32), np.array([v[t] for v in vs for t in sorted(v)]))
-    index = toxicity_terms.Postings(*flat(vectors), idfs)
-    assert 0 < len(index.matrix) < 60 and len(index.row)
+
+    def flat(vs):
+        return [len(v) for v in vs], np.array([t for v in vs for t in sorted(v)], np.int32), np.array([v[t] for v in vs for t in sorted(v)])
+
+    def parts():
+        places = np.arange(1499, -1, -1)
+        for k in range(0, 1500, 400):
+            sizes, terms, counts = flat([vectors[p] for p in places[k : k + 400]])
+            yield places[k : k + 400], np.array(sizes), terms, counts.astype(np.uint16)
+
+    index = toxicity_terms.Postings(parts, 1500, weights)
+    assert len(set(index.tier.tolist())) == len(toxicity_terms.TIERS) + 1
 
     def dense(vs):
         out = np.zeros((len(vs), 60))
         for r, v in enumerate(vs):
             for t, c in v.items():
-                out[r, t] = (1 + math.log(c)) * idfs[t]
+                out[r, t] = (1 + math.log(c)) * weights[t]
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
 
-    asked = [{}, *({rng.randrange(60): rng.randrange(1, 5) for _ in range(rng.randrange(1, 6))} for _ in range(300)), {}]
+    asked = [{}, *({rng.randrange(60): rng.randrange(1, 5) for _ in range(rng.randrange(1, 6))} for _ in range(300)), *vectors[301:400], {}]
     skip = np.array([j if j % 2 else -1 for j in range(len(asked))])
     cosines = dense(asked) @ dense(vectors).T
-    for j, (rows, got) in enumerate(index.nearest(*flat(asked), 25, skip)):
+    sizes, terms, counts = flat(asked)
+    for j, (rows, got) in enumerate(index.nearest(np.cumsum(sizes), terms, counts, 25, skip)):
         cos = cosines[j].round(12)
         if skip[j] >= 0:
             cos[skip[j]] = 0
@@ -39,13 +51,15 @@ def test_examples_travel_in_parts():
     texts = ["", "aa bbbbbb bbbbcc aa", "zz", "", "bbbbbb", "aa zz zz qqqqqqq", ""]
     known = toxicity_terms.vocabulary(pa.array(sorted({w for t in texts for w in t.split()})))
     rows = pa.RecordBatch.from_arrays([pa.array([5, -3, 9, 2, 7, -8, 1]), pa.array(texts)], names=["h", "t"])
-    blobs = [(b.column(0)[0].as_py(), b.column(1)[0].as_py()) for part in (rows.slice(0, 3), rows.slice(3)) for b in toxicity_terms._packed(known)([part])]
     names = [*known[0].to_pylist(), *known[1].to_pylist(), *known[2].to_pylist()]
-    hashes, ends, terms, counts = toxicity_terms.unpacked(blobs)
-    assert hashes.tolist() == sorted(rows.column(0).to_pylist())
-    for h, a, b in zip(hashes.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-        text = texts[rows.column(0).to_pylist().index(h)]
-        assert {names[t]: c for t, c in zip(terms[a:b].tolist(), counts[a:b].tolist(), strict=True)} == toxicity.term_counts(text)
+    told = {}
+    for part in (rows.slice(0, 3), rows.slice(3)):
+        for b in toxicity_terms._packed(known)([part]):
+            hashes, sizes, terms, counts = toxicity_terms.unpacked(b.column(0)[0].as_py(), b.column(1)[0].as_py())
+            ends = np.cumsum(sizes).tolist()
+            for h, a, e in zip(hashes.tolist(), [0, *ends[:-1]], ends, strict=True):
+                told[h] = {names[t]: c for t, c in zip(terms[a:e].tolist(), counts[a:e].tolist(), strict=True)}
+    assert told == {h: toxicity.term_counts(t) for h, t in zip(rows.column(0).to_pylist(), texts, strict=True)}
 
 
 def brute(docs, labels):

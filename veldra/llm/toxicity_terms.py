@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +19,9 @@ from .toxicity import EXAMPLES, FOLD, NEIGHBOURS, STEMS, beginnings, calibrated,
 #: Examples at the base rate that are added to those of a term, and the least that a term tells, so that none is left out. SMOOTH is the best of 0.3, 1, 5, 20 and 100
 #: by log loss in a five-fold cross-validation inside the rows that are learnt from at sf0.1; the rows held out had no part in it.
 SMOOTH, LEAST = 0.3, 0.001
-#: Terms in more than this part of the examples are rows of a matrix, which is faster than their postings; others have postings.
-DENSE = 0.08
-#: Texts that meet the matrix at once.
-SIDE = 128
+#: Least squared weight of the terms of each tier, for the part of the examples that have the term (one more tier holds the rest). A text's tiers are
+#: summed one after another, until the bounds of what is left leave at most WIDE examples that may be among the nearest.
+TIERS, WIDE = (3.0, 0.3), 500
 #: Terms whose frequencies travel in one row.
 PART = 8192
 
@@ -57,75 +56,94 @@ def small(x: np.ndarray) -> np.ndarray:
 class Postings:
     """Examples by all their terms; nearest() is exact.
 
-    ends: where an example's entries end (each has some); terms, counts: an entry for each of its terms; weights: of every term. Products with all examples are summed in single
-    precision. As no part is negative, their error is at most slip of the sum, so every example that may be among the nearest is known, and
-    those few are summed again in double precision.
+    Terms that weigh much and are rare have short postings and decide most; they are summed first. What the other terms can add to a product
+    is at most the product of both norms over those terms, so that most texts need no common term but for the few examples left.
+
+    parts() gives examples a part at a time: places, numbers of terms (some each), terms and counts; n: examples; weights: of every term.
     """
 
-    def __init__(self, ends: np.ndarray, terms: np.ndarray, counts: np.ndarray, weights: np.ndarray):
-        n = self.n = len(ends)
-        self.ends, self.terms, self.square = ends, terms, weights**2
-        many, code = np.unique(counts, return_inverse=True)
-        self.logs, self.code = 1 + np.log(many.astype(np.float64)), small(code)
-        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends, prepend=0))
-        tf = self.logs[self.code]
-        self.norm = np.sqrt(np.bincount(row, tf * tf * self.square[terms], n))
-        unit = (tf * self.square[terms] / self.norm[row]).astype(np.float32)  # the text's weight is in it too
-        found = np.bincount(terms, minlength=len(weights))
-        common = np.flatnonzero(found > DENSE * n)
-        self.line = np.full(len(weights), -1, np.int32)
-        self.line[common] = np.arange(len(common))
-        inside = self.line[terms] >= 0
-        self.matrix = np.zeros((len(common), n), np.float32)
-        self.matrix[self.line[terms[inside]], row[inside]] = unit[inside]
-        rest = np.flatnonzero(~inside)
-        rest = rest[np.argsort(terms[rest], kind="stable")]
-        self.row, self.unit = row[rest], unit[rest]
-        found[common] = 0
+    def __init__(self, parts: Callable[[], Iterator[tuple[np.ndarray, ...]]], n: int, weights: np.ndarray):
+        self.n, self.square = n, weights**2
+        found, many = np.zeros(len(weights), np.int64), np.zeros(0, np.int64)
+        for _, _, terms, counts in parts():
+            found += np.bincount(terms, minlength=len(weights))
+            many = np.union1d(many, counts.astype(np.int64))
+        logs = 1 + np.log(many)
+        self.tier = np.searchsorted(-np.array(TIERS), -self.square * n / np.maximum(found, 1)).astype(np.int8)
         self.off = np.concatenate([[0], np.cumsum(found)])
-        self.slip = (len(common) + 16) * 2.0**-24
+        self.row, self.unit = np.empty(self.off[-1], np.uint16 if n < 1 << 16 else np.int32), np.empty(self.off[-1])
+        self.start, self.size, self.rest = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((len(TIERS), n))
         self.seen = np.zeros(len(weights))
-
-    def _exact(self, terms: np.ndarray, tf: np.ndarray, at: np.ndarray) -> np.ndarray:
-        start = np.where(at > 0, self.ends[at - 1], 0)
-        each = self.ends[at] - start
-        first = np.cumsum(each) - each
-        entry = np.arange(each.sum()) + np.repeat(start - first, each)
-        self.seen[terms] = tf * self.square[terms]
-        got = np.add.reduceat(self.seen[self.terms[entry]] * self.logs[self.code[entry]], first) / self.norm[at]
+        later, used, next_ = [], 0, self.off[:-1].copy()
+        for places, sizes, terms, counts in parts():
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            tf, tier = logs[np.searchsorted(many, counts)], self.tier[terms]
+            square = tf * tf * self.square[terms]
+            norm = np.sqrt(np.bincount(of, square, len(sizes)))
+            unit = tf * self.square[terms] / norm[of]  # the text's weight is in it too
+            by = np.argsort(terms, kind="stable")
+            here = np.bincount(terms, minlength=len(weights))
+            at = next_[terms[by]] + np.arange(len(by)) - (np.cumsum(here) - here)[terms[by]]
+            self.row[at], self.unit[at] = places[of[by]], unit[by]
+            next_ += here
+            for k in range(len(TIERS)):
+                self.rest[k, places] = np.sqrt(np.bincount(of, square * (tier > k), len(sizes))) / norm
+            late = tier > 0
+            some = np.bincount(of[late], minlength=len(sizes))
+            self.size[places], self.start[places] = some, used + np.cumsum(some) - some
+            used += int(some.sum())
+            later.append((terms[late], unit[late]))
+        self.terms, self.value = (np.concatenate([np.zeros(0, kind), *(x[k] for x in later)]) for k, kind in enumerate((np.int32, np.float64)))
+
+    def _added(self, terms: np.ndarray, tf: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What terms behind the first tier add to the products with some examples."""
+        many = self.size[at]
+        of = np.repeat(np.arange(len(at)), many)
+        cuts = list(map(slice, self.start[at].tolist(), (self.start[at] + many).tolist()))
+        self.seen[terms] = tf
+        got = self.seen[np.concatenate([self.terms[c] for c in cuts])]
+        got *= np.concatenate([self.value[c] for c in cuts])
+        got = np.bincount(of, got, len(at))
         self.seen[terms] = 0
-        return got / math.sqrt(np.sum(tf * tf * self.square[terms]))
+        return got
 
     def nearest(self, ends: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int, skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text its k examples (but its skip) of largest cosine, ties by place, and the cosines; those of cosine 0 are left out."""
-        tf = 1 + np.log(counts)
-        line = self.line[terms]
-        starts = np.concatenate([[0], ends[:-1]])
-        low, high = self.off[terms], self.off[terms + 1]
-        for side in range(0, len(ends), SIDE):
-            begin, end = starts[side : side + SIDE], ends[side : side + SIDE]
-            here = slice(int(begin[0]), int(end[-1]))
-            hit = np.flatnonzero(line[here] >= 0) + here.start
-            asked = np.zeros((len(begin), len(self.matrix)), np.float32)
-            asked[np.searchsorted(end, hit, "right"), line[hit]] = tf[hit]
-            sums = asked @ self.matrix
-            for j, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
-                rare = np.flatnonzero(high[a:b] > low[a:b]) + a
-                got = sums[j].astype(np.float64)
-                if len(rare):
-                    cuts = list(map(slice, low[rare].tolist(), high[rare].tolist()))
-                    weight = np.concatenate([self.unit[c] for c in cuts]) * np.repeat(tf[rare].astype(np.float32), high[rare] - low[rare])
+        tf, tier = 1 + np.log(counts.astype(np.float64)), self.tier[terms]
+        low, high, square = self.off[terms], self.off[terms + 1], tf * tf * self.square[terms]
+        begin = 0
+        for j, end in enumerate(ends.tolist()):
+            here = slice(begin, end)
+            begin = end
+            own, got, at, last = tier[here], np.zeros(self.n), np.zeros(0, np.int64), len(TIERS)
+            for level in range(last + 1):
+                mine = np.flatnonzero(own == level) + here.start
+                if len(mine):
+                    cuts = list(map(slice, low[mine].tolist(), high[mine].tolist()))
+                    weight = np.concatenate([self.unit[c] for c in cuts])
+                    weight *= np.repeat(tf[mine], high[mine] - low[mine])
                     got += np.bincount(np.concatenate([self.row[c] for c in cuts]), weight, self.n)
-                if skip is not None and skip[side + j] >= 0:
-                    got[skip[side + j]] = 0
-                least = np.partition(got, self.n - k)[self.n - k] if self.n > k else 0.0
-                at = np.flatnonzero(got >= least * (1 - 3 * self.slip)) if least > 0 else np.flatnonzero(got > 0)
-                if not len(at):
-                    yield at, np.empty(0)
-                    continue
-                cosines = self._exact(terms[a:b], tf[a:b], at).round(12)
-                best = np.lexsort((at, -cosines))[:k]
-                yield at[best], cosines[best]
+                if skip is not None and skip[j] >= 0:
+                    got[skip[j]] = 0
+                least = np.partition(got, self.n - k)[self.n - k] * (1 - 1e-9) if self.n > k else 0.0
+                if level == last:
+                    at = np.flatnonzero(got >= least) if least > 0 else np.flatnonzero(got > 0)
+                elif least > 0:
+                    at = np.flatnonzero(got + self.rest[level] * math.sqrt(square[here][own > level].sum()) >= least)
+                    if len(at) <= WIDE:
+                        break
+            if not len(at):
+                yield at, np.empty(0)
+                continue
+            products = got[at]
+            if level < last:
+                behind = np.flatnonzero(own > level) + here.start
+                products += self._added(terms[behind], tf[behind], at)
+                if skip is not None:
+                    products[at == skip[j]] = 0
+            cosines = (products / math.sqrt(square[here].sum())).round(12)
+            best = np.lexsort((at, -cosines))[:k]
+            yield at[best], cosines[best]
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,45 +192,34 @@ def _packed(known: list[pa.Array]):
     return run
 
 
-def unpacked(blobs: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the examples, ascending, where the entries of each end, their terms and counts."""
-    codec = pa.Codec("zstd")
-    got = []
-    for size, data in blobs:
-        hashes, sizes, step, counts = pickle.loads(codec.decompress(data, size, asbytes=True))
-        sizes = sizes.astype(np.int64)
-        total = np.cumsum(step.astype(np.int64))
-        first = np.cumsum(sizes) - sizes
-        before = np.concatenate([[0], total])[first]
-        got.append((hashes, sizes, (total - np.repeat(before, sizes)).astype(np.int32), counts))
-    if not got:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
-    hashes, sizes, terms, counts = (np.concatenate([g[k] for g in got]) for k in range(4))
-    order = np.argsort(hashes)
-    start = (np.cumsum(sizes) - sizes)[order]
-    hashes, sizes = hashes[order], sizes[order]
-    ends = np.cumsum(sizes)
-    entry = np.arange(len(terms)) + np.repeat(start - (ends - sizes), sizes)
-    return hashes, ends, terms[entry], counts[entry]
-
-
-def _opened_once(name: str, blobs: list[tuple[int, bytes]], idfs: np.ndarray, labels: np.ndarray, base: float) -> Postings:
-    """The examples of this run that have terms, by ascending hash; made once in a worker."""
-
-    def made() -> Postings:
-        _, ends, terms, counts = unpacked(blobs)
-        ends = ends[np.diff(ends, prepend=0) > 0]
-        marked = np.bincount(terms, np.repeat(labels, np.diff(ends, prepend=0)), len(idfs))
-        return Postings(ends, terms, counts, idfs * telling(np.bincount(terms, minlength=len(idfs)), marked, base))
-
-    return kept_last("toxicity-terms", hash(name), made)
+def unpacked(size: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of some examples, how many entries each has, their terms and counts."""
+    hashes, sizes, step, counts = pickle.loads(pa.Codec("zstd").decompress(data, size, asbytes=True))
+    sizes, total = sizes.astype(np.int64), np.cumsum(step.astype(np.int64))
+    before = np.concatenate([[0], total])[np.cumsum(sizes) - sizes]
+    return hashes, sizes, (total - np.repeat(before, sizes)).astype(np.int32), counts
+
+
+def opened(blobs: list[tuple[int, bytes]], idfs: np.ndarray, hashes: np.ndarray, labels: np.ndarray, base: float) -> Postings:
+    """The examples that have terms, by ascending hash."""
+
+    def parts() -> Iterator[tuple[np.ndarray, ...]]:
+        for size, data in blobs:
+            own, sizes, terms, counts = unpacked(size, data)
+            yield np.searchsorted(hashes, own[sizes > 0]), sizes[sizes > 0], terms, counts
+
+    found, marked = np.zeros(len(idfs)), np.zeros(len(idfs))
+    for places, sizes, terms, _ in parts():
+        found += np.bincount(terms, minlength=len(idfs))
+        marked += np.bincount(terms, np.repeat(labels[places], sizes), len(idfs))
+    return Postings(parts, len(hashes), idfs * telling(found, marked, base))
 
 
 def _left_out(name: str, blobs: list[tuple[int, bytes]], idfs: np.ndarray, known: list[pa.Array], hashes: np.ndarray, labels: np.ndarray, base: float):
     """Rows (hash, text) of examples: place in the index, and the vote of the other examples; none without terms or neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _opened_once(name, blobs, idfs, labels, base)
+        index = kept_last("toxicity-terms", hash(name), lambda: opened(blobs, idfs, hashes, labels, base))
         for batch in batches:
             done, places, votes = 0, [], []
             for ends, terms, counts in counted(batch.column(1), known):
@@ -229,9 +236,9 @@ def _left_out(name: str, blobs: list[tuple[int, bytes]], idfs: np.ndarray, known
     return run
 
 
-def _scores(name: str, blobs: list[tuple[int, bytes]], idfs: np.ndarray, known: list[pa.Array], labels: np.ndarray, ids: list, base: float, curve: tuple[float, float], none: float, kind: pa.DataType):
+def _scores(name: str, blobs: list[tuple[int, bytes]], idfs: np.ndarray, known: list[pa.Array], hashes: np.ndarray, labels: np.ndarray, ids: list, base: float, curve: tuple[float, float], none: float, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _opened_once(name, blobs, idfs, labels, base)
+        index = kept_last("toxicity-terms", hash(name), lambda: opened(blobs, idfs, hashes, labels, base))
         memo: dict[bytes, tuple[float, list]] = {}
         for batch in batches:
             out: list[tuple[float, list]] = []
@@ -311,7 +318,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if votes:
         votes = sorted((r["at"], r["vote"]) for r in votes)
         curve = calibrated(np.array([v for _, v in votes]), mine[[at for at, _ in votes]])
-    out = src.mapInArrow(_scores(work.root, blobs, idfs, known, mine, ids, base, curve, none, told.schema.field("id").type), f"id {kind}, score double, evidence array<{kind}>")
+    out = src.mapInArrow(_scores(work.root, blobs, idfs, known, hashes, mine, ids, base, curve, none, told.schema.field("id").type), f"id {kind}, score double, evidence array<{kind}>")
     work.close()
     return out.withColumnRenamed("id", id_col)
 

@@ -17,7 +17,7 @@ from .common import Workspace, kept_last, partitions, session
 from .toxicity import EXAMPLES, FOLD, NEIGHBOURS, STEMS, beginnings, calibrated, sized, vote
 
 #: Examples at the base rate that are added to those of a term, and the least that a term tells, so that none is left out. SMOOTH is the best of 0.3, 1, 5, 20 and 100
-#: by log loss in a five-fold cross-validation inside the rows that are learnt from at sf0.1; the rows held out had no part in it.
+#: by log loss in a five-fold cross-validation inside the rows that are learnt from at sf0.1.
 SMOOTH, LEAST = 0.3, 0.001
 #: Least squared weight of the terms of each tier, for the part of the examples that have the term (one more tier holds the rest). A text's tiers are
 #: summed one after another, until the bounds of what is left leave at most WIDE examples that may be among the nearest.

@@ -172,6 +172,24 @@ def test_moves_hold_few_words_and_entries_at_once(monkeypatch):
     assert moves() == want and max(sizes) <= 70
 
 
+def test_neighbours_take_few_bytes_and_any_count():
+    """Small counts take a byte each, also when rows meet; large ones keep their value."""
+    texts = pa.RecordBatch.from_arrays([pa.array(["a b c a b", "b a", None, "c c zz c"] * 50)], names=["text"])
+    rows = [b for _ in range(2) for b in classlm._pairs(b"a\nb\nc", 2)(iter([texts]))]
+    assert all(len(n) == len(code) and len(p) == 4 * len(code) for b in rows for code, p, n in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True))
+    near = pa.Table.from_batches(rows).sort_by("bucket").combine_chunks().to_batches()
+    got = list(classlm._neighbours(iter(near)))
+    assert sum(len(b.column(k)[0].as_py()) for b in got for k in (1, 2, 3)) < 7.1 * sum(len(b.column(1)[0].as_py()) for b in got)
+    found = {}
+    for b in got:
+        for word, side, partner, n in classlm._opened(b, 2):
+            found |= dict(zip(zip(word.tolist(), side.tolist(), partner.tolist(), strict=True), n.tolist(), strict=True))
+    assert found[1, 1, 2] == 200 and found[2, 0, 1] == 200 and found[2, 1, 1] == 100 and found[3, 0, 3] == 100 and found[3, 1, 4] == 100 and found[3, 0, 4] == 100
+    for n in (255, 256, 70_000, 1 << 33):
+        row = pa.RecordBatch.from_pydict({"bucket": [1], "code": [b"\0\1"], "partner": [np.array([5, 6], np.int32).tobytes()], "n": [classlm.narrow(np.array([1, n]))]})
+        assert [x.tolist() for x in next(classlm._opened(row, 2))] == [[1, 1], [0, 1], [5, 6], [1, n]]
+
+
 def test_probabilities_sum_to_one_after_every_class():
     rng = np.random.default_rng(1)
     matrix = rng.integers(0, 5, (6, 6)).astype(float)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, free, kept_last, partitions, session
+from .common import Workspace, free, kept_last, partitions, session, trimmed
 
 #: Words at most that every task knows by heart, and bytes of such a word: the bound of what is broadcast.
 HEAD, LONGEST = 1 << 18, 64
@@ -117,6 +117,7 @@ def _known(packed: bytes) -> Words:
     return kept_last("classlm", xxhash.xxh3_64_intdigest(packed), lambda: Words(packed))
 
 
+@trimmed
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.Array] = []
     ends = many = 0
@@ -147,9 +148,22 @@ def merged(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[edge], np.add.reduceat(n[order], edge)
 
 
+def narrow(n: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest one takes."""
+    return n.astype(np.min_scalar_type(int(n.max(initial=0)))).tobytes()
+
+
+def entries(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, partners and counts of a row's binary columns; a count has as many bytes as there are for each code."""
+    code, partner, n = (x.as_buffer() for x in row)
+    code = np.frombuffer(code, np.uint8)
+    return code, np.frombuffer(partner, np.int32), np.frombuffer(n, f"u{len(n) // max(1, len(code)) or 1}")
+
+
 def _pairs(packed: bytes, buckets: int):
     """Neighbours of the known words in chunks of texts: a row for each bucket of words with codes (word and side), partners and counts."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known(packed)
         held: list[np.ndarray] = []
@@ -166,8 +180,8 @@ def _pairs(packed: bytes, buckets: int):
                 bucket, mine = bucket[order], mine[order]
                 edge = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
                 cuts = list(zip(edge, [*edge[1:], len(bucket)], strict=True))
-                columns = (code[order].astype(np.uint8), partner[mine], n[mine].astype(np.uint32))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int32()), *(pa.array([x[lo:hi].tobytes() for lo, hi in cuts], pa.binary()) for x in columns)], names=["bucket", "code", "partner", "n"])
+                columns = ((code[order].astype(np.uint8), np.ndarray.tobytes), (partner[mine], np.ndarray.tobytes), (n[mine], narrow))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edge], pa.int32()), *(pa.array([put(x[lo:hi]) for lo, hi in cuts], pa.binary()) for x, put in columns)], names=["bucket", "code", "partner", "n"])
 
         for batch in batches:
             for _, _, ids, _ in known.coded(batch.column(0)):
@@ -182,6 +196,7 @@ def _pairs(packed: bytes, buckets: int):
     return run
 
 
+@trimmed
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _pairs, sorted by bucket, to one row for each bucket. A word has at most two entries for each known word, however large the corpus."""
     names = ["bucket", "code", "partner", "n"]
@@ -189,7 +204,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def told() -> pa.RecordBatch:
         key, n = merged(np.concatenate(keys), np.concatenate(counts))
-        columns = [pa.array([x.tobytes()], pa.binary()) for x in ((key >> 32).astype(np.uint8), key.astype(np.int32), n)]
+        columns = [pa.array([x], pa.binary()) for x in ((key >> 32).astype(np.uint8).tobytes(), key.astype(np.int32).tobytes(), narrow(n))]
         return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), *columns], names=names)
 
     for batch in batches:
@@ -199,7 +214,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield told()
                 keys, counts, many = [], [], 0
             last = bucket
-            code, partner, n = (np.frombuffer(x.as_py(), t) for x, t in zip(row[1:], (np.uint8, np.int32, np.uint32), strict=True))
+            code, partner, n = entries(row[1:])
             keys.append(code.astype(np.int64) << 32 | partner)
             counts.append(n.astype(np.int64))
             many += len(n)
@@ -215,8 +230,8 @@ def _opened(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple[np.ndarray, .
     held: list[tuple[np.ndarray, ...]] = []
     many = 0
     for row in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("bucket", "code", "partner", "n")), strict=True):
-        code, partner, n = (np.frombuffer(x.as_py(), t) for x, t in zip(row[1:], (np.uint8, np.int32, np.int64), strict=True))
-        held.append((code.astype(np.int32) // 2 * buckets + row[0].as_py(), code % 2, partner, n))
+        code, partner, n = entries(row[1:])
+        held.append((code.astype(np.int32) // 2 * buckets + row[0].as_py(), code % 2, partner, n.astype(np.int64)))
         many += len(n)
         if many >= OPENED:
             yield tuple(map(np.concatenate, zip(*held, strict=True)))
@@ -232,6 +247,7 @@ def _classes_of(classes: bytes) -> np.ndarray:
 def _matrix(classes: bytes, c: int, buckets: int):
     """Class bigram counts over the table of neighbours, as rows (cell, n)."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, out = _classes_of(classes), np.zeros(c * c, np.int64)
         for batch in batches:
@@ -249,6 +265,7 @@ def _matrix(classes: bytes, c: int, buckets: int):
 def _moves(classes: bytes, matrix: np.ndarray, buckets: int, turn: int):
     """Words of this half round that gain by another class, and that class."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, c = _classes_of(classes), len(matrix)
         for batch in batches:
@@ -302,6 +319,7 @@ def exchanged(near: DataFrame, known: int, buckets: int, k: int = CLASSES, round
 def _rest(packed: bytes, classes: bytes, c: int):
     """Words of a text that aren't known, with the classes of their neighbours (c - 1: not known either); and pairs of two such words."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, of = _known(packed), _classes_of(classes)
         keys = ["text", "word", "before", "after", "other"]
@@ -333,6 +351,7 @@ def _joined(matrix: np.ndarray):
     """Rows (word, neighbours) of words that aren't known to their class by exchange: the one that they would gain most by."""
     c = len(matrix)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = batch.column(1)
@@ -373,6 +392,7 @@ def tables(matrix: np.ndarray, counts: np.ndarray, once: float, total: float) ->
 def _told(packed: bytes, classes: bytes, counts: np.ndarray, moves: np.ndarray, emits: np.ndarray):
     """What the known words of each text say: tokens, known ones, sum of log10(count + 1), log10 of the model's factors that need no other word."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, of = _known(packed), _classes_of(classes)
         last = len(moves) - 1
@@ -396,6 +416,7 @@ def _others(moves: np.ndarray, sizes: np.ndarray):
     """Rows (h1, h2, before, after, class, other class, count, n) to what they add, as whole numbers of 1e-9 so that their order doesn't matter."""
     c = len(moves)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             before, after, own, other, count, n = (batch.column(k).to_numpy() for k in range(2, 8))

@@ -47,6 +47,53 @@ def test_nearest_equals_brute_force(wide, monkeypatch):
         assert np.allclose(got, want, atol=1e-9) and np.allclose(cos[rows], got, atol=1e-9)
 
 
+@pytest.mark.parametrize(("dense", "sparse"), [(0, 32), (6, 1 << 20), (60, 1 << 20)])
+def test_bounds_leave_few_examples_to_sum_term_by_term(dense, sparse, monkeypatch):
+    """However many terms the matrix has, the nearest are exact; with all terms in it, few examples are summed term by term."""
+    monkeypatch.setattr(toxicity_terms, "DENSE", dense)
+    monkeypatch.setattr(toxicity_terms, "SPARSE", sparse)
+    monkeypatch.setattr(toxicity_terms, "TEXTS", 7)
+    rng = np.random.default_rng(2)
+    n, terms = 3000, 60
+    counts = rng.integers(1, 6, (n, terms)) * (rng.random((n, terms)) < np.geomspace(0.9, 0.01, terms))
+    counts[:, 0] = np.maximum(1, counts[:, 0])
+    counts[5:9] = counts[9]  # alike, so that ties go by place
+    weights = np.geomspace(0.01, 3, terms)
+
+    def flat(rows):
+        return (rows > 0).sum(axis=1), np.nonzero(rows)[1].astype(np.int32), rows[rows > 0]
+
+    def parts():
+        for k in (0, 1000, 2000):
+            yield np.arange(k, k + 1000), *flat(counts[k : k + 1000])
+
+    index = toxicity_terms.Postings(parts, n, weights)
+    assert len(index.matrix) == dense
+    summed, plain = [], index._added
+    monkeypatch.setattr(index, "_added", lambda late, tf, at: summed.append(len(at)) or plain(late, tf, at))
+    vectors = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * weights
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    asked = counts[:200]
+    sizes, own, many = flat(asked)
+    skip = np.where(np.arange(200) % 2, np.arange(200), -1)
+    for j, (rows, got) in enumerate(index.nearest(np.cumsum(sizes), own, many, 20, skip)):
+        cos = (vectors @ vectors[j]).round(12)
+        if skip[j] >= 0:
+            cos[j] = 0
+        want = np.lexsort((np.arange(n), -cos))[:20]
+        want = want[cos[want] > 0]
+        assert np.allclose(got, cos[want], atol=1e-9) and np.allclose(cos[rows], got, atol=1e-9) and skip[j] not in rows
+    if dense == terms:
+        assert np.mean(summed) < 40  # the bounds are the products, up to single precision
+
+
+def test_words_are_those_of_the_pattern():
+    rng = random.Random(6)
+    signs = [chr(k) for k in (*range(128), 0x85, 0xA0, 0xAA, 0xB2, 0xDF, 0xC9, 0x130, 0x301, 0x2014, 0x2028, 0x3000, 0x4E2D, 0x1F600)]
+    for text in ["", "A_b-C9\x1c\x85x", *("".join(rng.choices(signs, k=60)) for _ in range(500))]:
+        assert toxicity.tokens(text) == toxicity.TOKEN.findall(text.lower())
+
+
 def test_examples_travel_in_parts():
     texts = ["", "aa bbbbbb bbbbcc aa", "zz", "", "bbbbbb", "aa zz zz qqqqqqq", ""]
     known = toxicity_terms.vocabulary(pa.array(sorted({w for t in texts for w in t.split()})))

@@ -34,6 +34,9 @@ PRIOR = 0.5
 #: Lengths of the word beginnings that are terms beside whole words.
 STEMS = (4, 5)
 TOKEN = re.compile(r"\w+")
+#: What stands for a byte of UTF-8: a space for signs of ASCII that are in no word, else itself.
+ASCII = bytes(range(128))
+PLAIN = bytes(k if k > 127 or TOKEN.match(chr(k)) else 32 for k in range(256))
 #: Characters of texts whose words are told apart at once (a longer text is read alone).
 SLICE = 4_000_000
 FOLD = 5
@@ -57,6 +60,18 @@ def idf(n: int, found: int) -> float:
     return math.log((1 + n) / (1 + found)) + 1
 
 
+def tokens(text: str) -> list[str]:
+    """The words of TOKEN in lower case, split by a table of bytes; the few other signs of a text are looked at once each."""
+    low = text.lower()
+    raw = low.encode()
+    if not low.isascii():
+        for sign in set(raw.translate(None, ASCII).decode()):
+            if not TOKEN.match(sign):
+                low = low.replace(sign, " ")
+        raw = low.encode()
+    return raw.translate(PLAIN).decode().split()
+
+
 def sized(column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, int]]:
     """Some texts at once, in order: their distinct words, the number of each token's word, that of its text among them, and how many texts."""
 
@@ -68,7 +83,7 @@ def sized(column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray,
     many: list[int] = []
     size = 0
     for text in texts(column):
-        found = TOKEN.findall(text.lower())
+        found = tokens(text)
         words += found
         many.append(len(found))
         size += len(text)

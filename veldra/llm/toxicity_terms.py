@@ -13,15 +13,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, kept_last, partitions, session
+from .common import Workspace, kept_last, partitions, session, trimmed
 from .toxicity import EXAMPLES, FOLD, NEIGHBOURS, STEMS, beginnings, calibrated, sized, vote
 
 #: Examples at the base rate that are added to those of a term, and the least that a term tells, so that none is left out. SMOOTH is the best of 0.3, 1, 5, 20 and 100
 #: by log loss in a five-fold cross-validation inside the rows that are learnt from at sf0.1.
 SMOOTH, LEAST = 0.3, 0.001
-#: Least squared weight of the terms of each tier, for the part of the examples that have the term (one more tier holds the rest). A text's tiers are
-#: summed one after another, until the bounds of what is left leave at most WIDE examples that may be among the nearest.
-TIERS, WIDE = (3.0, 0.3), 500
+#: Least squared weight, for the part of the examples that have the term, of a term that has postings (or is in the matrix); others are summed for
+#: candidates only, WIDE candidates at once.
+TIERS, WIDE = (3.0,), 500
+#: Terms of the dense matrix at most, its entries at most, and one of how many examples must have such a term; texts that are multiplied by it at once.
+DENSE, ROOM, SPARSE, TEXTS = 1024, 20_480_000, 32, 128
+#: Part of a product by which single precision may be wrong, over at most DENSE terms; postings of more examples than LONG are copied whole.
+NEAR, LONG = 2e-4, 250
 #: Terms whose frequencies travel in one row.
 PART = 8192
 
@@ -56,8 +60,9 @@ def small(x: np.ndarray) -> np.ndarray:
 class Postings:
     """Examples by all their terms; nearest() is exact.
 
-    Terms that weigh much and are rare have short postings and decide most; they are summed first. What the other terms can add to a product
-    is at most the product of both norms over those terms, so that most texts need no common term but for the few examples left.
+    The commonest terms stand in a dense matrix, by which many texts are multiplied at once, in single precision. Other terms that weigh much or are rare have
+    postings. What the terms that are left can add to a product is at most the product of both norms over them. All that makes bounds; the few examples
+    that may be among the nearest by them are summed term by term, in double precision.
 
     parts() gives examples a part at a time: places, numbers of terms (some each), terms and counts; n: examples; weights: of every term.
     """
@@ -70,82 +75,117 @@ class Postings:
             many = np.union1d(many, counts.astype(np.int64))
         logs = 1 + np.log(many)
         self.tier = np.searchsorted(-np.array(TIERS), -self.square * n / np.maximum(found, 1)).astype(np.int8)
-        self.off = np.concatenate([[0], np.cumsum(found)])
+        common = np.argsort(-found, kind="stable")[: min(DENSE, ROOM // max(1, n))]
+        common = common[found[common] * SPARSE >= n]
+        self.dense = np.full(len(weights), -1, np.int32)  # the term's row in the matrix
+        self.dense[common] = np.arange(len(common))
+        # terms that are summed for the candidates only, by numbers of their own
+        self.late = np.full(len(weights), -1, np.int32)
+        late = np.flatnonzero((self.tier > 0) | (self.dense >= 0))
+        self.late[late] = np.arange(len(late))
+        self.size_of = np.where(self.late < 0, found, 0)
+        self.off = np.concatenate([[0], np.cumsum(self.size_of)])
         self.row, self.unit = np.empty(self.off[-1], np.uint16 if n < 1 << 16 else np.int32), np.empty(self.off[-1])
-        self.start, self.size, self.rest = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((len(TIERS), n))
-        self.seen = np.zeros(len(weights))
-        later, used, next_ = [], 0, self.off[:-1].copy()
+        self.start, self.size, self.rest = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.float32)
+        self.matrix, self.seen = np.zeros((len(common), n), np.float32), np.zeros(len(late))
+        self.terms, self.value = np.empty(found[late].sum(), np.uint16 if len(late) < 1 << 16 else np.int32), np.empty(found[late].sum())
+        used, next_ = 0, self.off[:-1].copy()
         for places, sizes, terms, counts in parts():
             of = np.repeat(np.arange(len(sizes)), sizes)
-            tf, tier = logs[np.searchsorted(many, counts)], self.tier[terms]
+            tf = logs[np.searchsorted(many, counts)]
             square = tf * tf * self.square[terms]
             norm = np.sqrt(np.bincount(of, square, len(sizes)))
             unit = tf * self.square[terms] / norm[of]  # the text's weight is in it too
-            by = np.argsort(terms, kind="stable")
-            here = np.bincount(terms, minlength=len(weights))
+            late, dense = self.late[terms], self.dense[terms]
+            by = np.flatnonzero(late < 0)
+            by = by[np.argsort(terms[by], kind="stable")]
+            here = np.bincount(terms[by], minlength=len(weights))
             at = next_[terms[by]] + np.arange(len(by)) - (np.cumsum(here) - here)[terms[by]]
             self.row[at], self.unit[at] = places[of[by]], unit[by]
             next_ += here
-            for k in range(len(TIERS)):
-                self.rest[k, places] = np.sqrt(np.bincount(of, square * (tier > k), len(sizes))) / norm
-            late = tier > 0
-            some = np.bincount(of[late], minlength=len(sizes))
+            self.rest[places] = np.sqrt(np.bincount(of, square * ((late >= 0) & (dense < 0)), len(sizes))) / norm
+            own = dense >= 0
+            self.matrix[dense[own], places[of[own]]] = unit[own]
+            own = late >= 0
+            some = np.bincount(of[own], minlength=len(sizes))
             self.size[places], self.start[places] = some, used + np.cumsum(some) - some
+            self.terms[used : used + some.sum()], self.value[used : used + some.sum()] = late[own], unit[own]
             used += int(some.sum())
-            later.append((terms[late], unit[late]))
-        self.terms, self.value = (np.concatenate([np.zeros(0, kind), *(x[k] for x in later)]) for k, kind in enumerate((np.int32, np.float64)))
-
-    def _added(self, terms: np.ndarray, tf: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """What terms behind the first tier add to the products with some examples."""
-        many = self.size[at]
-        of = np.repeat(np.arange(len(at)), many)
-        cuts = list(map(slice, self.start[at].tolist(), (self.start[at] + many).tolist()))
-        self.seen[terms] = tf
-        got = self.seen[np.concatenate([self.terms[c] for c in cuts])]
-        got *= np.concatenate([self.value[c] for c in cuts])
-        got = np.bincount(of, got, len(at))
-        self.seen[terms] = 0
-        return got
+
+    def _summed(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """What terms that have postings add to the products with all examples. Short postings are read by their places, long ones are copied."""
+        size = self.size_of[terms]
+        order = np.argsort(size > LONG, kind="stable")
+        size, low = size[order], self.off[terms[order]]
+        k = int((size <= LONG).sum())
+        ends = np.cumsum(size[:k])
+        at = np.repeat(low[:k] - ends + size[:k], size[:k])
+        at += np.arange(len(at))
+        cuts = list(map(slice, low[k:].tolist(), (low[k:] + size[k:]).tolist()))
+        weight = np.concatenate([self.unit[at], *(self.unit[c] for c in cuts)])
+        weight *= np.repeat(tf[order], size)
+        return np.bincount(np.concatenate([self.row[at], *(self.row[c] for c in cuts)]), weight, self.n)
+
+    def _added(self, late: np.ndarray, tf: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What terms without postings add to the products with some examples."""
+        self.seen[late] = tf
+        out = np.zeros(len(at))
+        full = np.flatnonzero(self.size[at])
+        for lo in range(0, len(full), max(1, WIDE)):
+            mine = full[lo : lo + max(1, WIDE)]
+            some = at[mine]
+            many = self.size[some]
+            cuts = list(map(slice, self.start[some].tolist(), (self.start[some] + many).tolist()))
+            got = self.seen[np.concatenate([self.terms[c] for c in cuts])]
+            got *= np.concatenate([self.value[c] for c in cuts])
+            out[mine] = np.add.reduceat(got, np.cumsum(many) - many)
+        self.seen[late] = 0
+        return out
+
+    def _dense(self, dense: np.ndarray, tf: np.ndarray, of: np.ndarray, many: int) -> np.ndarray:
+        """What terms of the matrix add to the products of some texts with all examples, up to NEAR of it."""
+        texts = np.zeros((many, len(self.matrix)), np.float32)
+        texts[of, dense] = tf
+        return texts @ self.matrix
 
     def nearest(self, ends: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int, skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text its k examples (but its skip) of largest cosine, ties by place, and the cosines; those of cosine 0 are left out."""
-        tf, tier = 1 + np.log(counts.astype(np.float64)), self.tier[terms]
-        low, high, square = self.off[terms], self.off[terms + 1], tf * tf * self.square[terms]
-        begin = 0
-        for j, end in enumerate(ends.tolist()):
-            here = slice(begin, end)
-            begin = end
-            own, got, at, last = tier[here], np.zeros(self.n), np.zeros(0, np.int64), len(TIERS)
-            for level in range(last + 1):
-                mine = np.flatnonzero(own == level) + here.start
-                if len(mine):
-                    cuts = list(map(slice, low[mine].tolist(), high[mine].tolist()))
-                    weight = np.concatenate([self.unit[c] for c in cuts])
-                    weight *= np.repeat(tf[mine], high[mine] - low[mine])
-                    got += np.bincount(np.concatenate([self.row[c] for c in cuts]), weight, self.n)
-                if skip is not None and skip[j] >= 0:
-                    got[skip[j]] = 0
-                least = np.partition(got, self.n - k)[self.n - k] * (1 - 1e-9) if self.n > k else 0.0
-                if level == last:
-                    at = np.flatnonzero(got >= least) if least > 0 else np.flatnonzero(got > 0)
-                elif least > 0:
-                    at = np.flatnonzero(got + self.rest[level] * math.sqrt(square[here][own > level].sum()) >= least)
-                    if len(at) <= WIDE:
-                        break
-            if not len(at):
-                yield at, np.empty(0)
-                continue
-            products = got[at]
-            if level < last:
-                behind = np.flatnonzero(own > level) + here.start
-                products += self._added(terms[behind], tf[behind], at)
-                if skip is not None:
-                    products[at == skip[j]] = 0
-            cosines = (products / math.sqrt(square[here].sum())).round(12)
-            best = np.lexsort((at, -cosines))[:k]
-            yield at[best], cosines[best]
-
-
+        tf, dense, late = 1 + np.log(counts.astype(np.float64)), self.dense[terms], self.late[terms]
+        square = tf * tf * self.square[terms]
+        sizes = np.diff(ends, prepend=0)
+        of = np.repeat(np.arange(len(ends)), sizes)
+        norm = np.sqrt(np.bincount(of, square, len(ends)))
+        rest = np.sqrt(np.bincount(of, square * ((late >= 0) & (dense < 0)), len(ends)))
+        starts, stops = (ends - sizes).tolist(), ends.tolist()
+        for lo in range(0, len(ends), TEXTS):
+            hi = min(lo + TEXTS, len(ends))
+            own = starts[lo] + np.flatnonzero(dense[starts[lo] : stops[hi - 1]] >= 0)
+            near = self._dense(dense[own], tf[own], of[own] - lo, hi - lo)
+            for j in range(lo, hi):
+                here = slice(starts[j], stops[j])
+                yield self._best(near[j - lo], terms[here], late[here], tf[here], norm[j], rest[j], k, -1 if skip is None else int(skip[j]))
+
+    def _best(self, near: np.ndarray, terms: np.ndarray, late: np.ndarray, tf: np.ndarray, norm: float, rest: float, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        exact = self._summed(terms[late < 0], tf[late < 0])
+        near += exact
+        if skip >= 0:
+            near[skip] = 0
+        most = self.rest * np.float32(rest * (1 + NEAR))
+        least = float(np.partition(near, self.n - k)[self.n - k]) * (1 - NEAR) if self.n > k else 0.0
+        near *= np.float32(1 + NEAR)
+        most += near
+        at = np.flatnonzero(most >= least) if least > 0 else np.flatnonzero(most > 0)
+        at = at[at != skip]
+        products = exact[at] + self._added(late[late >= 0], tf[late >= 0], at)
+        at, products = at[products > 0], products[products > 0]
+        if not len(at):
+            return at, np.empty(0)
+        cosines = (products / norm).round(12)
+        best = np.lexsort((at, -cosines))[:k]
+        return at[best], cosines[best]
+
+
+@trimmed
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for words, *_ in sized(batch.column(0)):
@@ -155,6 +195,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _found(known: list[pa.Array]):
     """Texts to the number of them that hold each known term, in parts of the terms."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(sum(map(len, known)), np.int64)
         for batch in batches:
@@ -166,6 +207,7 @@ def _found(known: list[pa.Array]):
     return run
 
 
+@trimmed
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -177,6 +219,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packed(known: list[pa.Array]):
     """Rows (hash, text) of examples to the entries of some of them at once, in few bytes."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
         for batch in batches:
@@ -218,6 +261,7 @@ def opened(blobs: list[tuple[int, bytes]], idfs: np.ndarray, hashes: np.ndarray,
 def _left_out(name: str, blobs: list[tuple[int, bytes]], idfs: np.ndarray, known: list[pa.Array], hashes: np.ndarray, labels: np.ndarray, base: float):
     """Rows (hash, text) of examples: place in the index, and the vote of the other examples; none without terms or neighbours."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = kept_last("toxicity-terms", hash(name), lambda: opened(blobs, idfs, hashes, labels, base))
         for batch in batches:
@@ -237,6 +281,7 @@ def _left_out(name: str, blobs: list[tuple[int, bytes]], idfs: np.ndarray, known
 
 
 def _scores(name: str, blobs: list[tuple[int, bytes]], idfs: np.ndarray, known: list[pa.Array], hashes: np.ndarray, labels: np.ndarray, ids: list, base: float, curve: tuple[float, float], none: float, kind: pa.DataType):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = kept_last("toxicity-terms", hash(name), lambda: opened(blobs, idfs, hashes, labels, base))
         memo: dict[bytes, tuple[float, list]] = {}

@@ -94,6 +94,24 @@ def test_words_are_those_of_the_pattern():
         assert toxicity.tokens(text) == toxicity.TOKEN.findall(text.lower())
 
 
+def test_counting_a_few_texts_makes_no_table_of_all_terms(monkeypatch):
+    """Texts are looked up by a table of the fewer, their words or the known ones; counts are those of the plain way, for odd texts too."""
+    plain, made = toxicity_terms.pc.index_in, []
+    monkeypatch.setattr(toxicity_terms.pc, "index_in", lambda words, value_set: made.append(len(value_set)) or plain(words, value_set=value_set))
+    rng = random.Random(9)
+    texts = ["", None, "  ", "Ab\x1cab\x85AB\xa0ab", "\u0391\u03a3 \u03a3\u0391\u03a3", "\u0130x \u2014 caf\xe9-caf\xe9 \u4e2d\u6587", "w1 w12345 w12346 w1234", None]
+    texts += [" ".join(f"w{rng.randrange(30_000)}" for _ in range(rng.randrange(40))) for _ in range(20)] + [""]
+    words = {f"w{k}" for k in range(0, 30_000, 2)} | {"ab", "caf\xe9", "\u03b1\u03c2", "w1", "w12345"}
+    known = toxicity_terms.vocabulary(pa.array(sorted(words)))
+    names = [n for values in known for n in values.to_pylist()]
+    found = list(toxicity_terms.counted(pa.array(texts), known))
+    assert len(found) == 1 and max(made) < 600 < len(known[0])
+    ends, terms, counts = found[0]
+    assert len(ends) == len(texts)
+    for text, a, e in zip(texts, [0, *ends[:-1]], ends, strict=True):
+        assert {names[t]: c for t, c in zip(terms[a:e].tolist(), counts[a:e].tolist(), strict=True)} == {t: c for t, c in toxicity.term_counts(text or "").items() if t in set(names)}
+
+
 def test_examples_travel_in_parts():
     texts = ["", "aa bbbbbb bbbbcc aa", "zz", "", "bbbbbb", "aa zz zz qqqqqqq", ""]
     known = toxicity_terms.vocabulary(pa.array(sorted({w for t in texts for w in t.split()})))

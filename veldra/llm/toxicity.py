@@ -60,37 +60,46 @@ def idf(n: int, found: int) -> float:
     return math.log((1 + n) / (1 + found)) + 1
 
 
-def tokens(text: str) -> list[str]:
-    """The words of TOKEN in lower case, split by a table of bytes; the few other signs of a text are looked at once each."""
-    low = text.lower()
-    raw = low.encode()
-    if not low.isascii():
+def spaced(text: str) -> bytes:
+    """The text in lower case with a space for each sign that is in no word of TOKEN, by a table of bytes; the few other signs of a text are looked at once each."""
+    raw = text.lower().encode()
+    if not raw.isascii():
         for sign in set(raw.translate(None, ASCII).decode()):
             if not TOKEN.match(sign):
-                low = low.replace(sign, " ")
-        raw = low.encode()
-    return raw.translate(PLAIN).decode().split()
+                raw = raw.replace(sign.encode(), b" ")
+    return raw.translate(PLAIN)
+
+
+def tokens(text: str) -> list[str]:
+    """The words of TOKEN in lower case."""
+    return spaced(text).decode().split()
 
 
 def sized(column: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, int]]:
-    """Some texts at once, in order: their distinct words, the number of each token's word, that of its text among them, and how many texts."""
+    """Some texts at once, in order: their distinct words, the number of each token's word, that of its text among them, and how many texts.
 
-    def told() -> tuple[pa.Array, np.ndarray, np.ndarray, int]:
-        coded = pa.array(words, pa.string()).dictionary_encode()
-        return coded.dictionary, coded.indices.to_numpy(), np.repeat(np.arange(len(many)), many), len(many)
+    Words are cut out of the bytes of all these texts at once, not one by one."""
 
-    words: list[str] = []
-    many: list[int] = []
+    def told() -> tuple[pa.Array, np.ndarray, np.ndarray, int]:
+        joined = b" ".join([b"", *held, b""])
+        full = np.frombuffer(joined, np.uint8) != 32
+        edges = np.flatnonzero(full[1:] != full[:-1]) + 1  # where words begin and end, in turns
+        starts = edges[::2]
+        offsets = np.concatenate([[0], np.cumsum(edges[1::2] - starts)]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined.translate(None, b" "))])
+        many = np.diff(np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in held)])))
+        coded = words.dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy(), np.repeat(np.arange(len(held)), many), len(held)
+
+    held: list[bytes] = []
     size = 0
     for text in texts(column):
-        found = tokens(text)
-        words += found
-        many.append(len(found))
+        held.append(spaced(text))
         size += len(text)
         if size > SLICE:
             yield told()
-            words, many, size = [], [], 0
-    if many:
+            held, size = [], 0
+    if held:
         yield told()
 
 

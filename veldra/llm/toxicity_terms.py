@@ -35,13 +35,24 @@ def vocabulary(words: pa.Array) -> list[pa.Array]:
     return [words, *(pc.unique(beginnings(words, k)).drop_null() for k in STEMS)]
 
 
+def places(words: pa.Array, values: pa.Array) -> np.ndarray:
+    """Where each word stands among the values, which are distinct; -1 for none. The table to look in is made of the fewer."""
+    if len(values) <= len(words):
+        return pc.index_in(words, value_set=values).fill_null(-1).to_numpy()
+    coded = words.dictionary_encode()
+    found = pc.index_in(values, value_set=coded.dictionary)
+    at = np.full(len(coded.dictionary) + 1, -1, np.int32)  # the last one for null
+    at[found.drop_null().to_numpy()] = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+    return at[coded.indices.fill_null(len(coded.dictionary)).to_numpy()]
+
+
 def counted(column: pa.Array, known: list[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Some texts at once, in order: where each one's entries end, and their known terms, ascending in each text, and how often they come."""
     first = np.cumsum([0, *map(len, known)])
     for words, code, row, many in sized(column):
         keys = []
         for values, start, k in zip(known, first, (0, *STEMS), strict=False):
-            at = pc.index_in(beginnings(words, k) if k else words, value_set=values).fill_null(-1).to_numpy()[code].astype(np.int64)
+            at = places(beginnings(words, k) if k else words, values)[code].astype(np.int64)
             keys.append((row[at >= 0].astype(np.int64) << 32) | (at[at >= 0] + start))
         key, n = np.unique(np.concatenate(keys), return_counts=True)
         yield np.cumsum(np.bincount(key >> 32, minlength=many)), (key & 0xFFFFFFFF).astype(np.int32), n

@@ -87,6 +87,45 @@ def test_bounds_leave_few_examples_to_sum_term_by_term(dense, sparse, monkeypatc
         assert np.mean(summed) < 40  # the bounds are the products, up to single precision
 
 
+def test_texts_of_a_kind_are_multiplied_together(monkeypatch):
+    """Texts of two kinds come in turns; products are over the terms of one kind, and the nearest are exact and in the texts' order."""
+    monkeypatch.setattr(toxicity_terms, "TEXTS", 16)
+    monkeypatch.setattr(toxicity_terms, "DEALT", 150)
+    monkeypatch.setattr(toxicity_terms, "SPARSE", 1 << 20)
+    rng = np.random.default_rng(4)
+    n, terms = 2000, 80
+    counts = rng.integers(1, 5, (n, terms)) * (rng.random((n, terms)) < 0.4)
+    counts[::2, 40:], counts[1::2, :40] = 0, 0
+    counts[rng.random(n) < 0.05, 79] = 1  # a term of one kind in a few texts of both
+    asked = counts[:401].copy()
+    asked[400] = 0
+    weights = np.geomspace(0.3, 2, terms)
+
+    def flat(rows):
+        return (rows > 0).sum(axis=1), np.nonzero(rows)[1].astype(np.int32), rows[rows > 0]
+
+    index = toxicity_terms.Postings(lambda: iter([(np.arange(n), *flat(counts))]), n, weights)
+    used, plain = [], index._dense
+    monkeypatch.setattr(index, "_dense", lambda dense, *a: used.append(len(np.unique(dense))) or plain(dense, *a))
+    vectors = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * weights
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    sizes, own, many = flat(asked)
+    found = list(index.nearest(np.cumsum(sizes), own, many, 20, np.arange(401)))
+    assert len(found) == 401 and not len(found[400][0])
+    for j, (rows, got) in enumerate(found[:400]):
+        cos = (vectors @ vectors[j]).round(12)
+        cos[j] = 0
+        want = np.sort(cos[cos > 0])[::-1][:20]
+        assert np.allclose(got, want, atol=1e-9) and np.allclose(cos[rows], got, atol=1e-9) and j not in rows
+    assert np.median(used) <= 42 and len(used) > 400 / 16
+
+
+@pytest.mark.parametrize(("n", "k"), [(1, 1), (50, 50), (5000, 100), (6413, 100), (6400, 100), (9999, 3)])
+def test_the_k_th_largest_is_exact(n, k):
+    for x in (np.random.default_rng(n).random(n).astype(np.float32), np.zeros(n, np.float32), np.arange(n, 0, -1, np.float32), (np.arange(n) % 7).astype(np.float32)):
+        assert toxicity_terms.largest(x, k) == np.sort(x)[n - k]
+
+
 def test_words_are_those_of_the_pattern():
     rng = random.Random(6)
     signs = [chr(k) for k in (*range(128), 0x85, 0xA0, 0xAA, 0xB2, 0xDF, 0xC9, 0x130, 0x301, 0x2014, 0x2028, 0x3000, 0x4E2D, 0x1F600)]

@@ -26,6 +26,9 @@ TIERS, WIDE = (3.0,), 500
 DENSE, ROOM, SPARSE, TEXTS = 1024, 20_480_000, 32, 128
 #: Part of a product by which single precision may be wrong, over at most DENSE terms; postings of more examples than LONG are copied whole.
 NEAR, LONG = 2e-4, 250
+#: Kinds of texts by the terms of the matrix that they have, examples by which kinds are told, texts that are dealt to kinds at once. A term that fewer than one of
+#: SELDOM texts of a product have, or a product of more than MOSTLY of all terms: it costs less to add it text by text, or to take the whole matrix.
+KINDS, TOLD, DEALT, SELDOM, MOSTLY = 4, 2048, 2048, 10, 0.8
 #: Terms whose frequencies travel in one row.
 PART = 8192
 
@@ -64,6 +67,25 @@ def telling(found: np.ndarray, marked: np.ndarray, base: float) -> np.ndarray:
     return LEAST + np.abs(np.log(p / (1 - p)) - math.log(base / (1 - base)))
 
 
+def kinds(patterns: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """Unit centres of KINDS groups of rows that have like patterns (spherical k-means)."""
+    unit = patterns / np.maximum(np.linalg.norm(patterns, axis=1, keepdims=True), 1e-9)
+    centres = unit[np.linspace(0, len(unit) - 1, KINDS).astype(np.int64)]
+    for _ in range(rounds):
+        of = (unit @ centres.T).argmax(axis=1)
+        centres = np.stack([unit[of == g].mean(axis=0) if (of == g).any() else centres[g] for g in range(KINDS)])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    return centres.astype(np.float32)
+
+
+def largest(x: np.ndarray, k: int) -> float:
+    """The k-th largest number of x, told among those that aren't below the k-th largest of the maxima of 32 by 32."""
+    wide = len(x) // 32
+    if wide >= 2 * k:
+        x = x[x >= np.partition(x[: 32 * wide].reshape(32, wide).max(axis=0), wide - k)[wide - k]]
+    return float(np.partition(x, len(x) - k)[len(x) - k])
+
+
 def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(x.max(initial=0)))
 
@@ -71,7 +93,7 @@ def small(x: np.ndarray) -> np.ndarray:
 class Postings:
     """Examples by all their terms; nearest() is exact.
 
-    The commonest terms stand in a dense matrix, by which many texts are multiplied at once, in single precision. Other terms that weigh much or are rare have
+    The commonest terms stand in a dense matrix, by which many texts that have like terms of it are multiplied at once, in single precision. Other terms that weigh much or are rare have
     postings. What the terms that are left can add to a product is at most the product of both norms over them. All that makes bounds; the few examples
     that may be among the nearest by them are summed term by term, in double precision.
 
@@ -122,19 +144,22 @@ class Postings:
             self.size[places], self.start[places] = some, used + np.cumsum(some) - some
             self.terms[used : used + some.sum()], self.value[used : used + some.sum()] = late[own], unit[own]
             used += int(some.sum())
+        self.centres = kinds((self.matrix[:, :: max(1, -(-n // TOLD))] != 0).T.astype(np.float32)) if n and len(common) else None
 
     def _summed(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
         """What terms that have postings add to the products with all examples. Short postings are read by their places, long ones are copied."""
         size = self.size_of[terms]
-        order = np.argsort(size > LONG, kind="stable")
-        size, low = size[order], self.off[terms[order]]
+        order = np.argsort(2 * (size > LONG) + (tf != 1), kind="stable")  # in both, terms that come once are first: they are multiplied by nothing
+        size, low, tf = size[order], self.off[terms[order]], tf[order]
         k = int((size <= LONG).sum())
         ends = np.cumsum(size[:k])
         at = np.repeat(low[:k] - ends + size[:k], size[:k])
         at += np.arange(len(at))
         cuts = list(map(slice, low[k:].tolist(), (low[k:] + size[k:]).tolist()))
         weight = np.concatenate([self.unit[at], *(self.unit[c] for c in cuts)])
-        weight *= np.repeat(tf[order], size)
+        for lo, hi, start, end in ((0, k, 0, len(at)), (k, len(tf), len(at), len(weight))):
+            lo += int((tf[lo:hi] == 1).sum())
+            weight[end - int(size[lo:hi].sum()) : end] *= np.repeat(tf[lo:hi], size[lo:hi])
         return np.bincount(np.concatenate([self.row[at], *(self.row[c] for c in cuts)]), weight, self.n)
 
     def _added(self, late: np.ndarray, tf: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -155,12 +180,34 @@ class Postings:
 
     def _dense(self, dense: np.ndarray, tf: np.ndarray, of: np.ndarray, many: int) -> np.ndarray:
         """What terms of the matrix add to the products of some texts with all examples, up to NEAR of it."""
+        often = np.bincount(dense, minlength=len(self.matrix)) * SELDOM >= many
         texts = np.zeros((many, len(self.matrix)), np.float32)
-        texts[of, dense] = tf
-        return texts @ self.matrix
+        if often.sum() > MOSTLY * len(often):
+            texts[of, dense] = tf
+            return texts @ self.matrix
+        own = often[dense]
+        texts[of[own], dense[own]] = tf[own]
+        out = texts[:, often] @ self.matrix[often]
+        for j, d, x in zip(of[~own].tolist(), dense[~own].tolist(), tf[~own].astype(np.float32), strict=True):
+            out[j] += x * self.matrix[d]
+        return out
+
+    def _dealt(self, of: np.ndarray, dense: np.ndarray, many: int) -> np.ndarray:
+        """Some texts, those of one kind beside each other."""
+        if self.centres is None or many <= TEXTS:
+            return np.arange(many)
+        patterns = np.zeros((many, len(self.matrix)), np.float32)
+        patterns[of[dense >= 0], dense[dense >= 0]] = 1
+        return np.argsort((patterns @ self.centres.T).argmax(axis=1), kind="stable")
 
     def nearest(self, ends: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int, skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text its k examples (but its skip) of largest cosine, ties by place, and the cosines; those of cosine 0 are left out."""
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        for lo in range(0, len(ends), DEALT):
+            here = slice(starts[lo], ends[min(lo + DEALT, len(ends)) - 1])
+            yield from self._nearest(ends[lo : lo + DEALT] - starts[lo], terms[here], counts[here], k, None if skip is None else skip[lo : lo + DEALT])
+
+    def _nearest(self, ends: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int, skip: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
         tf, dense, late = 1 + np.log(counts.astype(np.float64)), self.dense[terms], self.late[terms]
         square = tf * tf * self.square[terms]
         sizes = np.diff(ends, prepend=0)
@@ -168,13 +215,17 @@ class Postings:
         norm = np.sqrt(np.bincount(of, square, len(ends)))
         rest = np.sqrt(np.bincount(of, square * ((late >= 0) & (dense < 0)), len(ends)))
         starts, stops = (ends - sizes).tolist(), ends.tolist()
-        for lo in range(0, len(ends), TEXTS):
-            hi = min(lo + TEXTS, len(ends))
-            own = starts[lo] + np.flatnonzero(dense[starts[lo] : stops[hi - 1]] >= 0)
-            near = self._dense(dense[own], tf[own], of[own] - lo, hi - lo)
-            for j in range(lo, hi):
+        order = self._dealt(of, dense, len(ends)).tolist()
+        out: list = [None] * len(ends)
+        for lo in range(0, len(order), TEXTS):
+            some = order[lo : lo + TEXTS]
+            cuts = [starts[j] + np.flatnonzero(dense[starts[j] : stops[j]] >= 0) for j in some]
+            own = np.concatenate(cuts)
+            near = self._dense(dense[own], tf[own], np.repeat(np.arange(len(some)), [len(c) for c in cuts]), len(some))
+            for i, j in enumerate(some):
                 here = slice(starts[j], stops[j])
-                yield self._best(near[j - lo], terms[here], late[here], tf[here], norm[j], rest[j], k, -1 if skip is None else int(skip[j]))
+                out[j] = self._best(near[i], terms[here], late[here], tf[here], norm[j], rest[j], k, -1 if skip is None else int(skip[j]))
+        return out
 
     def _best(self, near: np.ndarray, terms: np.ndarray, late: np.ndarray, tf: np.ndarray, norm: float, rest: float, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
         exact = self._summed(terms[late < 0], tf[late < 0])
@@ -182,9 +233,8 @@ class Postings:
         if skip >= 0:
             near[skip] = 0
         most = self.rest * np.float32(rest * (1 + NEAR))
-        least = float(np.partition(near, self.n - k)[self.n - k]) * (1 - NEAR) if self.n > k else 0.0
-        near *= np.float32(1 + NEAR)
-        most += near
+        least = largest(near, k) * (1 - NEAR) if self.n > k else 0.0
+        most += near * np.float32(1 + NEAR)
         at = np.flatnonzero(most >= least) if least > 0 else np.flatnonzero(most > 0)
         at = at[at != skip]
         products = exact[at] + self._added(late[late >= 0], tf[late >= 0], at)
